@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from idloom.llm import bpe, quality, toxicity, wordpiece
+from idloom.llm import bpe, minhash, quality, toxicity, wordpiece
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op3_minhash": minhash.op3_minhash,
         "op4_quality_forest": quality.op4_quality_forest,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_token_counts": wordpiece.op10_token_counts,
