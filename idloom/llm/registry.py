@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from idloom.llm import bpe, minhash, quality, toxicity, wordpiece
+from idloom.llm import bpe, minhash, quality, substring, toxicity, wordpiece
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_bpe": bpe.op1_bpe,
         "op3_minhash": minhash.op3_minhash,
         "op4_quality_forest": quality.op4_quality_forest,
+        "op6_substring": substring.op6_substring,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_token_counts": wordpiece.op10_token_counts,
     }
