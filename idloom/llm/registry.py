@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from idloom.llm import bpe, minhash, quality, substring, toxicity, wordpiece
+from idloom.llm import bpe, minhash, packing, quality, substring, toxicity, wordpiece
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_minhash": minhash.op3_minhash,
         "op4_quality_forest": quality.op4_quality_forest,
         "op6_substring": substring.op6_substring,
+        "op7_packing": packing.op7_packing,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_token_counts": wordpiece.op10_token_counts,
     }
