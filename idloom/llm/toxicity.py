@@ -228,9 +228,9 @@ def _exceptions(sample: DataFrame, lexicon: Lexicon) -> frozenset[str]:
         for batch in batches:
             for text, toxic in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own, pairs = folded(text, folds), set()
-                for i, w in enumerate(own):
-                    if w in words:
-                        pairs.update(EDGE + a + EDGE + b + EDGE for a, b in ((own[i - 1], w),) * (i > 0) + ((w, own[i + 1]),) * (i + 1 < len(own)))
+                for a, b in zip(own, own[1:]):
+                    if a in words or b in words:
+                        pairs.add(EDGE + a + EDGE + b + EDGE)
                 found[int(toxic)].update(pairs)
         keys = list(found[0].keys() | found[1].keys())
         yield pa.RecordBatch.from_pydict({"entry": pa.array(keys, pa.string()), "bad": pa.array([found[1][k] for k in keys], pa.int64()), "good": pa.array([found[0][k] for k in keys], pa.int64())})
