@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from idloom.llm import bpe, minhash, packing, quality, substring, toxicity, wordpiece
+from idloom.llm import bpe, minhash, packing, quality, substring, toxicity, warc, wordpiece
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_bpe": bpe.op1_bpe,
         "op3_minhash": minhash.op3_minhash,
         "op4_quality_forest": quality.op4_quality_forest,
+        "op5_warc": warc.op5_warc,
         "op6_substring": substring.op6_substring,
         "op7_packing": packing.op7_packing,
         "op9_toxicity": toxicity.op9_toxicity,
