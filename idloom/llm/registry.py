@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from idloom.llm import bpe, minhash, packing, quality, substring, toxicity, warc, wordpiece
+from idloom.llm import bpe, media, minhash, packing, quality, substring, toxicity, warc, wordpiece
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op2_media": media.op2_media,
         "op3_minhash": minhash.op3_minhash,
         "op4_quality_forest": quality.op4_quality_forest,
         "op5_warc": warc.op5_warc,
