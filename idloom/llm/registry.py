@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from idloom.llm import bpe, media, minhash, packing, quality, substring, toxicity, warc, wordpiece
+from idloom.llm import bpe, language, media, minhash, packing, quality, substring, toxicity, warc, wordpiece
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_warc": warc.op5_warc,
         "op6_substring": substring.op6_substring,
         "op7_packing": packing.op7_packing,
+        "op8_language": language.op8_language,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_token_counts": wordpiece.op10_token_counts,
     }
