@@ -5,10 +5,11 @@
 2. Each band of a class's signature is a bucket. No bucket is expanded into all its pairs: its members are compared
    with one pivot, the member that meets most others (the middle of a group of near copies, if it has one).
 3. Candidates pass a signature check, then are confirmed on the full shingle sets. Links go into connected components.
-4. Buckets that still hold several components are finished: every member outside the largest component is compared
-   with the members of the other components. So each pair that shares a bucket is linked, in one component already,
-   or compared; the only loss is banding's own: a pair at the threshold shares no bucket with probability
-   (1 - 0.8**ROWS)**BANDS, which is 4e-7.
+4. Buckets that still hold several components are finished by an exact prefix filter: of two linked sets, the rarest
+   shingles have one in common. Members outside a bucket's largest component are compared with the sets that share one
+   with them and are in another component. So each pair that shares a bucket is linked, in one component already,
+   ruled out by an exact bound, or compared; the only loss is banding's own: a pair at the threshold shares no bucket
+   with probability (1 - 0.8**ROWS)**BANDS, which is 4e-7.
 
 Defined cases: a null or empty text and one without words has an empty set and is linked with nothing; a text with
 fewer words than a shingle has one shingle, the whole sequence; repeated rows and equal texts are one class; a null id
@@ -22,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,12 +114,43 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, text_col: str, key: str) -
     return got.where("digest = node").select("node", "grams").dropDuplicates(["node"])
 
 
+def _overlap(sizes: Column, percent: int) -> Column:
+    """The least intersection of two linked sets whose sizes add up to ``sizes``."""
+    return F.floor((F.lit(percent) * sizes + F.lit(99 + percent)) / F.lit(100 + percent))
+
+
+def _prefixes(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Each set's rarest shingles (by how many of ``sets`` have them), as many as a linked set must share one of: if
+    two sets overlap in ``o`` shingles, the first ``size - o + 1`` of both, in one order, have one in common."""
+
+    def run(batches):
+        for batch in batches:
+            nodes = batch.column(0)
+            grams = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(1)]
+            for i in range(0, len(grams), 500):
+                part = grams[i : i + 500]
+                at = np.repeat(np.arange(i, i + len(part)), [len(g) for g in part])
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(at)), pa.array(np.concatenate(part))], names=["node", "gram"])
+
+    rows = sets.select("node", "grams").mapInArrow(run, "node binary, gram long")
+    ranked = rows.join(rows.groupBy("gram").agg(F.count("*").alias("df")), "gram").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "gram")))
+    partner = F.greatest("least", F.ceil(F.lit(percent) * F.col("n") / 100))  # no linked set is smaller
+    kept = F.col("n") - _overlap(F.col("n") + partner, percent) + 1
+    return ranked.join(nodes, "node").where(F.col("rank") <= kept).select("node", "gram", "rank", "root", "n", "outside")
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, text_col: str, key: str) -> DataFrame:
-    """The pairs (a, b) that are links on their full sets."""
+    """The pairs (a, b) that are links on their full sets, which are read for these pairs' classes only."""
     pairs = materialize(pairs, "candidates")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(nodes.join(reps, "node").where(F.col("rep").isNotNull()), "wanted")
     sets = materialize(_sets(docs, wanted, k, text_col, key), "sets")
+    links = _links(pairs, sets, percent)
+    discard(pairs, wanted, sets)
+    return links
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
 
     def run(batches):
@@ -133,9 +165,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent
             keep = pa.array(links, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(at["a"]).filter(keep), batch.column(at["b"]).filter(keep)], names=["a", "b"])
 
-    links = materialize(both.select("a", "b", "ga", "gb").mapInArrow(run, "a binary, b binary"), "links")
-    discard(pairs, wanted, sets)
-    return links
+    return materialize(both.select("a", "b", "ga", "gb").mapInArrow(run, "a binary, b binary"), "links")
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -159,16 +189,22 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tex
     star = members.join(pivots, "bucket").where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     links = _confirm(_alike(star, classes, percent), docs, reps, k, percent, text_col, key)
 
-    # what is left: buckets whose members are in several components, without the star's own comparisons
+    # what is left: buckets whose members are in several components
     labels = _labels(links)
-    placed = members.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    per = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    open_ = per.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("top")).where("parts > 1 AND all > 2").select("bucket", F.col("top.root").alias("largest"))
-    placed = materialize(placed.join(open_, "bucket"), "open-buckets")
-    outside = placed.where("root != largest").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"))
-    inside = placed.select("bucket", F.col("node").alias("y"), F.col("root").alias("ry"))
-    rest = outside.join(inside, "bucket").where("rx != ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = _confirm(_alike(rest, classes, percent), docs, reps, k, percent, text_col, key)
+    size = classes.select(F.col("digest").alias("node"), F.col("n_shingles").alias("n"))
+    placed = members.select("bucket", "node").join(labels, "node", "left").join(size, "node").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    per = placed.groupBy("bucket", "root").agg(F.count("*").alias("k"), F.min("n").alias("least"))
+    open_ = per.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("k").alias("all"), F.max(F.struct("k", "root")).alias("top"), F.min("least").alias("least")).where("parts > 1 AND all > 2").select("bucket", "least", F.col("top.root").alias("largest"))
+    nodes = placed.join(open_, "bucket").groupBy("node", "root", "n").agg(F.min("least").alias("least"), F.bool_or(F.col("root") != F.col("largest")).alias("outside"))
+    nodes = materialize(nodes.join(reps, "node").where(F.col("rep").isNotNull()), "open-classes")
+    sets = materialize(_sets(docs, nodes.select("node", "rep"), k, text_col, key), "open-sets")
+    prefixes = materialize(_prefixes(sets, nodes, percent), "prefixes")
+    x = prefixes.where("outside").select("gram", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("rank").alias("ix"))
+    y = prefixes.select("gram", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("rank").alias("iy"))
+    need = _overlap(F.col("nx") + F.col("ny"), percent)
+    rest = x.join(y, "gram").where((F.col("rx") != F.col("ry")) & (F.col("ix") <= F.col("nx") - need + 1) & (F.col("iy") <= F.col("ny") - need + 1))
+    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    more = _links(_alike(rest, classes, percent), sets, percent)
     labels = _labels(links.unionByName(more))
 
     named = labels.join(reps, "node")
