@@ -40,7 +40,7 @@ EPOCHS, RATE, RIDGE = 40, 0.15, 1e-5
 #: Words of a chunk, and words in a worker's emission cache (emptied when full).
 CHUNK, CACHE = 64, 250_000
 #: A filter keeps documents whose best language has at least this mean marginal.
-LEAST_SCORE = 0.6
+LEAST_SCORE = 0.4
 UND = "und"
 _ZERO = (1 << TABLE_BITS) + (1 << TABLE_BITS)  # index of the row that stays zero
 
