@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from idloom.plans import linkage_queries, operations_queries, quality_queries
+
+_ALL = quality_queries.QUERIES | linkage_queries.QUERIES | operations_queries.QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: fn for name, (fn, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
