@@ -94,7 +94,8 @@ def with_columns(docs: DataFrame, text_col: str, fields: list[T.StructField], fn
     keep = [f for f in docs.schema.fields if f.name == text_col or f.name not in new]
     docs = docs.select(*[F.col(f"`{f.name}`") for f in keep])
     at, drop_text = [f.name for f in keep].index(text_col), text_col in new
-    schema = T.StructType([f for f in keep if not (drop_text and f.name == text_col)] + fields)
+    result = [f for f in keep if not (drop_text and f.name == text_col)] + fields
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(result)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +104,17 @@ def with_columns(docs: DataFrame, text_col: str, fields: list[T.StructField], fn
                 made = [x if isinstance(x, pa.Array) else pa.array(x) for x in fn(binary(part.column(at)))]
                 yield pa.RecordBatch.from_arrays(old + made, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    # names with dots can't go through mapInArrow, so columns go by number
+    return docs.toDF(*[f"c{i}" for i in range(len(keep))]).mapInArrow(run, schema).toDF(*[f.name for f in result])
+
+
+def keep_where(docs: DataFrame, text_col: str, annotate: Callable[[DataFrame], DataFrame], condition: Column) -> DataFrame:
+    """The rows of ``docs`` for which ``condition`` holds on what ``annotate`` adds to a frame with the column ``_text``.
+    Every input column comes back as it was, whatever its name."""
+    others = [c for c in docs.columns if c != text_col]
+    row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("struct<none:int>")
+    kept = annotate(docs.select(row.alias("_row"), F.col(f"`{text_col}`").alias("_text"))).where(condition)
+    return kept.select(*[F.col("_text").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 # ---------------------------------------------------------------- words and hashes

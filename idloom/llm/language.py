@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from idloom.llm.common import fold_of, table, with_columns
+from idloom.llm.common import fold_of, keep_where, table, with_columns
 
 #: Labelled rows of each language, and languages (the most frequent), that are learned from at most.
 DOCS_PER_LANG, LANGS = 1_500, 64
@@ -283,7 +283,7 @@ def predict(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
 
 def keep_known_language(docs: DataFrame, model: Crf, least_score: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
     """``docs`` without those that have no letters or no language that most of their words agree on."""
-    return predict(docs, model, text_col).where((F.col("lang_pred") != UND) & (F.col("score") >= least_score)).select(*[f"`{c}`" for c in docs.columns])
+    return keep_where(docs, text_col, lambda d: predict(d, model, "_text"), (F.col("lang_pred") != UND) & (F.col("score") >= least_score))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

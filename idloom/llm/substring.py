@@ -241,10 +241,11 @@ def duplicate_spans(docs: DataFrame, span: int = SPAN, text_col: str = "text", k
 def remove_repeats(docs: DataFrame, span: int = SPAN, text_col: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with repeated spans taken out of the text; texts without any stay byte for byte."""
     found = duplicate_spans(docs, span, text_col, key).where("n_removed > 0").select("cls", "n_removed", "kept_text").dropDuplicates(["cls"])
-    found = materialize(found, "repeats").withColumnRenamed("cls", "_cls").withColumnRenamed("n_removed", "_removed").withColumnRenamed("kept_text", "_kept")
-    text = F.col(f"`{text_col}`")
-    out = docs.withColumn("_cls", text_key(text)).join(found, "_cls", "left").withColumn(text_col, F.when(F.col("_removed") > 0, F.coalesce("_kept", F.lit(""))).otherwise(text))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    found = materialize(found, "repeats")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_key(F.col(f"`{text_col}`")).alias("cls"))
+    own = lambda c: F.col("_row").getField(c)
+    text = F.when(F.col("n_removed") > 0, F.coalesce("kept_text", F.lit(""))).otherwise(own(text_col))
+    return row.join(found, "cls", "left").select(*[(text if c == text_col else own(c)).alias(c) for c in docs.columns])
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
