@@ -16,7 +16,7 @@ from idloom.llm.common import fold_of, materialize, table
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and that the calibrated isolation forest doesn't find anomalous."""
     forest = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, forest).where("kept").select(*docs.columns)
+    return quality.keep_good(docs, forest)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
