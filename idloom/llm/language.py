@@ -32,9 +32,9 @@ from pyspark.sql import types as T
 from idloom.llm.common import fold_of, keep_where, table, with_columns
 
 #: Labelled rows of each language, and languages (the most frequent), that are learned from at most.
-DOCS_PER_LANG, LANGS = 1_500, 64
+DOCS_PER_LANG, LANGS = 900, 64
 #: Words of each training row and sequence.
-WINDOW = 40
+WINDOW = 30
 TABLE_BITS, GRAMS = 18, (2, 3, 4, 5)
 EPOCHS, RATE, RIDGE = 40, 0.15, 1e-5
 #: Words of a chunk, and words in a worker's emission cache (emptied when full).
@@ -56,7 +56,7 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(x) for x in data], np.int64)
     end = np.cumsum(size)
     codes = np.frombuffer(b"".join(data), np.uint8).astype(np.uint32)
-    owner = np.repeat(np.arange(len(words)), size)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), size)
     room = end[owner] - np.arange(len(codes))
     rows, of, h = [], [], codes.copy()
     for n in range(2, max(GRAMS) + 1):
@@ -68,8 +68,8 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             of.append(owner[ok])
     whole = np.array([zlib.crc32(x) for x in data], np.uint32) >> np.uint32(32 - TABLE_BITS)
     rows.append(whole + np.uint32(1 << TABLE_BITS))
-    of.append(np.arange(len(words)))
-    return np.concatenate(rows).astype(np.int64), np.concatenate(of)
+    of.append(np.arange(len(words), dtype=np.int32))
+    return np.concatenate(rows).astype(np.int32), np.concatenate(of)
 
 
 @dataclass(frozen=True)
@@ -206,10 +206,11 @@ def train(rows: list[tuple[str, list[str]]], seed: int = 5) -> Crf:
     order = np.argsort(features, kind="stable")
     features, of = features[order], of[order]
     used, start = np.unique(features, return_index=True)
-    slot = np.repeat(np.arange(len(used)), np.diff(np.append(start, len(features))))
+    slot = np.repeat(np.arange(len(used), dtype=np.int32), np.diff(np.append(start, len(features))))
     back = np.argsort(of, kind="stable")
     word_start = np.searchsorted(of[back], np.arange(len(vocabulary)))
     slot_by_word = slot[back]
+    del features, order, slot, back
     k, n_words = len(labels), len(word)
     w, trans = np.zeros((len(used), k), np.float32), np.zeros((k, k))
     begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
