@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 #: Bytes of text that one step of a row-wise pass handles at most (a single longer text is handled alone).
 STEP_BYTES = 2 << 20
 #: Entries of a per-worker word cache; it is emptied when full, so a worker's memory stays bounded.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 350_000
 
 
 # ---------------------------------------------------------------- scratch tables
