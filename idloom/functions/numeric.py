@@ -104,3 +104,8 @@ def crop_region(guide: Column, view_w: Column, view_h: Column, frame_w: Column,
 
     (x, w), (y, h) = axis(frame_w, view_w, guide["x"], guide["w"]), axis(frame_h, view_h, guide["y"], guide["h"])
     return F.struct(x.alias("x"), y.alias("y"), w.alias("width"), h.alias("height"))
+
+
+def scale_quad(quad: Column, x: Column, y: Column) -> Column:
+    """Corners with their coordinates multiplied: by 1 / width and 1 / height into unit coordinates, and back."""
+    return F.transform(quad, lambda p: F.struct((p["x"] * x).alias("x"), (p["y"] * y).alias("y")))

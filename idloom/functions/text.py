@@ -245,3 +245,14 @@ def has_filler(c: Column) -> Column:
 def confusable_letters(c: Column) -> Column:
     """Distinct letters of a digit field that are easily misread digits, in order of appearance."""
     return F.array_distinct(F.regexp_extract_all(c, F.lit("([OIZSGB])"), 1))
+
+
+def trim_url(c: Column) -> Column:
+    """A URL without slashes at its end."""
+    return F.regexp_replace(c, "/+$", "")
+
+
+def url_origin(c: Column) -> Column:
+    """Scheme and host (with its port) of a URL; null if it isn't one."""
+    scheme, host = F.try_parse_url(c, F.lit("PROTOCOL")), F.try_parse_url(c, F.lit("AUTHORITY"))
+    return F.when(scheme.isNotNull() & host.isNotNull(), F.concat(F.lower(scheme), F.lit("://"), F.lower(F.regexp_replace(host, "^[^@]*@", ""))))

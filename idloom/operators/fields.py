@@ -147,7 +147,7 @@ def readable_memory(values: DataFrame, previous: DataFrame, accepted: DataFrame,
 
 def last_document_wins(fields: DataFrame, *keys: str) -> DataFrame:
     """(…keys, field, value) of the last document (by ``pos``) that names the field, also if its value is null."""
-    return fields.groupBy(*keys, "field").agg(F.max_by(F.struct("value"), "pos").alias("v")).select(*keys, "field", "v.value")
+    return fields.groupBy(*keys, "field").agg(F.max_by(F.struct("value"), "pos").alias("_v")).select(*keys, "field", "_v.value")
 
 
 def visible_fields(fields: DataFrame, *keys: str) -> DataFrame:
@@ -162,3 +162,39 @@ def side_for_missing(votes: DataFrame, *keys: str) -> DataFrame:
     """The side with the most missing fields, the first on a tie: from rows (…keys, pos, side, field)."""
     n = votes.groupBy(*keys, "pos", "side").agg(F.countDistinct("field").alias("n"))
     return n.groupBy(*keys).agg(F.min_by("side", F.struct(-F.col("n"), "pos")).alias("side"))
+
+
+def field_sides(fields: DataFrame, sources: DataFrame, held: DataFrame, *keys: str) -> DataFrame:
+    """(…keys, kind, canonical, side): where a canonical field came from. The merged source decides if it is one face;
+    a field from both faces or in conflict has no side; without a source a passport's is its only side, and another
+    document's the first side that holds any of the field's names.
+
+    ``fields`` has (…keys, kind, field, value) as merged, ``sources`` (…keys, kind, field, source) and ``held`` (…keys,
+    kind, side, field, value).
+    """
+    spark = fields.sparkSession
+    names = F.broadcast(dims.aliases(spark))
+    place = F.broadcast(dims.sides(spark))
+    wanted = fields.select(*keys, "kind").distinct().withColumn("canonical", F.explode(F.array(*map(F.lit, dims.ALIASES))))
+    merged = fields.where(F.col("value") != "").join(names, F.col("field") == F.col("name")).join(sources, [*keys, "kind", "field"], "left")
+    best = merged.groupBy(*keys, "kind", "canonical").agg(F.min_by(F.struct("source"), "rank").alias("_s"))
+    first = held.where(X.blank_to_null(F.col("value")).isNotNull()).join(names, F.col("field") == F.col("name")).join(place, ["kind", "side"]).groupBy(*keys, "kind", "canonical").agg(F.min_by("side", "pos").alias("first"))
+    rows = wanted.join(best, [*keys, "kind", "canonical"], "left").join(first, [*keys, "kind", "canonical"], "left")
+    source = F.col("_s.source")
+    side = F.when(source.isin("front", "back"), source).when(source.isNotNull(), F.lit(None)).when(F.col("kind") == "dz-passport", "single").otherwise(F.col("first"))
+    return rows.select(*keys, "kind", "canonical", side.alias("side"))
+
+
+def distinct_readings(readings: DataFrame, *keys: str) -> DataFrame:
+    """(…keys, field, document, side, value) once for each shown value, at the place where it first appeared, with the
+    row that came last. ``readings`` has a ``pos``."""
+    shown = F.coalesce("value", F.lit(""))
+    rows = readings.groupBy(*keys, "field", "document", "side", shown.alias("shown")).agg(F.min("pos").alias("place"), F.max_by(F.struct("value"), "pos").alias("_v"))
+    return rows.select(*keys, "field", "document", "side", "_v.value", "place")
+
+
+def comparison_value(raw: Column) -> Column:
+    """A raw JSON value as one text: lists joined by a comma, an object by its category, nothing for other objects."""
+    object_text = lambda v: F.when(F.ltrim(v).startswith("{"), F.get_json_object(v, "$.category")).otherwise(v)
+    listed = F.array_join(F.filter(F.transform(F.from_json(raw, "array<string>"), object_text), lambda v: v != ""), ", ")
+    return F.nullif(F.when(F.ltrim(raw).startswith("["), listed).otherwise(object_text(raw)), F.lit(""))

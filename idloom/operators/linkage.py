@@ -61,7 +61,7 @@ def merge_pairs(pairs: DataFrame, comparable: list[str] | None = None, same: Col
     source = F.when(both & same, "both").when(both, "conflict").when(F.col("front").isNotNull(), "front").when(F.col("back").isNotNull(), "back").otherwise("none")
     value = F.when(~(both & ~same), F.coalesce("front", "back"))
     merged = F.when(split, split_rows).otherwise(F.array(row(F.col("field"), value, source)))
-    return pairs.select(*keys, F.explode(merged).alias("m")).select(*keys, "m.*")
+    return pairs.select(*keys, F.explode(merged).alias("_m")).select(*keys, "_m.*")
 
 
 def outcome_of(a: Column, b: Column, fuzzy: Column | bool, floor_outcome: str, below_outcome: str) -> Column:
@@ -81,7 +81,7 @@ def face_checks(pairs: DataFrame, document: str, *keys: str) -> DataFrame:
     pick = lambda c: F.coalesce(F.min(F.when(~F.col("second"), F.col(c))), F.min(F.col(c)))
     values = values.groupBy(*keys, "field").agg(pick("front").alias("front"), pick("back").alias("back"))
     # every rule for every key: keys times a fixed rule table
-    wanted = pairs.select(*keys).distinct().withColumn("r", F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("check_id", "field", "kind", "fuzzy"), r, strict=True)]) for r in dims.FACE_RULES[document]]))).select(*keys, "r.*")
+    wanted = pairs.select(*keys).distinct().withColumn("_r", F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("check_id", "field", "kind", "fuzzy"), r, strict=True)]) for r in dims.FACE_RULES[document]]))).select(*keys, "_r.*")
     rows = wanted.join(values, [*keys, "field"], "left")
     rows = rows.withColumns({"_a": comparable_value(F.col("front"), F.col("kind")), "_b": comparable_value(F.col("back"), F.col("kind"))})
     rows = rows.withColumn("outcome", outcome_of(F.col("_a"), F.col("_b"), F.col("fuzzy"), "warning", "warning"))
@@ -142,7 +142,7 @@ def cross_document(readings: DataFrame, *keys: str, scope: str | None = None) ->
     suggested_document). ``readings`` has (…keys, document, pos, field, value)."""
     documents = readings.select(*keys, "document", "pos").distinct()
     facts = [(f, k) for f, _, k in dims.IDENTITY_FACTS if scope != "onboarding" or f in dims.ONBOARDING]
-    each = documents.withColumn("f", F.explode(F.array(*[F.struct(F.lit(f).alias("fact"), F.lit(k).alias("kind")) for f, k in facts]))).select(*keys, "document", "pos", "f.*")
+    each = documents.withColumn("_f", F.explode(F.array(*[F.struct(F.lit(f).alias("fact"), F.lit(k).alias("kind")) for f, k in facts]))).select(*keys, "document", "pos", "_f.*")
     held = each.join(canonical_facts(readings, *keys), [*keys, "document", "pos", "fact", "kind"], "left")
     held = held.withColumn("norm", comparable_value(F.col("value"), F.col("kind")))
     held = held.join(outliers(held, [*keys, "fact"], "document", "norm"), [*keys, "fact"], "left")
@@ -183,4 +183,4 @@ def retry_choice(targets: DataFrame, exhausted: DataFrame, suggested: DataFrame,
     """The target to offer first: a suggested one if it isn't exhausted, else the first by kind and side."""
     open_ = targets.join(exhausted, [*keys, "kind", "side"], "left_anti").join(suggested.select(*keys, "kind").distinct().withColumn("hint", F.lit(0)), [*keys, "kind"], "left")
     best = F.min(F.struct(F.coalesce("hint", F.lit(1)).alias("rank"), "kind", "side"))
-    return open_.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.kind", "b.side")
+    return open_.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.kind", "_b.side")

@@ -135,3 +135,9 @@ def align(matches: DataFrame, key: str, threshold: float = 4.0, max_matches: int
         return pa.table({key: t.column(key)[:1], "homography": pa.array([None if h is None else h.ravel().tolist()], pa.list_(pa.float64())), "inliers": pa.array([int(inliers.sum())], pa.int64())})
 
     return matches.groupBy(key).applyInArrow(run, schema)
+
+
+def to_source(points: np.ndarray, corners: np.ndarray, width: int, height: int) -> np.ndarray | None:
+    """Points of a rectified image in the coordinates of the photo whose ``corners`` it was rectified from."""
+    h = solve_homography(np.array([[0, 0], [width - 1, 0], [width - 1, height - 1], [0, height - 1]], float), np.asarray(corners, float))
+    return None if h is None else apply_homography(h, np.asarray(points, float))

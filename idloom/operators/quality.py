@@ -94,7 +94,7 @@ def zone_checks(zones: DataFrame, *keys: str) -> DataFrame:
         "exposure": F.col("zone_paper").between(F.col("min_paper"), F.col("max_paper")),
     }
     rows = F.array(*[F.struct(F.concat(F.lit(f"zone_{k}."), F.col("zone_id")).alias("check_id"), F.coalesce(v, F.lit(False)).alias("passed")) for k, v in ok.items()])
-    return zones.where("required").select(*keys, F.explode(rows).alias("c")).select(*keys, "c.*")
+    return zones.where("required").select(*keys, F.explode(rows).alias("_c")).select(*keys, "_c.*")
 
 
 def best_frame(frames: DataFrame, *keys: str) -> DataFrame:
@@ -118,3 +118,23 @@ def upgrade_profile(saved: dict) -> dict:
     if saved.get("version", 1) < 2:
         return {"version": 2, "mode": saved.get("mode", "observe"), "limits": dict(dims.PROFILE)}
     return {"version": 2, "mode": saved.get("mode", "observe"), "limits": dims.PROFILE | saved.get("limits", {})}
+
+
+def telemetry(frames: DataFrame, *keys: str) -> DataFrame:
+    """A compact report of evaluated frames: score, verdict, hint and the status of each check."""
+    checks = F.map_from_entries(F.transform("checks", lambda c: F.struct(c["key"], c["status"])))
+    n = lambda status: F.size(F.filter("checks", lambda c: c["status"] == status)).cast("long")
+    return frames.select(*keys, "score", "passed", "hint", checks.alias("checks"), n("pass").alias("met"), n("fail").alias("failed"), n("warn").alias("warned"))
+
+
+def read_limit(profile: dict, path: str):
+    """A profile's value by its dotted path, or None."""
+    for part in path.split("."):
+        profile = profile.get(part) if isinstance(profile, dict) else None
+    return profile
+
+
+def write_limit(profile: dict, path: str, value) -> dict:
+    """A copy of the profile with the value at a dotted path replaced."""
+    head, _, rest = path.partition(".")
+    return profile | {head: write_limit(profile.get(head, {}), rest, value) if rest else value}

@@ -54,23 +54,23 @@ def result_view(sessions: DataFrame, summary: DataFrame) -> DataFrame:
 def flow(documents: DataFrame, captures: DataFrame, conflicts: DataFrame, *keys: str) -> DataFrame:
     """(…keys, current_kind, next_side, phase, completed). ``documents`` has (…keys, pos, kind, confirmed, status, blocking);
     ``captures`` has (…keys, kind, side); ``conflicts`` has (…keys, blocking)."""
-    open_ = documents.where("NOT confirmed").groupBy(*keys).agg(F.min_by(F.struct("kind", "status", "blocking"), "pos").alias("c"))
+    open_ = documents.where("NOT confirmed").groupBy(*keys).agg(F.min_by(F.struct("kind", "status", "blocking"), "pos").alias("_c"))
     done = documents.groupBy(*keys).agg(F.count_if("confirmed").alias("completed"))
     sides = F.broadcast(documents.sparkSession.createDataFrame([(k, i, s) for k in dims.KINDS for i, s in enumerate(dims.SIDES[k])], "kind string, pos int, side string"))
-    now = open_.select(*keys, "c.*").join(sides, "kind").join(captures.select(*keys, "kind", "side"), [*keys, "kind", "side"], "left_anti")
+    now = open_.select(*keys, "_c.*").join(sides, "kind").join(captures.select(*keys, "kind", "side"), [*keys, "kind", "side"], "left_anti")
     next_side = now.groupBy(*keys).agg(F.min_by("side", "pos").alias("next_side"))
     both = done.join(open_, list(keys), "left").join(next_side, list(keys), "left").join(conflicts.select(*keys, F.col("blocking").alias("_cross")), list(keys), "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
     phase = (
-        F.when(F.col("c").isNull(), F.when(yes(F.col("_cross")), "consistency").otherwise("complete"))
+        F.when(F.col("_c").isNull(), F.when(yes(F.col("_cross")), "consistency").otherwise("complete"))
         .when(F.col("next_side").isNotNull(), "capture")
-        .when(F.col("c.status") == "processing", "processing")
-        .when(yes(F.col("c.blocking")), "consistency")
-        .when(F.col("c.status") == "incomplete", "incomplete")
-        .when(F.col("c.status") == "ready", "review")
+        .when(F.col("_c.status") == "processing", "processing")
+        .when(yes(F.col("_c.blocking")), "consistency")
+        .when(F.col("_c.status") == "incomplete", "incomplete")
+        .when(F.col("_c.status") == "ready", "review")
         .otherwise("processing")
     )
-    return both.select(*keys, F.col("c.kind").alias("current_kind"), "next_side", phase.alias("phase"), "completed")
+    return both.select(*keys, F.col("_c.kind").alias("current_kind"), "next_side", phase.alias("phase"), "completed")
 
 
 def metric_lines(gauges: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import hashlib
 import hmac
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -115,3 +115,48 @@ def destinations(sessions: DataFrame, targets: DataFrame) -> DataFrame:
 def import_once(existing: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
     """The incoming rows that don't exist yet."""
     return incoming.join(existing.select(key), key, "left_anti")
+
+
+def revoke(keys: DataFrame, revocations: DataFrame, keep_first: bool = False) -> DataFrame:
+    """``keys`` with revocation times from (id, at): the last one counts, or with ``keep_first`` the one there was."""
+    last = revocations.groupBy("id").agg(F.max("at").alias("_at"))
+    now = F.coalesce("revoked_at", "_at") if keep_first else F.coalesce("_at", "revoked_at")
+    return keys.join(last, "id", "left").withColumn("revoked_at", now).drop("_at")
+
+
+def unavailable_documents(applications: DataFrame, available: DataFrame) -> DataFrame:
+    """(id, kind) of documents that a tenant's rules name and the catalogue doesn't offer."""
+    named = applications.select("id", F.explode("documents").alias("kind")).distinct()
+    return named.join(available.where("available").select("kind"), "kind", "left_anti").select("id", "kind")
+
+
+def insecure_destinations(applications: DataFrame, *urls: str) -> DataFrame:
+    """(id, url) of destinations that aren't HTTPS."""
+    each = applications.select("id", F.explode(F.array(*urls)).alias("url")).where("url IS NOT NULL")
+    return each.where(F.coalesce(F.lower(F.try_parse_url("url", F.lit("PROTOCOL"))) != "https", F.lit(True)))
+
+
+def configuration_problems(clients: DataFrame, required: DataFrame, known_fields: list[str]) -> DataFrame:
+    """(subject, problem, detail): required fields and policies that don't exist, ids and keys used twice, weak secrets."""
+    row = lambda df, subject, problem, detail: df.select(subject.cast("string").alias("subject"), F.lit(problem).alias("problem"), detail.alias("detail"))
+    policies = [p[0] for p in dims.POLICIES]
+    parts = [
+        row(required.where(~F.col("field").isin(known_fields)), F.col("kind"), "unknown_field", F.col("field")),
+        row(clients.select("id", F.explode("policies").alias("p")).where(~F.col("p").isin(policies)), F.col("id"), "unknown_policy", F.col("p")),
+        row(clients.groupBy("id").count().where("count > 1"), F.col("id"), "id_twice", F.lit(None).cast("string")),
+        row(clients.groupBy("api_key").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n > 1"), F.col("id"), "key_twice", F.lit(None).cast("string")),
+        row(clients.where(F.length("api_key") < 32), F.col("id"), "weak_secret", F.lit(None).cast("string")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def consume_tokens(issued: DataFrame, uses: DataFrame) -> DataFrame:
+    """(use columns, accepted): the first use of a token within its life is accepted, every other one is not. ``issued``
+    has (token, expires_at_ms), ``uses`` (use_id, token, at_ms)."""
+    known = uses.join(issued.select("token", "expires_at_ms"), "token", "left")
+    live = F.coalesce(F.col("at_ms") < F.col("expires_at_ms"), F.lit(False))
+    first = F.min(F.when(live, F.struct("at_ms", "use_id"))).over(Window.partitionBy("token"))
+    return known.withColumn("_first", first).select("use_id", "token", "at_ms", F.coalesce(live & (F.struct("at_ms", "use_id") == F.col("_first")), F.lit(False)).alias("accepted"))
