@@ -143,8 +143,9 @@ def cross_document(readings: DataFrame, *keys: str, scope: str | None = None) ->
     documents = readings.select(*keys, "document", "pos").distinct()
     facts = [(f, k) for f, _, k in dims.IDENTITY_FACTS if scope != "onboarding" or f in dims.ONBOARDING]
     each = documents.withColumn("_f", F.explode(F.array(*[F.struct(F.lit(f).alias("fact"), F.lit(k).alias("kind")) for f, k in facts]))).select(*keys, "document", "pos", "_f.*")
-    held = each.join(canonical_facts(readings, *keys), [*keys, "document", "pos", "fact", "kind"], "left")
-    held = held.withColumn("norm", comparable_value(F.col("value"), F.col("kind")))
+    # values are normalised where there are any, before the grid of documents and facts
+    known = canonical_facts(readings, *keys).withColumn("norm", comparable_value(F.col("value"), F.col("kind")))
+    held = each.join(known, [*keys, "document", "pos", "fact", "kind"], "left")
     held = held.join(outliers(held, [*keys, "fact"], "document", "norm"), [*keys, "fact"], "left")
     a = held.select(*keys, "fact", "kind", "suggested", F.col("document").alias("a_document"), F.col("pos").alias("a_pos"), F.col("norm").alias("a"))
     b = held.select(*keys, "fact", F.col("document").alias("b_document"), F.col("pos").alias("b_pos"), F.col("norm").alias("b"))

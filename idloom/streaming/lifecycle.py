@@ -30,13 +30,13 @@ def fold_stream(events: DataFrame, late: str = "10 minutes", timers: bool = True
         if group.hasTimedOut:
             L.step(state, dict.fromkeys(L.COLUMNS) | {"type": "tick", "at_ms": max(group.getCurrentWatermarkMs(), state["expires"])})
         else:
-            rows = [r for f in frames for r in f.astype(object).where(f.notna(), None).to_dict("records")]
+            rows = [dict(zip(L.COLUMNS, [None if v is None or v != v else v for v in r], strict=True)) for f in frames for r in zip(*(f[c].tolist() for c in L.COLUMNS), strict=True)]
             for e in sorted(rows, key=lambda r: (r["seq"], r["at_ms"], r["type"])):
-                L.step(state, {c: e[c] for c in L.COLUMNS})
+                L.step(state, e)
         group.update((L.dump(state),))
         if timers and state["status"] and state["status"] not in L.dims.FINAL and state["status"] != "processing":
             group.setTimeoutTimestamp(max(state["expires"], group.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([L.view(key[0], state)], columns=names).astype({"version": "int64", "expires_at_ms": "int64", "confirmed": "int64", "rejected": "int64"})
+        yield pd.DataFrame({n: [v] for n, v in zip(names, L.view(key[0], state), strict=True)})
 
     timeout = GroupStateTimeout.EventTimeTimeout if timers else GroupStateTimeout.NoTimeout
     return timed.groupBy("session_id").applyInPandasWithState(run, L.OUTPUT, "state string", "update", timeout)
