@@ -61,7 +61,8 @@ def merge_pairs(pairs: DataFrame, comparable: list[str] | None = None, same: Col
     source = F.when(both & same, "both").when(both, "conflict").when(F.col("front").isNotNull(), "front").when(F.col("back").isNotNull(), "back").otherwise("none")
     value = F.when(~(both & ~same), F.coalesce("front", "back"))
     merged = F.when(split, split_rows).otherwise(F.array(row(F.col("field"), value, source)))
-    return pairs.select(*keys, F.explode(merged).alias("_m")).select(*keys, "_m.*")
+    # never empty; explode() would add a filter that evaluates the comparison again
+    return pairs.select(*keys, F.explode_outer(merged).alias("_m")).select(*keys, "_m.*")
 
 
 def outcome_of(a: Column, b: Column, fuzzy: Column | bool, floor_outcome: str, below_outcome: str) -> Column:
