@@ -217,13 +217,22 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tex
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, text_col: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` without the near copies of a document that stays (the one with the least id of its component).
+    """``docs`` with one row of each component: the one with the least id (a row without an id only if there is no
+    other), and one of equal ones.
 
-    Rows without an id stay. Only the ids to drop meet the texts: broadcast when their counted size is small, else by
-    a shuffled anti join.
+    Rows are told apart by a key of their own, written with them once, so repeated rows, rows without an id and several
+    texts of one id are decided each for itself; rows without words stay. Only the keys to drop meet the texts:
+    broadcast when their counted size is small, else by a shuffled anti join.
     """
-    gone = materialize(near_duplicates(docs, k, percent, text_col, key).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(key)).distinct(), "dropped")
-    return docs.join(bounded_broadcast(gone, 40), key, "left_anti")
+    row = "_near_row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    found = materialize(near_duplicates(docs, k, percent, text_col, row).select(F.col("doc_id").alias(row), "component_id"), "placed")
+    ids = found.join(docs.select(row, F.col(f"`{key}`").alias("_id")), row)
+    stay = ids.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", row)).alias("top")).select(F.col("top").getField(row).alias(row))
+    gone = materialize(found.select(row).join(stay, row, "left_anti"), "dropped")
+    return docs.join(bounded_broadcast(gone, 40), row, "left_anti").drop(row)
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

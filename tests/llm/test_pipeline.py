@@ -5,7 +5,8 @@ import pytest
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from idloom.llm import registry  # noqa: E402
-from tests.llm.common import words  # noqa: E402
+from idloom.llm.common import materialize  # noqa: E402
+from tests.llm.common import frame, words  # noqa: E402
 from tests.llm.test_dedup import brute, removed  # noqa: E402
 from tests.llm.test_tokens import check_packed  # noqa: E402
 
@@ -82,6 +83,19 @@ def test_one_document_of_each_group_stays(stages):
     assert {i for i, _ in pairs(out["near_duplicates"])} == {c for _, _, c in brute(before, 5)}
 
 
+def test_one_row_of_each_group_stays_with_its_text(spark):
+    rng = random.Random(4)
+    a, b, c, d, e = (" ".join(words(rng, 80)) for _ in range(5))
+    repeated, copied, without_ids, two_texts = [(7, a), (7, a)], [(8, b), (None, b)], [(None, c), (None, c)], [(9, d), (10, d), (10, e)]
+    rows = [*repeated, *copied, *without_ids, *two_texts, (None, a + " changed"), (11, ""), (11, "")]
+    want = sorted([(7, a), (8, b), (None, c), (9, d), (10, e), (11, ""), (11, "")], key=str)
+    docs = frame(spark, rows)
+    near = materialize(corpus_pipeline.near_duplicates(spark, docs, ""), "near")
+    assert near.columns == docs.columns
+    assert sorted(pairs(near), key=str) == want
+    assert sorted(pairs(corpus_pipeline.repeated_passages(spark, near, "")), key=str) == want
+
+
 def test_passages_are_removed(stages):
     import hashlib
 
