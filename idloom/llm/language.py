@@ -32,13 +32,15 @@ from pyspark.sql import types as T
 from idloom.llm.common import fold_of, keep_where, table, with_columns
 
 #: Labelled rows of each language, and languages (the most frequent), that are learned from at most.
-DOCS_PER_LANG, LANGS = 900, 64
+DOCS_PER_LANG, LANGS = 1500, 64
 #: Words of each training row and sequence.
-WINDOW = 30
+WINDOW = 40
 TABLE_BITS, GRAMS = 18, (2, 3, 4, 5)
 EPOCHS, RATE, RIDGE = 40, 0.15, 1e-5
 #: Words of a chunk, and words in a worker's emission cache (emptied when full).
 CHUNK, CACHE = 64, 250_000
+#: Numbers in the largest array of one slice of texts (their words or chunks by the squared number of labels).
+SLICE = 1 << 21
 #: A filter keeps documents whose best language has at least this mean marginal.
 LEAST_SCORE = 0.4
 UND = "und"
@@ -147,6 +149,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / x.sum(-1, keepdims=True)
 
 
+def slices(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """(first, end) of runs of neighbours whose sizes add up to ``most`` at most (a larger single one goes alone)."""
+    ends, out, start, floor = np.cumsum(sizes), [], 0, 0
+    while start < len(sizes):
+        stop = max(int(np.searchsorted(ends, floor + most, "right")), start + 1)
+        out.append((start, stop))
+        start, floor = stop, int(ends[stop - 1])
+    return out
+
+
 def forward_backward(potentials: np.ndarray, lengths: np.ndarray, transfer: np.ndarray) -> np.ndarray:
     """Exact posteriors of chains that lie one after another in ``potentials``; a chain starts from equal labels."""
     k, transfer = potentials.shape[1], transfer.astype(np.float32)
@@ -187,7 +199,8 @@ def forward_backward(potentials: np.ndarray, lengths: np.ndarray, transfer: np.n
 
 
 def train(rows: list[tuple[str, list[str]]], seed: int = 5) -> Crf:
-    """Maximum likelihood by Adam over labelled runs of words; half of the sequences splice two runs."""
+    """Maximum likelihood by Adam over labelled runs of words; half of the sequences splice two runs. Each step's
+    gradient is exact and summed over slices of sequences, so posteriors and pair terms of one slice are held at once."""
     labels = tuple(sorted({lang for lang, _ in rows}))
     if not labels:
         return Crf((), np.zeros((_ZERO + 1, 0), np.float32), np.zeros((0, 0)))
@@ -219,20 +232,28 @@ def train(rows: list[tuple[str, list[str]]], seed: int = 5) -> Crf:
     at = np.flatnonzero(inner)
     goal = np.zeros((k, k))
     np.add.at(goal, (gold[at - 1], gold[at]), 1)
-    target = np.zeros((n_words, k), np.float32)
-    target[np.arange(n_words), gold] = 1
+    bounds = np.append(begin, n_words)
+    parts = [(i, j, bounds[i], bounds[j]) for i, j in slices(lengths, SLICE // k**2)]
     m1, v1, m2, v2 = np.zeros_like(w), np.zeros_like(w), np.zeros_like(trans), np.zeros_like(trans)
     for epoch in range(1, EPOCHS + 1):
         scores = np.add.reduceat(w[slot_by_word], word_start, axis=0)
-        e = np.exp(np.maximum(scores - scores.max(1, keepdims=True), -60)).astype(np.float32)[word]
-        p = forward_backward(e, lengths, np.exp(trans))
-        residual = target - p
-        by_word = np.stack([np.bincount(word, residual[:, j], len(vocabulary)) for j in range(k)], 1).astype(np.float32)
-        g = np.add.reduceat(by_word[of], start, axis=0) / n_words - RIDGE * w
-        # expected transitions from neighbouring marginals and the pair potential
-        pair = p[at - 1][:, :, None] * np.exp(trans)[None] * p[at][:, None, :]
-        pair /= pair.sum((1, 2), keepdims=True)
-        gt = (goal - pair.sum(0)) / n_words - 1e-3 * trans
+        e = np.exp(np.maximum(scores - scores.max(1, keepdims=True), -60)).astype(np.float32)
+        transfer = np.exp(trans)
+        by_word, expected = np.zeros((len(vocabulary), k)), np.zeros((k, k))
+        for i, j, low, high in parts:
+            words = word[low:high]
+            p = forward_backward(e[words], lengths[i:j], transfer)
+            # expected transitions from neighbouring marginals and the pair potential
+            at = np.flatnonzero(inner[low:high])
+            pair = p[at - 1][:, :, None] * transfer[None] * p[at][:, None, :]
+            pair /= pair.sum((1, 2), keepdims=True)
+            expected += pair.sum(0)
+            residual = -p
+            residual[np.arange(len(p)), gold[low:high]] += 1
+            for y in range(k):
+                by_word[:, y] += np.bincount(words, residual[:, y], len(vocabulary))
+        g = np.add.reduceat(by_word.astype(np.float32)[of], start, axis=0) / n_words - RIDGE * w
+        gt = (goal - expected) / n_words - 1e-3 * trans
         for x, grad, m, v in ((w, g, m1, v1), (trans, gt, m2, v2)):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)

@@ -146,6 +146,22 @@ def test_forward_backward_equals_brute_force():
         at += n
 
 
+def test_training_in_slices_gives_the_same_model(monkeypatch):
+    rng = random.Random(12)
+    pools = ["".join(rng.choice(letters) for _ in range(5)) for letters in ("abcdef", "efghij") for _ in range(40)]
+    rows = [(x, [rng.choice(pools[i * 40 : i * 40 + 40]) for _ in range(rng.randint(1, 30))]) for _ in range(60) for i, x in enumerate(("en", "fr"))]
+    whole = language.train(rows)
+    monkeypatch.setattr(language, "SLICE", 4 * 50)
+    parts = language.train(rows)
+    assert np.allclose(whole.weights, parts.weights, atol=1e-3) and np.allclose(whole.transitions, parts.transitions, atol=1e-3)
+
+
+def test_learns_from_1500_rows_of_40_words(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(["word"] * 50), "en") for i in range(1600)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "train", lambda rows: [len(words) for _, words in rows])
+    assert language.fit(docs, docs) == [40] * 1500
+
+
 def test_language_of_odd_documents(spark):
     _, _, model = fitted(spark)
     assert language.predict(frame(spark), model).count() == len(corpus())
