@@ -9,8 +9,8 @@ Forward-backward is exact for texts of any length and runs over a whole batch at
 each chunk's transfer matrix is one product over its words, chunk borders are scanned in order, and then all chunks
 run side by side.
 
-The model learns from at most ``docs_per_lang`` labelled rows of each language, WINDOW consecutive words of each (from
-a place chosen by a hash of the id). Half of the training sequences splice two rows, so that switches are seen.
+The model knows every language of the labelled rows. It learns from at most ``docs_per_lang`` rows of each, WINDOW
+consecutive words of each (from a place chosen by a hash of the id), and SAMPLE_WORDS words in all. Half of the training sequences splice two rows, so that switches are seen.
 
 Defined cases: a null or empty text and one without letters is ``und`` with score 0; words without letters have no
 label; texts are used whole; ties go to the label that sorts first; repeated rows are predicted alike; a null id is
@@ -31,8 +31,9 @@ from pyspark.sql import types as T
 
 from idloom.llm.common import fold_of, keep_where, table, with_columns
 
-#: Labelled rows of each language, and languages (the most frequent), that are learned from at most.
-DOCS_PER_LANG, LANGS = 1500, 64
+#: Labelled rows of each language that are learned from at most, and words of all languages together (beyond that each
+#: language gets fewer rows, at least one).
+DOCS_PER_LANG, SAMPLE_WORDS = 1500, 300_000
 #: Words of each training row and sequence.
 WINDOW = 40
 TABLE_BITS, GRAMS = 18, (2, 3, 4, 5)
@@ -113,7 +114,9 @@ class Crf:
 
     def marginals(self, potentials: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Posterior label probabilities of all words; ``lengths`` are the words of each text (each at least 1)."""
-        return forward_backward(potentials, lengths, np.exp(self.transitions))
+        transfer, ends = np.exp(self.transitions), np.append(0, np.cumsum(lengths))
+        parts = slices(-(-lengths // CHUNK), SLICE // len(self.labels) ** 2)
+        return np.concatenate([forward_backward(potentials[ends[i] : ends[j]], lengths[i:j], transfer) for i, j in parts])
 
     def label_words(self, words: list[str]) -> list[str]:
         """The likeliest label of each word of one text."""
@@ -266,11 +269,12 @@ def train(rows: list[tuple[str, list[str]]], seed: int = 5) -> Crf:
 
 def fit(docs: DataFrame, learn: DataFrame, text_col: str = "text", key: str = "doc_id", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> Crf:
     """A model from a bounded sample of ``learn`` (key and language of the rows that may be learned from). What is
-    broadcast are at most LANGS * docs_per_lang keys; the driver gets WINDOW words of each."""
+    broadcast are at most docs_per_lang keys of each language; the driver gets WINDOW words of each."""
     known = learn.where(F.col(lang_col).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(lang_col).alias("_lang"))
-    langs = [r["_lang"] for r in known.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(LANGS).collect()]
+    langs = [r["_lang"] for r in known.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").collect()]
     if not langs:
         return train([])
+    docs_per_lang = min(docs_per_lang, max(SAMPLE_WORDS // (WINDOW * len(langs)), 1))
     chosen = None
     for lang in langs:
         part = known.where(F.col("_lang") == lang).orderBy(F.xxhash64("_key"), "_key").limit(docs_per_lang)

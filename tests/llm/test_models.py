@@ -162,6 +162,24 @@ def test_learns_from_1500_rows_of_40_words(spark, monkeypatch):
     assert language.fit(docs, docs) == [40] * 1500
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(["word"] * 50), f"l{i % 70}") for i in range(210)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "train", lambda rows: rows)
+    monkeypatch.setattr(language, "SAMPLE_WORDS", 70 * 2 * language.WINDOW)
+    got = [lang for lang, _ in language.fit(docs, docs)]
+    assert sorted(got) == sorted([f"l{i}" for i in range(70)] * 2)
+
+
+def test_marginals_in_slices(monkeypatch):
+    rng = np.random.default_rng(2)
+    crf = language.Crf(("a", "b", "c"), np.zeros((1, 3)), rng.normal(size=(3, 3)))
+    lengths = np.array([1, 200, 64, 65, 3, 129])
+    e = rng.random((lengths.sum(), 3)).astype(np.float32)
+    whole = crf.marginals(e, lengths)
+    monkeypatch.setattr(language, "SLICE", 9 * 3)
+    assert np.allclose(whole, crf.marginals(e, lengths), atol=1e-6)
+
+
 def test_language_of_odd_documents(spark):
     _, _, model = fitted(spark)
     assert language.predict(frame(spark), model).count() == len(corpus())
