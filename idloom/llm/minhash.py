@@ -8,8 +8,9 @@
 4. Buckets that still hold several components are finished by an exact prefix filter: of two linked sets, the rarest
    shingles have one in common. Members outside a bucket's largest component are compared with the sets that share one
    with them and are in another component. So each pair that shares a bucket is linked, in one component already,
-   ruled out by an exact bound, or compared; the only loss is banding's own: a pair at the threshold shares no bucket
-   with probability (1 - 0.8**ROWS)**BANDS, which is 4e-7.
+   ruled out by an exact bound or by its signatures, or compared. Two losses are left for a pair at the threshold: it
+   shares no bucket with probability (1 - 0.8**ROWS)**BANDS, which is 4e-7, and fails the signature check of step 3,
+   which these candidates pass through too, with probability 1e-9 (see SLACK).
 
 Defined cases: a null or empty text and one without words has an empty set and is linked with nothing; a text with
 fewer words than a shingle has one shingle, the whole sequence; repeated rows and equal texts are one class; a null id
@@ -33,8 +34,9 @@ from idloom.llm.components import components
 BANDS, ROWS = 28, 4
 #: Words of a shingle, and the least similarity in hundredths, unless a caller says otherwise.
 WORDS, PERCENT = 5, 80
-#: Candidates whose share of equal minima is so far under the threshold (5.5 standard deviations) aren't confirmed.
-SLACK = 0.2
+#: Candidates whose share of equal minima is so far under the threshold aren't confirmed: a pair at 0.8 has fewer than
+#: 62 of 112 equal ones with probability 1e-9 (exact binomial).
+SLACK = 0.25
 _rng = np.random.default_rng(97)
 _A = _rng.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)

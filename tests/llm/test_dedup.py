@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -93,6 +94,21 @@ def test_signature_estimates_similarity():
     assert abs((minhash.signature(a) == minhash.signature(b)).mean() - 0.8) < 0.15
 
 
+def test_signature_check_loses_less_than_banding():
+    n = minhash.BANDS * minhash.ROWS
+    least = math.ceil((0.8 - minhash.SLACK) * n)
+    lost = sum(math.comb(n, i) * 0.8**i * 0.2 ** (n - i) for i in range(least))
+    assert lost < (1 - 0.8**minhash.ROWS) ** minhash.BANDS / 100
+
+
+def test_pairs_with_65_equal_minima_are_confirmed(spark):
+    a, b = np.arange(112, dtype=np.uint32), np.arange(112, dtype=np.uint32)
+    b[65:] += 1000
+    classes = spark.createDataFrame([(b"a", 100, a.tobytes()), (b"b", 100, b.tobytes())], "digest binary, n_shingles long, sig binary")
+    pair = spark.createDataFrame([(b"a", b"b")], "a binary, b binary")
+    assert minhash._alike(pair, classes, 80).count() == 1
+
+
 def test_stars_find_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
