@@ -6,10 +6,8 @@ for UTF-8 text, so no regular expression is needed.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,9 +27,12 @@ CACHE_WORDS = 350_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests), a local one is made and set."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a local Spark gets a temporary folder; on a
+    cluster it is an error, as a folder of one machine wouldn't reach the others."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-idloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -61,6 +62,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A key is hot if it holds more than a HOT_KEYS-th of all rows, so there are fewer than HOT_KEYS such keys.
+HOT_KEYS, BROADCAST_BYTES, SALTS = 1000, 16 << 20, 32
+
+
+def join_counted(many: DataFrame, one: DataFrame, keys: list[str], total: int, count: str = "n", how: str = "inner", row_bytes: Column | None = None) -> DataFrame:
+    """``many`` joined with ``one`` (inner or left), without a hot task: ``one`` has unique keys, and its column ``count``
+    says how many of the ``total`` rows of ``many`` have them. ``one`` is read more than once, so it should be written.
+
+    Hot keys are fewer than HOT_KEYS: their rows of ``one`` are broadcast if their summed ``row_bytes`` (64 each where not
+    given) are under BROADCAST_BYTES, else copied to SALTS salts. The other keys meet in a shuffled join.
+    """
+    hot = one.where(F.col(count) * HOT_KEYS > F.lit(total))
+    found, size = hot.agg(F.count("*"), F.coalesce(F.sum(F.lit(64) if row_bytes is None else row_bytes), F.lit(0))).first()
+    if not found:
+        return many.join(one.drop(count), keys, how)
+    names = F.broadcast(hot.select(*keys))
+    cold = many.join(names, keys, "left_anti").join(one.join(names, keys, "left_anti").drop(count), keys, how)
+    if size <= BROADCAST_BYTES:
+        return cold.unionByName(many.join(F.broadcast(hot.drop(count)), keys))
+    salted = many.join(names, keys, "left_semi").withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in many.columns]), F.lit(SALTS)))
+    copies = hot.drop(count).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return cold.unionByName(salted.join(copies, [*keys, "_salt"]).drop("_salt"))
+
+
 def bounded_broadcast(df: DataFrame, row_bytes: int, max_bytes: int = 16 << 20) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows fit ``max_bytes``, else unchanged (the join then shuffles)."""
     return F.broadcast(df) if df.count() * row_bytes <= max_bytes else df
@@ -163,6 +188,16 @@ def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:n]) * _power(n, True))
 
 
+def slices(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """(first, end) of runs of neighbours whose sizes add up to ``most`` at most (a larger single one goes alone)."""
+    ends, out, start, floor = np.cumsum(sizes), [], 0, 0
+    while start < len(sizes):
+        stop = max(int(np.searchsorted(ends, floor + most, "right")), start + 1)
+        out.append((start, stop))
+        start, floor = stop, int(ends[stop - 1])
+    return out
+
+
 def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -170,11 +205,3 @@ def as_long(x: np.ndarray) -> np.ndarray:
 def fold_of(key: Column, n: int) -> Column:
     """crc32(decimal text of the key) mod n, in the JVM."""
     return F.crc32(key.cast("string").cast("binary")) % F.lit(n)
-
-
-def crc_mod(key: int, n: int) -> int:
-    return zlib.crc32(str(key).encode()) % n
-
-
-def executor_tmp() -> str:
-    return os.environ.get("TMPDIR", tempfile.gettempdir())

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from idloom.llm.common import fold_of, keep_where, table, with_columns
+from idloom.llm.common import fold_of, keep_where, slices, table, with_columns
 
 #: Labelled rows of each language that are learned from at most, and words of all languages together (beyond that each
 #: language gets fewer rows, at least one).
@@ -152,16 +152,6 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / x.sum(-1, keepdims=True)
 
 
-def slices(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """(first, end) of runs of neighbours whose sizes add up to ``most`` at most (a larger single one goes alone)."""
-    ends, out, start, floor = np.cumsum(sizes), [], 0, 0
-    while start < len(sizes):
-        stop = max(int(np.searchsorted(ends, floor + most, "right")), start + 1)
-        out.append((start, stop))
-        start, floor = stop, int(ends[stop - 1])
-    return out
-
-
 def forward_backward(potentials: np.ndarray, lengths: np.ndarray, transfer: np.ndarray) -> np.ndarray:
     """Exact posteriors of chains that lie one after another in ``potentials``; a chain starts from equal labels."""
     k, transfer = potentials.shape[1], transfer.astype(np.float32)

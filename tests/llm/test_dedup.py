@@ -7,7 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from idloom.llm import minhash, substring
+from idloom.llm import common, minhash, substring
+from idloom.llm.common import WordHashes
 from idloom.llm.components import components
 from tests.llm.common import corpus, frame, with_clashes, words
 
@@ -167,6 +168,51 @@ def test_boundaries_of_shared_passages(spark):
     assert spans_of(frame(spark, rows)) == removed(rows)
 
 
+@pytest.mark.parametrize("most", [16 << 20, 0])
+def test_hot_keys_give_the_same_rows(spark, monkeypatch, most):
+    """All keys as hot ones: joined by a broadcast, or by salts."""
+    monkeypatch.setattr(common, "HOT_KEYS", 1 << 40)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+    assert spans_of(frame(spark), span=40) == removed(corpus(), 40)
+
+
+def test_parse_equals_brute_force():
+    """One document against one block: every window that the block holds is found, there too, and only those are left out."""
+    rng = random.Random(3)
+    for round_ in range(120):
+        pool = ["%d" % i for i in range(rng.choice([1, 2, 3, 40]))]
+        block = [rng.choice(pool).encode() for _ in range(rng.randint(20, 130))]
+        text = [rng.choice(pool).encode() for _ in range(rng.randint(12, 300))]
+        for _ in range(rng.randint(0, 4)):
+            a, at = rng.randrange(len(block)), rng.randrange(len(text))
+            text[at:at] = block[a : a + rng.randint(5, 60)]
+        same, span, start = round_ % 3 == 0, 12, rng.randrange(30)
+        if same:
+            block = text[start : start + 90]
+        windows = len(text) - span + 1
+        if windows < 1 or len(block) < span:
+            continue
+        parse = substring.Parse(span, WordHashes())
+        parse.add(b"d", [{"first": 0, "last": windows - 1, "ref_cls": b"d" if same else b"r", "ref_block": 7}], b" ".join(text), [{"ref_cls": b"d" if same else b"r", "ref_block": 7, "start": start, "block": b" ".join(block)}])
+        own, there, left = parse.run()
+        places = {}
+        for j in range(len(block) - span + 1):
+            places.setdefault(tuple(block[j : j + span]), []).append(start + j)
+        want, want_there = set(), set()
+        for i in range(windows):
+            for j in places.get(tuple(text[i : i + span]), []):
+                if not (same and i == j):
+                    want.add(i)
+                    want_there.add(j)
+        assert {i for _, i in own} == want and {i for _, i, _ in left} == set(range(windows)) - want
+        assert {j for _, j in there} == want_there
+
+
+def test_factors_are_the_longest_from_the_last_ones_end():
+    reach = np.array([9, 9, 0, 0, 0, 0, 0, 0, 0, 18, 19, 0, 0, 0, 0, 0, 0, 0, 0, 0, 30, 0])
+    assert list(substring._greedy(reach, np.flatnonzero(reach), 0, 21)) == [(0, 9), (9, 18), (20, 30)]
+
+
 def test_repeats_are_taken_out_of_texts(spark):
     docs = with_clashes(frame(spark))
     out = substring.remove_repeats(docs)

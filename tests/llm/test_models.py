@@ -1,11 +1,18 @@
 import random
+import zlib
 
 import numpy as np
 
 from idloom.llm import language, quality, toxicity
-from idloom.llm.common import WordHashes, crc_mod
+from idloom.llm.common import WordHashes
 from tests.llm.common import corpus, frame, with_clashes
 
+
+
+def crc_mod(key, n):
+    return zlib.crc32(str(key).encode()) % n
+
+
 # ---------------------------------------------------------------- quality
 
 
