@@ -9,13 +9,15 @@ Forward-backward is exact for texts of any length and runs over a whole batch at
 each chunk's transfer matrix is one product over its words, chunk borders are scanned in order, and then all chunks
 run side by side.
 
-The model knows every language of the labelled rows. It learns from at most ``docs_per_lang`` rows of each, WINDOW
-consecutive words of each (from a place chosen by a hash of the id), and SAMPLE_WORDS words in all. Half of the training sequences splice two rows, so that switches are seen.
+The model knows every language of the labelled rows. It learns from the whole texts of at most ``docs_per_lang`` rows of
+each (chosen by a hash of the id) and SAMPLE_BYTES of text in all, in mini-batches, so the driver's memory doesn't grow
+with the words. Half of the training sequences splice two rows, so that switches are seen. One row of HOLD_OUT isn't
+learned from: these rows and mixtures of them calibrate the score below which a filter takes a text for mixed.
 
 Defined cases: a null or empty text and one without letters is ``und`` with score 0; words without letters have no
 label; texts are used whole; ties go to the label that sorts first; repeated rows are predicted alike; a null id is
-never learned from and counts as held out; without labelled rows everything with letters is ``und`` with score 0; an
-empty table gives an empty result; other columns pass through, those named like a result column are replaced.
+never learned from and counts as held out; without labelled rows everything with letters is ``und`` with score 0; a
+language without a text of its share of SAMPLE_BYTES is learned from one longer text; an empty table gives an empty result; other columns pass through, those named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -25,25 +27,27 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from idloom.llm.common import fold_of, keep_where, slices, table, with_columns
+from idloom.llm.common import fold_of, keep_where, materialize, slices, table, with_columns
 
-#: Labelled rows of each language that are learned from at most, and words of all languages together (beyond that each
-#: language gets fewer rows, at least one).
-DOCS_PER_LANG, SAMPLE_WORDS = 1500, 300_000
-#: Words of each training row and sequence.
-WINDOW = 40
+#: Labelled rows of each language that are learned from at most, and bytes of all their texts (each language has an even
+#: share, and at least one text).
+DOCS_PER_LANG, SAMPLE_BYTES = 1500, 12 << 20
+#: One sampled row of so many is held out for the calibration.
+HOLD_OUT = 10
 TABLE_BITS, GRAMS = 18, (2, 3, 4, 5)
-EPOCHS, RATE, RIDGE = 40, 0.15, 1e-5
+#: Passes over the sample (more if that makes fewer than STEPS steps), words of a step, and AdaGrad's rate.
+EPOCHS, STEPS, BATCH, RATE, RIDGE = 4, 60, 32_768, 0.3, 1e-6
 #: Words of a chunk, and words in a worker's emission cache (emptied when full).
 CHUNK, CACHE = 64, 250_000
 #: Numbers in the largest array of one slice of texts (their words or chunks by the squared number of labels).
 SLICE = 1 << 21
-#: A filter keeps documents whose best language has at least this mean marginal.
-LEAST_SCORE = 0.4
+#: A filter keeps documents whose best language has at least this mean marginal, if it can't be calibrated; a calibrated
+#: one loses this share of held-out texts in one language at most.
+LEAST_SCORE, LOSS = 0.4, 0.001
 UND = "und"
 _ZERO = (1 << TABLE_BITS) + (1 << TABLE_BITS)  # index of the row that stays zero
 
@@ -80,11 +84,12 @@ class Crf:
     labels: tuple[str, ...]
     weights: np.ndarray  # feature rows x labels
     transitions: np.ndarray  # labels x labels
+    least_score: float = LEAST_SCORE
     _cache: dict = field(default_factory=dict, compare=False, repr=False)
 
     def __reduce__(self):
         used = np.flatnonzero(self.weights.any(1))
-        return _unpack, (self.labels, used.astype(np.int32), self.weights[used].astype(np.float32), self.transitions)
+        return _unpack, (self.labels, used.astype(np.int32), self.weights[used].astype(np.float32), self.transitions, self.least_score)
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Emission scores, words x labels."""
@@ -142,18 +147,19 @@ class Crf:
         return names, scores
 
 
-def _unpack(labels: tuple[str, ...], used: np.ndarray, values: np.ndarray, transitions: np.ndarray) -> Crf:
+def _unpack(labels: tuple[str, ...], used: np.ndarray, values: np.ndarray, transitions: np.ndarray, least_score: float) -> Crf:
     weights = np.zeros((_ZERO + 1, len(labels)), np.float32)
     weights[used] = values
-    return Crf(labels, weights, transitions)
+    return Crf(labels, weights, transitions, least_score)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / x.sum(-1, keepdims=True)
 
 
-def forward_backward(potentials: np.ndarray, lengths: np.ndarray, transfer: np.ndarray) -> np.ndarray:
-    """Exact posteriors of chains that lie one after another in ``potentials``; a chain starts from equal labels."""
+def messages(potentials: np.ndarray, lengths: np.ndarray, transfer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(forward, backward) messages of every word, each scaled to a sum of 1, of chains that lie one after another in
+    ``potentials``: forward holds the words up to this one, backward those after it."""
     k, transfer = potentials.shape[1], transfer.astype(np.float32)
     chunks = -(-lengths // CHUNK)
     first = np.concatenate([[0], np.cumsum(chunks)[:-1]])
@@ -164,10 +170,13 @@ def forward_backward(potentials: np.ndarray, lengths: np.ndarray, transfer: np.n
     e = np.ones((CHUNK, total, k), np.float32)
     live = np.zeros((CHUNK, total, 1), bool)
     e[step, row], live[step, row] = potentials, True
+    starts = np.zeros((total, 1), bool)
+    starts[first] = True  # a chain's first word has no transition
     # each chunk's product of transfer matrices; a dead step changes nothing
     product = np.broadcast_to(np.eye(k, dtype=np.float32), (total, k, k)).copy()
     for t in range(CHUNK):
-        after = (product.reshape(-1, k) @ transfer).reshape(total, k, k) * e[t][:, None, :]
+        moved = (product.reshape(-1, k) @ transfer).reshape(total, k, k)
+        after = (np.where(starts[:, :, None], product, moved) if t == 0 else moved) * e[t][:, None, :]
         product = np.where(live[t][:, :, None], after / after.max((1, 2), keepdims=True), product)
     # the distribution that enters each chunk from either side
     into, out_of = np.full((total, k), 1 / k, np.float32), np.full((total, k), 1 / k, np.float32)
@@ -177,112 +186,154 @@ def forward_backward(potentials: np.ndarray, lengths: np.ndarray, transfer: np.n
     for j in range(int(chunks.max()) - 2, -1, -1):
         at = first[chunks > j + 1] + j
         out_of[at] = _unit(np.einsum("nij,nj->ni", product[at + 1], out_of[at + 1]))
-    alpha, now = np.empty_like(e), into
+    alpha, beta, now = np.empty_like(e), np.empty_like(e), into
     for t in range(CHUNK):
-        now = np.where(live[t], _unit(now @ transfer * e[t]), now)
+        moved = now @ transfer
+        now = np.where(live[t], _unit((np.where(starts, now, moved) if t == 0 else moved) * e[t]), now)
         alpha[t] = now
     now = out_of
     for t in range(CHUNK - 1, -1, -1):
-        alpha[t] *= now
+        beta[t] = now
         now = np.where(live[t], _unit((now * e[t]) @ transfer.T), now)
-    return _unit(alpha[step, row])
+    return alpha[step, row], beta[step, row]
+
+
+def forward_backward(potentials: np.ndarray, lengths: np.ndarray, transfer: np.ndarray) -> np.ndarray:
+    """Exact posteriors of the words of chains that lie one after another in ``potentials``."""
+    alpha, beta = messages(potentials, lengths, transfer)
+    return _unit(alpha * beta)
 
 
 # ---------------------------------------------------------------- learning
 
 
+def gradient(scores: np.ndarray, lengths: np.ndarray, gold: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the log-likelihood of the labels ``gold`` by emission scores (words x labels) and by transitions: what
+    is labelled less what is expected. The expected transitions are sums of exact pairwise posteriors."""
+    transfer = np.exp(transitions)
+    e = np.exp(np.maximum(scores - scores.max(1, keepdims=True), -60)).astype(np.float32)
+    by_word, pairs = np.empty_like(e), np.zeros_like(transfer)
+    ends = np.append(0, np.cumsum(lengths))
+    for i, j in slices(lengths, SLICE // len(transfer) ** 2):
+        low, high = ends[i], ends[j]
+        alpha, beta = messages(e[low:high], lengths[i:j], transfer)
+        by_word[low:high] = -_unit(alpha * beta)
+        inner = np.ones(high - low, bool)
+        inner[ends[i:j] - low] = False  # words that have a word before them
+        at = np.flatnonzero(inner)
+        before, here = alpha[at - 1].astype(np.float64), (e[low:high] * beta)[at].astype(np.float64)
+        z = ((before @ transfer) * here).sum(1, keepdims=True)
+        pairs -= transfer * ((before / z).T @ here)
+        np.add.at(pairs, (gold[low:high][at - 1], gold[low:high][at]), 1)
+    by_word[np.arange(len(gold)), gold] += 1
+    return by_word, pairs
+
+
 def train(rows: list[tuple[str, list[str]]], seed: int = 5) -> Crf:
-    """Maximum likelihood by Adam over labelled runs of words; half of the sequences splice two runs. Each step's
-    gradient is exact and summed over slices of sequences, so posteriors and pair terms of one slice are held at once."""
+    """Maximum likelihood by AdaGrad over labelled texts, in steps of about BATCH words; half of the sequences splice two
+    texts. What is held besides the texts is a table of weights and one step's arrays."""
     labels = tuple(sorted({lang for lang, _ in rows}))
     if not labels:
         return Crf((), np.zeros((_ZERO + 1, 0), np.float32), np.zeros((0, 0)))
     number, rng = {x: i for i, x in enumerate(labels)}, np.random.default_rng(seed)
-    runs = [([number[lang]] * len(words), words) for lang, words in rows if words]
-    sequences = list(runs)
-    for i in range(0, len(runs) - 1, 2):
-        a, b = runs[i], runs[int(rng.integers(len(runs)))]
-        m, n = int(rng.integers(1, len(a[1]) + 1)), int(rng.integers(1, len(b[1]) + 1))
-        sequences[i] = (a[0][:m] + b[0][:n], a[1][:m] + b[1][:n])
-    lengths = np.array([len(w) for _, w in sequences])
-    gold = np.concatenate([y for y, _ in sequences])
+    runs, k = [(number[lang], words) for lang, words in rows if words], len(labels)
+    lengths = np.array([len(w) for _, w in runs])
+    weights, trans = np.zeros((_ZERO + 1, k), np.float32), np.zeros((k, k))
+    sums, trans_sums = np.full_like(weights, 1e-6), np.full_like(trans, 1e-6)
+    steps = max(-(-int(lengths.sum()) // BATCH), 1) if runs else 0
+    for _ in range(max(EPOCHS, -(-STEPS // steps)) if runs else 0):
+        order = rng.permutation(len(runs))
+        for i, j in slices(lengths[order], BATCH):
+            words, gold, sizes = [], [], []
+            for a, b in zip(order[i:j], rng.permutation(order)[: j - i]):
+                (y, own), (z, other) = runs[a], runs[b]
+                if a % 2 and len(own) > 1:  # splice: the text goes on in another one
+                    cut = int(rng.integers(1, len(own)))
+                    from_ = int(rng.integers(0, len(other)))
+                    tail = other[from_ : from_ + len(own) - cut]
+                    own, labels_of = own[:cut] + tail, [y] * cut + [z] * len(tail)
+                else:
+                    labels_of = [y] * len(own)
+                words += own
+                gold += labels_of
+                sizes.append(len(own))
+            _step(weights, sums, trans, trans_sums, words, np.array(gold), np.array(sizes))
+    return Crf(labels, weights, trans)
+
+
+def _step(weights: np.ndarray, sums: np.ndarray, trans: np.ndarray, trans_sums: np.ndarray, words: list[str], gold: np.ndarray, lengths: np.ndarray) -> None:
+    """One step of AdaGrad on some sequences, in place."""
     vocabulary: dict[str, int] = {}
-    word = np.array([vocabulary.setdefault(w, len(vocabulary)) for _, ws in sequences for w in ws])
+    word = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words])
     features, of = word_features(list(vocabulary))
-    order = np.argsort(features, kind="stable")
-    features, of = features[order], of[order]
-    used, start = np.unique(features, return_index=True)
-    slot = np.repeat(np.arange(len(used), dtype=np.int32), np.diff(np.append(start, len(features))))
-    back = np.argsort(of, kind="stable")
-    word_start = np.searchsorted(of[back], np.arange(len(vocabulary)))
-    slot_by_word = slot[back]
-    del features, order, slot, back
-    k, n_words = len(labels), len(word)
-    w, trans = np.zeros((len(used), k), np.float32), np.zeros((k, k))
-    begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    inner = np.ones(n_words, bool)
-    inner[begin] = False  # words that have a word before them
-    at = np.flatnonzero(inner)
-    goal = np.zeros((k, k))
-    np.add.at(goal, (gold[at - 1], gold[at]), 1)
-    bounds = np.append(begin, n_words)
-    parts = [(i, j, bounds[i], bounds[j]) for i, j in slices(lengths, SLICE // k**2)]
-    m1, v1, m2, v2 = np.zeros_like(w), np.zeros_like(w), np.zeros_like(trans), np.zeros_like(trans)
-    for epoch in range(1, EPOCHS + 1):
-        scores = np.add.reduceat(w[slot_by_word], word_start, axis=0)
-        e = np.exp(np.maximum(scores - scores.max(1, keepdims=True), -60)).astype(np.float32)
-        transfer = np.exp(trans)
-        by_word, expected = np.zeros((len(vocabulary), k)), np.zeros((k, k))
-        for i, j, low, high in parts:
-            words = word[low:high]
-            p = forward_backward(e[words], lengths[i:j], transfer)
-            # expected transitions from neighbouring marginals and the pair potential
-            at = np.flatnonzero(inner[low:high])
-            pair = p[at - 1][:, :, None] * transfer[None] * p[at][:, None, :]
-            pair /= pair.sum((1, 2), keepdims=True)
-            expected += pair.sum(0)
-            residual = -p
-            residual[np.arange(len(p)), gold[low:high]] += 1
-            for y in range(k):
-                by_word[:, y] += np.bincount(words, residual[:, y], len(vocabulary))
-        g = np.add.reduceat(by_word.astype(np.float32)[of], start, axis=0) / n_words - RIDGE * w
-        gt = (goal - expected) / n_words - 1e-3 * trans
-        for x, grad, m, v in ((w, g, m1, v1), (trans, gt, m2, v2)):
-            m += 0.1 * (grad - m)
-            v += 0.01 * (grad * grad - v)
-            x += RATE * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-8)
-        np.clip(trans, -6, 6, out=trans)
-    weights = np.zeros((_ZERO + 1, k), np.float32)
-    weights[used] = w
-    return Crf(labels, weights, trans)
+    used, slot = np.unique(features, return_inverse=True)
+    k, n = len(trans), len(vocabulary)
+    w = weights[used]
+    scores = np.stack([np.bincount(of, w[slot, y], n) for y in range(k)], 1)[word]
+    by_word, by_pair = gradient(scores, lengths, gold, trans)
+    total = np.stack([np.bincount(word, by_word[:, y], n) for y in range(k)], 1)
+    g = np.stack([np.bincount(slot, total[of, y], len(used)) for y in range(k)], 1) / len(words) - RIDGE * w
+    sums[used] += g * g
+    weights[used] = w + RATE * g / np.sqrt(sums[used])
+    by_pair = by_pair / len(words) - 1e-3 * trans
+    trans_sums += by_pair * by_pair
+    trans += RATE * by_pair / np.sqrt(trans_sums)
+    np.clip(trans, -6, 6, out=trans)
+
+
+def calibrate(model: Crf, rows: list[tuple[str, list[str]]], seed: int = 7) -> Crf:
+    """``model`` with the least score of a text in one language: half way between held-out texts and mixtures of two of
+    them in equal shares, but so that LOSS of the former are lost at most."""
+    rng, rows = np.random.default_rng(seed), [(lang, words) for lang, words in rows if words]
+    mixed = []
+    for lang, words in rows:
+        others = [w for x, w in rows if x != lang]
+        if others and len(words) > 1:
+            half = others[int(rng.integers(len(others)))]
+            n = min(len(words), len(half))
+            mixed.append(words[:n] + half[:n])
+    if not mixed:
+        return model
+    score = lambda texts: np.sort(model.predict([" ".join(x).encode() for x in texts])[1])
+    one, two = score([w for _, w in rows]), score(mixed)
+    low, high = float(one[int(LOSS * len(one))]), float(two[len(two) // 2])
+    return Crf(model.labels, model.weights, model.transitions, min((low + high) / 2, low))
 
 
 def fit(docs: DataFrame, learn: DataFrame, text_col: str = "text", key: str = "doc_id", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> Crf:
-    """A model from a bounded sample of ``learn`` (key and language of the rows that may be learned from). What is
-    broadcast are at most docs_per_lang keys of each language; the driver gets WINDOW words of each."""
+    """A calibrated model from a bounded sample of ``learn`` (key and language of the rows that may be learned from).
+
+    The driver gets the sample's texts (SAMPLE_BYTES, or one text of each language) and a row count of each language;
+    what is broadcast are those counts, about twice docs_per_lang keys of each language, and the sample's keys.
+    """
     known = learn.where(F.col(lang_col).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(lang_col).alias("_lang"))
-    langs = [r["_lang"] for r in known.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").collect()]
+    counts = materialize(known.groupBy("_lang").agg(F.count("*").alias("_n")), "languages")
+    langs = counts.count()
     if not langs:
         return train([])
-    docs_per_lang = min(docs_per_lang, max(SAMPLE_WORDS // (WINDOW * len(langs)), 1))
-    chosen = None
-    for lang in langs:
-        part = known.where(F.col("_lang") == lang).orderBy(F.xxhash64("_key"), "_key").limit(docs_per_lang)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(F.col(key).alias("_key"), F.col(text_col).alias("_text")).join(F.broadcast(chosen.distinct()), "_key")
+    share = SAMPLE_BYTES // langs
+    # a hash below a bound of each language leaves about twice the rows that are wanted, whatever the language's size
+    spread = F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) * F.col("_n") < F.lit((2 * docs_per_lang + 100) << 30)
+    likely = known.join(F.broadcast(counts), "_lang").where(spread).select("_key", "_lang").distinct()
+    rows = docs.select(F.col(key).alias("_key"), F.col(text_col).alias("_text"))
+    sized = rows.select("_key", F.octet_length("_text").alias("_size")).join(F.broadcast(likely), "_key").where("_size > 0")
+    first = Window.partitionBy("_lang").orderBy(F.col("_size") > share, F.xxhash64("_key"), "_key", "_size")
+    ranked = sized.withColumn("_rank", F.row_number().over(first)).withColumn("_sum", F.sum("_size").over(first.rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = ranked.where((F.col("_rank") == 1) | ((F.col("_rank") <= docs_per_lang) & (F.col("_sum") <= share))).select("_key", "_lang").distinct()
 
     def run(batches):
         for batch in batches:
-            keys, texts, names = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)
-            words = []
-            for k, text in zip(keys, texts, strict=True):
-                found = lettered(text)
-                start = zlib.crc32(f"w{k}".encode()) % max(len(found) - WINDOW + 1, 1)
-                words.append(" ".join(found[start : start + WINDOW]))
-            yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in keys]), names, pa.array(words)], names=["key", "lang", "words"])
+            words = [" ".join(lettered(x)) for x in batch.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words)], names=["key", "lang", "words"])
 
-    got = rows.select("_key", "_text", "_lang").mapInArrow(run, "key string, lang string, words string").collect()
-    return train([(r["lang"], r["words"].split(" ")) for r in sorted(got, key=lambda r: (zlib.crc32(r["key"].encode()), r["key"], r["lang"])) if r["words"]])
+    got = rows.join(F.broadcast(chosen), "_key").select(F.col("_key").cast("string"), "_lang", "_text").mapInArrow(run, "key string, lang string, words string").where("words <> ''").collect()
+    got = [(r["lang"], r["words"].split(" ")) for r in sorted(got, key=lambda r: (zlib.crc32(r["key"].encode()), r["key"], r["lang"], r["words"]))]
+    seen: dict[str, int] = {}
+    learned, held = [], []
+    for lang, words in got:
+        seen[lang] = seen.get(lang, 0) + 1
+        (held if seen[lang] % HOLD_OUT == 0 else learned).append((lang, words))
+    return calibrate(train(learned), held)
 
 
 def predict(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
@@ -297,8 +348,10 @@ def predict(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
     return with_columns(docs, text_col, fields, run)
 
 
-def keep_known_language(docs: DataFrame, model: Crf, least_score: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
-    """``docs`` without those that have no letters or no language that most of their words agree on."""
+def keep_known_language(docs: DataFrame, model: Crf, least_score: float | None = None, text_col: str = "text") -> DataFrame:
+    """``docs`` without those that have no letters or no language that their words agree on (by the model's calibrated
+    score where none is given)."""
+    least_score = model.least_score if least_score is None else least_score
     return keep_where(docs, text_col, lambda d: predict(d, model, "_text"), (F.col("lang_pred") != UND) & (F.col("score") >= least_score))
 
 
