@@ -8,7 +8,7 @@ Lexicon, exception phrases and curve are learned from a bounded sample of labell
 
 Defined cases: a null or empty text, or one without words, has the curve's value for zero matches; ties and repeated
 rows score alike; texts are scored whole; without labelled rows of both kinds the lexicon is empty and the score is
-the share of toxic labels (0 without labels); other columns pass through, those with the name of a result column are
+the share of toxic labels (0 without labels); an empty table gives an empty result; other columns pass through, those with the name of a result column are
 replaced; null ids are returned as they came (and count as held out).
 """
 
@@ -16,24 +16,24 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from idloom.llm.common import CACHE_WORDS, fold_of, table, with_columns
+from idloom.llm.common import CACHE_WORDS, fold_of, materialize, table, with_columns
 
 #: Labelled rows that may be learned from at most; the toxic and the other rows share them evenly.
 SAMPLE_ROWS = 12_000
-#: Candidates and entries of the lexicon at most (the most frequent candidates, the strongest entries).
-CANDIDATES, ENTRIES = 30_000, 5_000
-#: A word or stem must be in so many toxic sample rows, and this much likelier (log-likelihood ratio) there.
-MIN_ROWS, MIN_EVIDENCE = 5, 14.0
+#: A word or stem must be in so many toxic sample rows, and this much likelier there (log-likelihood ratio, log of the
+#: ratio of shares). An exception phrase must be in so many of the other rows, and in no toxic one.
+MIN_ROWS, MIN_EVIDENCE, MIN_RATIO, MIN_EXCEPTION = 5, 14.0, 0.7, 5
 STEM_LENGTHS = (4, 5, 6, 7)
 STRIP = b"#*%&!|.,;:?()[]{}<>\"'`~^+=_-/\\$"
 EDGE = "\0"
@@ -82,8 +82,13 @@ def folded(text: bytes | None, folds: Folds) -> list[str]:
 
 
 def entries_of(word: str) -> list[str]:
-    """The word between edges, and its stems after an edge."""
-    return [EDGE + word + EDGE, *(EDGE + word[:k] for k in STEM_LENGTHS if len(word) > k)]
+    """The word between edges, and its beginnings (itself too) after an edge: what the automaton finds in it."""
+    return [EDGE + word + EDGE, *(EDGE + word[:k] for k in STEM_LENGTHS if len(word) >= k)]
+
+
+def phrases_of(words: list[str], lexicon: frozenset[str]) -> set[str]:
+    """Pairs of neighbouring words of which one is in the lexicon."""
+    return {EDGE + a + EDGE + b + EDGE for a, b in zip(words, words[1:]) if a in lexicon or b in lexicon}
 
 
 @dataclass(frozen=True)
@@ -142,16 +147,14 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text_col: str, rows: i
     return docs.select(F.col(key).alias("_key"), F.col(text_col).alias("_text")).join(F.broadcast(parts[0].unionByName(parts[1])), "_key")
 
 
-def _counts(sample: DataFrame, entries: frozenset[str] | None) -> DataFrame:
-    """(entry, toxic rows, other rows) with the rows that hold it; of toxic rows' entries, or of the given ones."""
+def _counts(sample: DataFrame, entries_of_text: Callable[[list[str]], set[str]]) -> DataFrame:
+    """(entry, toxic rows, other rows) of all entries of the sample's folded texts, with the rows that hold them."""
 
     def run(batches):
         folds, found = Folds(), {0: Counter(), 1: Counter()}
         for batch in batches:
             for text, toxic in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = set(folded(text, folds))
-                own = {e for w in words for e in entries_of(w)}
-                found[int(toxic)].update(own if entries is None else own & entries)
+                found[int(toxic)].update(entries_of_text(folded(text, folds)))
         keys = list(found[0].keys() | found[1].keys())
         for i in range(0, len(keys), 20_000):
             part = keys[i : i + 20_000]
@@ -160,15 +163,15 @@ def _counts(sample: DataFrame, entries: frozenset[str] | None) -> DataFrame:
     return sample.select("_text", "_toxic").mapInArrow(run, "entry string, bad long, good long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
-def _evidence(bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int) -> tuple[np.ndarray, np.ndarray]:
-    """(log ratio of shares, log-likelihood ratio where the share is higher in toxic rows)."""
+def _evidence(n_bad: int, n_good: int) -> tuple[Column, Column]:
+    """(log ratio of shares, log-likelihood ratio of two shares against one) of the counts ``bad`` and ``good``."""
+    bad, good = F.col("bad"), F.col("good")
     p, q, r = (bad + 0.25) / (n_bad + 0.5), (good + 0.25) / (n_good + 0.5), (bad + good + 0.5) / (n_bad + n_good + 1)
 
-    def likelihood(k: np.ndarray, n: int, share: np.ndarray) -> np.ndarray:
-        return k * np.log(share) + (n - k) * np.log1p(-np.minimum(share, 1 - 1e-9))
+    def likelihood(k: Column, n: int, share: Column) -> Column:
+        return k * F.log(share) + (n - k) * F.log1p(-F.least(share, F.lit(1 - 1e-9)))
 
-    llr = likelihood(bad, n_bad, p) + likelihood(good, n_good, q) - likelihood(bad, n_bad, r) - likelihood(good, n_good, r)
-    return np.log(p / q), np.where(p > q, llr, 0)
+    return F.log(p / q), likelihood(bad, n_bad, p) + likelihood(good, n_good, q) - likelihood(bad, n_bad, r) - likelihood(good, n_good, r)
 
 
 def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
@@ -187,9 +190,9 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Lexicon:
-    """Learn lexicon, exception phrases and curve. The driver receives at most CANDIDATES entries, sample_rows rows of
-    three numbers, and counts."""
-    sample = _sample(docs, labels, key, text_col, sample_rows)
+    """Learn lexicon, exception phrases and curve from the sample, which is written once. The driver receives the entries
+    and phrases that pass the bounds on rows and evidence (counted and tested in Spark), and three numbers a row."""
+    sample = materialize(_sample(docs, labels, key, text_col, sample_rows), "toxicity-sample")
     known = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull() & (fold_of(F.col(key), 5) != 0))
     shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     totals = {r["_toxic"]: r["n"] for r in sample.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
@@ -197,14 +200,15 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", key: str = "
     prior = shares.get(1, 0) / max(sum(shares.values()), 1)
     if not n_bad or not n_good:
         return Lexicon({}, frozenset(), (prior,))
-    seen = _counts(sample.where("_toxic = 1"), None).where(F.col("bad") >= MIN_ROWS).orderBy(F.desc("bad"), "entry").limit(CANDIDATES).select("entry").collect()
-    rows = _counts(sample, frozenset(r["entry"] for r in seen)).collect()
-    if not rows:
+    ratio, evidence = _evidence(n_bad, n_good)
+    counted = _counts(sample, lambda words: {e for w in set(words) for e in entries_of(w)}).where(F.col("bad") >= MIN_ROWS)
+    chosen = counted.select("entry", ratio.alias("ratio"), evidence.alias("evidence")).where((F.col("evidence") >= MIN_EVIDENCE) & (F.col("ratio") > MIN_RATIO))
+    weights = {r["entry"]: round(r["ratio"], 4) for r in chosen.orderBy("entry").collect()}
+    if not weights:
         return Lexicon({}, frozenset(), (prior,))
-    ratio, evidence = _evidence(np.array([r["bad"] for r in rows], float), np.array([r["good"] for r in rows], float), n_bad, n_good)
-    order = sorted((i for i in range(len(rows)) if evidence[i] >= MIN_EVIDENCE and ratio[i] > 0.7), key=lambda i: (-evidence[i], rows[i]["entry"]))[:ENTRIES]
-    weights = {rows[i]["entry"]: round(float(ratio[i]), 4) for i in order}
-    lexicon = Lexicon(weights, _exceptions(sample, Lexicon(weights, frozenset())))
+    whole = frozenset(e.strip(EDGE) for e in weights if e.endswith(EDGE))
+    phrases = _counts(sample, lambda words: phrases_of(words, whole)).where((F.col("bad") == 0) & (F.col("good") >= MIN_EXCEPTION))
+    lexicon = Lexicon(weights, frozenset(r["entry"] for r in phrases.collect()))
     new = [T.StructField("x", T.ArrayType(T.DoubleType()))]
 
     def measure(texts: list[bytes | None]) -> list:
@@ -219,26 +223,6 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", key: str = "
     return Lexicon(weights, lexicon.exceptions, _curve(x - np.array(mean), y, weight), mean)
 
 
-def _exceptions(sample: DataFrame, lexicon: Lexicon) -> frozenset[str]:
-    """Two-word phrases around lexicon words that sample rows hold only where they are not toxic (5 rows at least)."""
-
-    def run(batches):
-        folds, found = Folds(), {0: Counter(), 1: Counter()}
-        words = {e.strip(EDGE) for e in lexicon.weights if e.endswith(EDGE)}
-        for batch in batches:
-            for text, toxic in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own, pairs = folded(text, folds), set()
-                for a, b in zip(own, own[1:]):
-                    if a in words or b in words:
-                        pairs.add(EDGE + a + EDGE + b + EDGE)
-                found[int(toxic)].update(pairs)
-        keys = list(found[0].keys() | found[1].keys())
-        yield pa.RecordBatch.from_pydict({"entry": pa.array(keys, pa.string()), "bad": pa.array([found[1][k] for k in keys], pa.int64()), "good": pa.array([found[0][k] for k in keys], pa.int64())})
-
-    counts = sample.select("_text", "_toxic").mapInArrow(run, "entry string, bad long, good long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    return frozenset(r["entry"] for r in counts.where("bad = 0 AND good >= 5").orderBy(F.desc("good"), "entry").limit(ENTRIES).collect())
-
-
 @cache
 def _folds() -> Folds:
     return Folds()
