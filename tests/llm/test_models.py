@@ -142,7 +142,7 @@ def test_forward_backward_equals_brute_force():
         a, b = np.zeros((n, 3)), np.ones((n, 3))
         now = np.full(3, 1 / 3)
         for t in range(n):
-            now = now @ transfer * part[t]
+            now = (now @ transfer if t else now) * part[t]
             now /= now.sum()
             a[t] = now
         for t in range(n - 2, -1, -1):
@@ -153,30 +153,74 @@ def test_forward_backward_equals_brute_force():
         at += n
 
 
-def test_training_in_slices_gives_the_same_model(monkeypatch):
+def log_likelihood(scores, lengths, gold, trans):
+    """By all label sequences of each chain."""
+    from itertools import product
+
+    total, at = 0.0, 0
+    for n in lengths:
+        value = lambda y: sum(scores[at + t, y[t]] for t in range(n)) + sum(trans[y[t - 1], y[t]] for t in range(1, n))  # noqa: B023, E731
+        every = np.array([value(y) for y in product(range(scores.shape[1]), repeat=int(n))])
+        total += value(gold[at : at + n]) - (np.log(np.exp(every - every.max()).sum()) + every.max())
+        at += n
+    return total
+
+
+def test_gradient_equals_finite_differences(monkeypatch):
+    rng = np.random.default_rng(3)
+    lengths = np.array([1, 2, 5, 3])
+    scores, trans, gold = rng.normal(size=(11, 3)), rng.normal(size=(3, 3)), rng.integers(0, 3, 11)
+    by_word, by_pair = language.gradient(scores, lengths, gold, trans)
+    monkeypatch.setattr(language, "SLICE", 9 * 4)
+    again = language.gradient(scores, lengths, gold, trans)
+    assert np.allclose(by_word, again[0], atol=1e-5) and np.allclose(by_pair, again[1], atol=1e-5)
+    for array, got in ((scores, by_word), (trans, by_pair)):
+        for i in np.ndindex(array.shape):
+            kept = array[i]
+            array[i] = kept + 1e-4
+            up = log_likelihood(scores, lengths, gold, trans)
+            array[i] = kept - 1e-4
+            down = log_likelihood(scores, lengths, gold, trans)
+            array[i] = kept
+            assert abs((up - down) / 2e-4 - got[i]) < 2e-3
+
+
+def test_transitions_prefer_to_stay():
     rng = random.Random(12)
-    pools = ["".join(rng.choice(letters) for _ in range(5)) for letters in ("abcdef", "efghij") for _ in range(40)]
-    rows = [(x, [rng.choice(pools[i * 40 : i * 40 + 40]) for _ in range(rng.randint(1, 30))]) for _ in range(60) for i, x in enumerate(("en", "fr"))]
-    whole = language.train(rows)
-    monkeypatch.setattr(language, "SLICE", 4 * 50)
-    parts = language.train(rows)
-    assert np.allclose(whole.weights, parts.weights, atol=1e-3) and np.allclose(whole.transitions, parts.transitions, atol=1e-3)
+    rows = [(lang, speech(rng, lang, 40)) for _ in range(60) for lang in ("aa", "cc")]
+    model = language.train(rows)
+    assert model.transitions[0, 0] > model.transitions[0, 1] and model.transitions[1, 1] > model.transitions[1, 0]
 
 
-def test_learns_from_1500_rows_of_40_words(spark, monkeypatch):
+def test_learns_from_whole_texts_of_bounded_rows(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(["word"] * 50), "en") for i in range(1600)], "doc_id long, text string, lang string")
     monkeypatch.setattr(language, "train", lambda rows: [len(words) for _, words in rows])
-    assert language.fit(docs, docs) == [40] * 1500
+    monkeypatch.setattr(language, "calibrate", lambda model, rows: model + [len(words) for _, words in rows])
+    assert language.fit(docs, docs) == [50] * 1500
+    monkeypatch.setattr(language, "SAMPLE_BYTES", 250 * 20)
+    assert language.fit(docs, docs) == [50] * 20
+    monkeypatch.setattr(language, "SAMPLE_BYTES", 100)
+    assert language.fit(docs, docs) == [50]  # one text, though it is longer
 
 
 def test_every_language_is_learned(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, " ".join(["word"] * 50), f"l{i % 70}") for i in range(210)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(i, " ".join(["word"] * 50), f"l{i % 70}") for i in range(350)], "doc_id long, text string, lang string")
     monkeypatch.setattr(language, "train", lambda rows: rows)
-    monkeypatch.setattr(language, "SAMPLE_WORDS", 70 * 2 * language.WINDOW)
-    got = [lang for lang, _ in language.fit(docs, docs)]
+    monkeypatch.setattr(language, "calibrate", lambda model, rows: model)
+    got = [lang for lang, _ in language.fit(docs, docs, docs_per_lang=2)]
     assert sorted(got) == sorted([f"l{i}" for i in range(70)] * 2)
 
 
+def test_mixed_texts_fall_below_the_calibrated_score(spark):
+    _, docs, model = fitted(spark)
+    rng = random.Random(8)
+    rows = [(i, " ".join(speech(rng, "aa", 40) + (speech(rng, "cc", 40) if i % 2 else []))) for i in range(60)]
+    kept = {r["doc_id"] for r in language.keep_known_language(frame(spark, rows), model).collect()}
+    assert {i for i, _ in rows if i % 2 == 0} <= kept and len({i for i, _ in rows if i % 2} & kept) < 5
+    assert 0.5 < model.least_score < 1
+    assert language.calibrate(model, []) is model and language.calibrate(model, [("aa", ["ka"])]) is model
+
+
 def test_marginals_in_slices(monkeypatch):
     rng = np.random.default_rng(2)
     crf = language.Crf(("a", "b", "c"), np.zeros((1, 3)), rng.normal(size=(3, 3)))
@@ -227,6 +271,37 @@ def test_toxic_documents_are_found(spark):
     assert all(0 <= s <= 1 and p == (s >= 0.5) for s, p in out.values())
 
 
+def test_matches_and_exceptions_equal_brute_force():
+    """Every word counts the largest weight of its entries, unless it is part of an exception phrase."""
+    rng = random.Random(6)
+    E = toxicity.EDGE
+    for _ in range(300):
+        pool = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(12)]
+        weights = {}
+        for w in rng.sample(pool, 4):
+            weights[rng.choice(toxicity.entries_of(w))] = rng.randint(1, 90) / 10
+        pairs = {(rng.choice(pool), rng.choice(pool)) for _ in range(rng.randint(0, 6))}
+        lexicon = toxicity.Lexicon(weights, frozenset(E + a + E + b + E for a, b in pairs))
+        text = [rng.choice(pool) for _ in range(rng.randint(0, 40))]
+        total = 0
+        for i, w in enumerate(text):
+            excepted = (i and (text[i - 1], w) in pairs) or (i + 1 < len(text) and (w, text[i + 1]) in pairs)
+            total += 0 if excepted else max((weights.get(e, 0) for e in toxicity.entries_of(w)), default=0)
+        want = np.log1p(total), np.log1p(100 * total / max(len(text), 1)), np.log1p(len(text))
+        assert np.allclose(lexicon.features(text), want), (weights, pairs, text)
+
+
+def test_lexicon_has_all_entries_with_evidence(spark):
+    """No cap: many toxic words and stems, of which each is counted by the rows that hold it."""
+    rng = random.Random(9)
+    bad = ["".join(rng.choice("qwxz") for _ in range(9)) + str(i).translate(str.maketrans("0123456789", "abcdefghij")) for i in range(300)]
+    rows = [(i, " ".join(["calm", "words", *(rng.sample(bad, 150) if i % 2 else [])])) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.fit(frame(spark, rows), labels)
+    whole = {e.strip(toxicity.EDGE) for e in lexicon.weights if e.endswith(toxicity.EDGE)}
+    assert whole == {toxicity.fold_word(b.encode()) for b in bad}
+
+
 def test_folding():
     for form in (b"GRUMBOT", b"grumb0t!!", b"gr-um.bot", b"gruuumbot", "grumbоt".encode(), "grümbot".encode(), "g​rumbot".encode()):
         assert toxicity.fold_word(form) in ("grumbot", "gruumbot", "grümbot"), form
