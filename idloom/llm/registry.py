@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from idloom.llm import bpe, language, media, minhash, packing, quality, substring, toxicity, warc, wordpiece
+from idloom.llm import bpe, language, media, minhash, oracles, packing, quality, substring, toxicity, warc, wordpiece
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
