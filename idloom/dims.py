@@ -85,8 +85,25 @@ FACE_RULES = {
         ("cross.person.place_of_birth_ar", "place_of_birth_ar", "arabic", True),
     ],
 }
+# The names that hold a compared field on the first and on the second face, best first (default: its own).
+FACE_NAMES = {
+    "dz-id": {"nin": (["nin", "personal_number"], ["nin", "personal_number"])},
+    "dz-driving-licence": {"nin": (["nin", "personal_number"], ["nin", "personal_number"])},
+    "id-passport": {"nin": (["nin"], ["personal_number"])},
+}
 NAME_FLOOR = 0.75
 
+# Identity facts whose side is traced for the comparison across documents, with the names after their own.
+TRACED = {
+    "lastNameLatin": ["surname_latin", "last_name_latin"],
+    "firstNameLatin": ["given_name_latin", "first_name_latin"],
+    "lastNameArabic": ["surname_ar", "last_name_ar"],
+    "firstNameArabic": ["given_name_ar", "first_name_ar"],
+    "nin": ["nin", "personal_number"],
+    "dateOfBirth": ["date_of_birth", "birth_date"],
+    "sex": ["sex", "gender"],
+}
+
 # Identifiers that settle whether two readings are of one holder, and names that may.
 STRONG_KEYS = ["nin", "document_number", "license_number", "passport_number", "serial_number"]
 NAME_KEYS = ["surname_ar", "surname_latin", "given_name_ar", "given_name_latin"]
@@ -119,6 +136,52 @@ SEVERITY = {
 }
 
 
+# Default limits of template matching.
+ORB = {"ratioThreshold": 0.75, "minimumGoodMatches": 18, "minimumInlierRatio": 0.42, "ransacThreshold": 4.0, "minSpatialCoverage": 0.08, "maxReprojectionError": 8.0}
+
+# What a hint tells the person who holds the camera.
+HINTS = {
+    "find_document": "Place the document on a plain, contrasting surface",
+    "show_whole_document": "Keep every edge and corner inside the frame",
+    "move_closer": "Move closer so the document fills the frame",
+    "move_back": "Move back slightly so the whole document is visible",
+    "wrong_document": "Show the expected document, flat and unfolded",
+    "hold_parallel": "Hold the phone parallel to the document",
+    "hold_still": "Hold the phone still",
+    "focus": "Hold still and let the camera focus",
+    "more_light": "Move to a brighter place",
+    "less_light": "Reduce the light or avoid direct sunlight",
+    "avoid_glare": "Tilt the document slightly to remove reflections",
+    "even_light": "Move the document into even light, without shadows",
+    "ready": "Capture is ready",
+}
+
+# Least and greatest value of each number of a profile, whether it is whole, and whether it may be missing.
+PROFILE_BOUNDS = [
+    ("capture.samplingIntervalMs", 60, 5000, True, False), ("capture.analysisSize", 480, 2560, True, False), ("capture.stableFrames", 1, 20, True, False),
+    ("capture.maxCornerMotion", 0.001, 0.2, False, False), ("capture.burstFrames", 1, 8, True, False), ("capture.idealVideoWidth", 640, 8000, True, False),
+    ("capture.jpegQuality", 0.5, 1, False, False),
+    ("document.minFill", 0, 1, False, False), ("document.maxFill", 0, 1, False, False), ("document.edgeMargin", 0, 0.3, False, False),
+    ("document.aspectTolerance", 0, 1, False, False), ("document.maxAngleDeviation", 0, 45, False, False), ("document.maxSideRatio", 1, 3, False, False),
+    ("document.minDpi", 50, 1200, False, False),
+    ("image.minSharpness", 0, 100000, False, False), ("image.minSharpnessLive", 0, 100000, False, False), ("image.minMotionIsotropy", 0, 1, False, False),
+    ("image.minFocusUniformity", 0, 1, False, False), ("image.exposureMin", 0, 254, False, False), ("image.exposureMax", 1, 255, False, False),
+    ("image.maxHighlightClip", 0, 1, False, False), ("image.maxShadowClip", 0, 1, False, False), ("image.minContrast", 0, 1, False, False),
+    ("image.maxGlareRatio", 0, 1, False, False), ("image.maxGlareBlob", 0, 1, False, False), ("image.minColorGlareValue", 0, 255, True, True),
+    ("image.minColorGlareSaturation", 0, 1, False, True), ("image.maxColorGlareRatio", 0, 1, False, True), ("image.minIllumination", 0, 1, False, False),
+    ("image.maxNoise", 0, 100, False, False),
+    ("preprocess.targetDpi", 150, 800, True, False), ("preprocess.marginRatio", 0, 0.1, False, False), ("preprocess.illuminationStrength", 0, 1, False, False),
+    ("preprocess.claheClipLimit", 0, 8, False, False), ("preprocess.claheTileGrid", 2, 32, True, False), ("preprocess.denoiseAboveNoise", 0, 100, False, False),
+    ("preprocess.sharpenAmount", 0, 3, False, False), ("preprocess.sharpenSigma", 0.3, 5, False, False), ("preprocess.jpegQuality", 60, 100, True, False),
+    ("orb.ratioThreshold", 0.1, 0.99, False, False), ("orb.minimumGoodMatches", 4, 500, True, False), ("orb.minimumInlierRatio", 0, 1, False, False),
+    ("orb.ransacThreshold", 0.1, 50, False, False), ("orb.minSpatialCoverage", 0, 1, False, False), ("orb.maxReprojectionError", 0.1, 100, False, False),
+    ("orb.projectionMinAreaRatio", 0.01, 10, False, False), ("orb.projectionMaxAreaRatio", 0.01, 10, False, False), ("orb.projectionMarginRatio", 0, 2, False, False),
+]
+PROFILE_SWITCHES = ["capture.autoCapture", "capture.stillCapture", "preprocess.enabled", "preprocess.whiteBalance"]
+# Pairs of which the first must be less than the second.
+PROFILE_ORDER = [("document.minFill", "document.maxFill"), ("image.exposureMin", "image.exposureMax"), ("orb.projectionMinAreaRatio", "orb.projectionMaxAreaRatio")]
+
+
 def policies(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(POLICIES, "policy_id string, label string, selection string, documents array<string>, least int")
 
@@ -127,7 +190,12 @@ def sides(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, i, s) for k in KINDS for i, s in enumerate(SIDES[k])], "kind string, pos int, side string")
 
 
-def aliases(spark: SparkSession) -> DataFrame:
+def aliases(spark: SparkSession, table: dict[str, list[str]] | None = None) -> DataFrame:
     """(canonical, name, rank) with the front and back forms of each raw name after it."""
-    rows = [(c, form, 3 * i + j) for c, names in ALIASES.items() for i, n in enumerate(names) for j, form in enumerate((n, f"front_{n}", f"back_{n}"))]
+    rows = [(c, form, 3 * i + j) for c, names in (table or ALIASES).items() for i, n in enumerate(names) for j, form in enumerate((n, f"front_{n}", f"back_{n}"))]
     return spark.createDataFrame(rows, "canonical string, name string, rank int")
+
+
+def traced(spark: SparkSession) -> DataFrame:
+    """:func:`aliases` of the traced facts: the fact's own name comes first."""
+    return aliases(spark, {f: list(dict.fromkeys([f, *names])) for f, names in TRACED.items()})

@@ -69,6 +69,19 @@ def geometry(quad: Column, width: Column, height: Column, kind: Column, scale: C
     )
 
 
+def order_corners(points: Column) -> Column:
+    """Four corners turned clockwise from the one nearest the top left, the long edge first."""
+    cx = sum((points[i]["x"] for i in range(1, 4)), points[0]["x"]) / 4
+    cy = sum((points[i]["y"] for i in range(1, 4)), points[0]["y"]) / 4
+    turned = F.array_sort(F.transform(points, lambda p: F.struct(F.atan2(p["y"] - cy, p["x"] - cx).alias("a"), p["x"].alias("x"), p["y"].alias("y"))))
+    bare = F.transform(turned, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    rotated = lambda q, n: F.concat(F.slice(q, n + 1, 4 - n), F.slice(q, 1, n))
+    first = F.array_min(F.transform(bare, lambda p, i: F.struct((p["x"] + p["y"]).alias("sum"), i.alias("i"))))["i"]
+    # one-element transforms hold what is used more than once
+    started = F.get(F.transform(F.array(F.struct(bare.alias("q"), first.alias("i"))), lambda v: rotated(v["q"], v["i"])), 0)
+    return F.get(F.transform(F.array(started), lambda q: F.when(distance(q[0], q[1]) < distance(q[1], q[2]), rotated(q, F.lit(1))).otherwise(q)), 0)
+
+
 def project(h: Column, point: Column) -> Column:
     """A point through a 3 x 3 homography given as an array of nine numbers, row by row."""
     w = h[6] * point["x"] + h[7] * point["y"] + h[8]

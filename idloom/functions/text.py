@@ -149,6 +149,7 @@ def shared_value(c: Column, kind: str) -> Column:
     if kind == "identifier":
         return F.nullif(F.upper(F.regexp_replace(base, rf"[{WHITE}-]", "")), F.lit(""))
     if kind == "date":
+        # The two ways to write a date.
         ymd, dmy = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$"
         of = lambda v, pattern, y, m, d: F.when(v.rlike(pattern), _iso_if_real(*(F.regexp_extract(v, pattern, i) for i in (y, m, d)), pad_year=False))
         return let(base, lambda v: F.coalesce(of(v, ymd, 1, 2, 3), of(v, dmy, 3, 2, 1)))
@@ -204,11 +205,17 @@ def continuity_form(c: Column) -> Column:
     return F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), rf"[{WHITE}]+", ""))
 
 
+def script_shares(c: Column) -> Column:
+    """(arabic, latin): shares of the letters that belong to either script; null without letters. The text is read once
+    for its letters; the scripts are then told apart among these."""
+    own = lambda v, script: F.length(v) - F.length(F.regexp_replace(v, rf"\p{{{script}}}+", ""))
+    share = lambda v, script: F.when(F.length(v) > 0, own(v, script) / F.length(v))
+    return let(F.regexp_replace(c, r"\P{L}+", ""), lambda v: F.struct(share(v, "IsArabic").alias("arabic"), share(v, "IsLatin").alias("latin")))
+
+
 def script_share(c: Column, script: str) -> Column:
-    """Share of the letters that belong to ``arabic`` or ``latin``; null without letters."""
-    letters = F.regexp_count(c, F.lit(r"\p{L}"))
-    own = F.regexp_count(c, F.lit({"arabic": r"[\p{L}&&\p{IsArabic}]", "latin": r"[\p{L}&&\p{IsLatin}]"}[script]))
-    return F.when(letters > 0, own / letters)
+    """The share of ``arabic`` or ``latin`` letters: see :func:`script_shares`."""
+    return script_shares(c)[script]
 
 
 def hygiene_outcomes(c: Column, max_length: int) -> Column:
@@ -217,6 +224,7 @@ def hygiene_outcomes(c: Column, max_length: int) -> Column:
     normal = unicode_form(trimmed, "NFC")
     one = lambda name, outcome: F.struct(F.lit(name).alias("check"), F.lit(outcome).alias("outcome"))
     some = lambda cond, *items: F.when(cond, F.array(*items)).otherwise(F.array().cast("array<struct<check:string,outcome:string>>"))
+    # Control characters, and the beginnings of what a model says instead of a value.
     control = c.rlike(r"[\u0000-\u0008\u000B-\u001F\u007F-\u009F]")
     placeholder = F.upper(normal).isin(PLACEHOLDERS) | normal.isin(PLACEHOLDERS)
     long_ = F.length(normal) > max_length
@@ -244,9 +252,16 @@ def has_filler(c: Column) -> Column:
 
 def confusable_letters(c: Column) -> Column:
     """Distinct letters of a digit field that are easily misread digits, in order of appearance."""
+    # Fixed value: the letters that look like digits.
     return F.array_distinct(F.regexp_extract_all(c, F.lit("([OIZSGB])"), 1))
 
 
+def only_texts(raw: Column) -> Column:
+    """The texts of a JSON list, without its other items; an empty list for what isn't a list."""
+    items = F.coalesce(F.try_variant_get(F.try_parse_json(raw), "$", "array<variant>"), F.array().cast("array<variant>"))
+    return F.transform(F.filter(items, lambda v: v.isNotNull() & (F.schema_of_variant(v) == "STRING")), lambda v: F.try_variant_get(v, "$", "string"))
+
+
 def trim_url(c: Column) -> Column:
     """A URL without slashes at its end."""
     return F.regexp_replace(c, "/+$", "")

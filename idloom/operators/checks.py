@@ -42,6 +42,14 @@ def onboarding_scope(checks: DataFrame) -> DataFrame:
     return checks.where(F.col("field").isin(ONBOARDING))
 
 
+def summary_with_status(checks: DataFrame, *keys: str) -> DataFrame:
+    """:func:`summary` and :func:`identity_status` by one aggregation."""
+    failed, passed = F.bool_or(F.col("outcome") == "failed"), F.bool_and(F.col("outcome") == "passed")
+    n = lambda outcome: F.count_if(F.col("outcome") == outcome)
+    status = F.when(failed, "mismatched").when(passed, "matched").otherwise("unknown")
+    return checks.groupBy(*keys).agg(F.coalesce(failed, F.lit(False)).alias("blocking"), n("warning").alias("warnings"), n("not_checked").alias("not_checked"), status.alias("identity_status"))
+
+
 def identity_status(checks: DataFrame, *keys: str) -> DataFrame:
     """mismatched if any check failed, matched if there are checks and all passed, else unknown."""
     failed, passed = F.bool_or(F.col("outcome") == "failed"), F.bool_and(F.col("outcome") == "passed")

@@ -39,15 +39,25 @@ def display_value(field: Column, raw: Column) -> Column:
 
 
 def canonicalise(fields: DataFrame, *keys: str, reference_compat: bool = False) -> DataFrame:
-    """``fields`` with one row more for each canonical field: the best alias with a value, typed. Original names stay."""
-    names = F.broadcast(dims.aliases(fields.sparkSession))
-    held = fields.where(X.blank_to_null(F.col("value")).isNotNull()).join(names, fields["field"] == names["name"])
-    best = held.groupBy(*keys, "canonical").agg(F.min_by("value", "rank").alias("value"))
-    all_ = fields.select(*keys).distinct().withColumn("canonical", F.explode(F.array(*map(F.lit, dims.ALIASES)))).join(best, [*keys, "canonical"], "left")
-    value = F.col("value")
-    typed = F.when(F.col("canonical") == "nin", X.normalize_identifier(value)).when(F.col("canonical").isin("dateOfBirth", "expiryDate"), F.coalesce(X.normalize_date(value, reference_compat), value)).otherwise(value)
-    own = fields.where(~F.col("field").isin(list(dims.ALIASES))).select(*keys, "field", "value")
-    return own.unionByName(all_.select(*keys, F.col("canonical").alias("field"), typed.alias("value")))
+    """``fields`` with one row more for each canonical field: the best alias with a value, typed. Original names stay.
+
+    Each key's fields meet in one aggregation (a document's fields are few), and every row is read once."""
+    filled = F.length(X.trim_unicode(F.col("value"))) > 0
+    forms = {c: [form for n in names for form in (n, f"front_{n}", f"back_{n}")] for c, names in dims.ALIASES.items()}
+    rank = lambda names: F.array_position(F.array(*map(F.lit, names)), F.col("field"))
+    best = [F.min_by(F.when(filled & (rank(names) > 0), F.col("value")), F.when(filled & (rank(names) > 0), rank(names))).alias(f"_{c}") for c, names in forms.items()]
+    kept = F.when(~F.col("field").isin(list(dims.ALIASES)), F.struct("field", "value"))
+    rows = fields.groupBy(*keys).agg(F.collect_list(kept).alias("_own"), *best)
+    typed = []
+    for c in dims.ALIASES:
+        value = F.col(f"_{c}")
+        if c == "nin":
+            value = X.normalize_identifier(value)
+        elif c in ("dateOfBirth", "expiryDate"):
+            value = F.coalesce(X.normalize_date(value, reference_compat), value)
+        typed.append(F.struct(F.lit(c).alias("field"), value.alias("value")))
+    rows = rows.select(*keys, "_own", F.array(*typed).alias("_typed"))
+    return rows.select(*keys, F.explode(F.concat("_own", "_typed")).alias("_f")).select(*keys, "_f.*")
 
 
 def same_holder(pairs: DataFrame, *keys: str) -> DataFrame:
@@ -83,19 +93,18 @@ def fill_canonical(fields: DataFrame, reused: DataFrame, sources: DataFrame, *ke
 
 
 def missing_required(fields: DataFrame, *keys: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(…keys, missing): required facts that no script's field holds, each pair of scripts named once."""
+    """(…keys, missing): required facts that no script's field holds, each pair of scripts named once. One aggregation of
+    each key's field names."""
     wanted = list(dict.fromkeys([*dims.REQUIRED, *[f for f in extra if f in dims.EITHER_SCRIPT]]))
-    held = fields.where(X.blank_to_null(F.col("value")).isNotNull()).select(*keys, "field")
-    per = fields.select(*keys).distinct().join(held.groupBy(*keys).agg(F.collect_set("field").alias("held")), list(keys), "left")
-    have = F.coalesce("held", F.array().cast("array<string>"))
+    filled = F.length(X.trim_unicode(F.col("value"))) > 0
+    names = sorted({n for f in wanted for n in dims.EITHER_SCRIPT.get(f, [f])})
+    held = fields.groupBy(*keys).agg(*[F.coalesce(F.bool_or((F.col("field") == n) & filled), F.lit(False)).alias(f"_{n}") for n in names])
     out: list[Column] = []
     for i, f in enumerate(wanted):
         either = dims.EITHER_SCRIPT.get(f, [f])
-        gone = ~F.arrays_overlap(have, F.array(*map(F.lit, either)))
-        earlier = [g for g in wanted[:i] if g in either]
-        if not earlier:
-            out.append(F.when(gone, F.lit(f)))
-    return per.select(*keys, F.array_compact(F.array(*out)).alias("missing"))
+        if not [g for g in wanted[:i] if g in either]:
+            out.append(F.when(~F.greatest(*[F.col(f"_{n}") for n in either]) if len(either) > 1 else ~F.col(f"_{f}"), F.lit(f)))
+    return held.select(*keys, F.array_compact(F.array(*out)).alias("missing"))
 
 
 def invalid_values(nin: Column, birth: Column, as_of: Column) -> Column:
@@ -118,6 +127,7 @@ def is_identity_field(field: Column) -> Column:
 
 def is_optional_field(field: Column) -> Column:
     names = {"documentNumber", "expiryDate", *dims.ALIASES["documentNumber"], *dims.ALIASES["expiryDate"]}
+    # Fixed value: fields that a document may lack.
     pattern = r"^(?:date_of_(?:issue|expiry)(?:_printed)?|date_of_birth_printed|sex|gender|nationality|blood_group|place_of_birth_(?:ar|latin)|issuing_authority_(?:ar|latin)|categories|category_entries|restrictions)(?:\.|$)"
     return _bare(field).isin(sorted(names)) | _bare(field).rlike(pattern)
 
@@ -165,22 +175,22 @@ def side_for_missing(votes: DataFrame, *keys: str) -> DataFrame:
 
 
 def field_sides(fields: DataFrame, sources: DataFrame, held: DataFrame, *keys: str) -> DataFrame:
-    """(…keys, kind, canonical, side): where a canonical field came from. The merged source decides if it is one face;
+    """(…keys, kind, canonical, side): where each traced fact came from. The merged source decides if it is one face;
     a field from both faces or in conflict has no side; without a source a passport's is its only side, and another
-    document's the first side that holds any of the field's names.
+    document's the first side that holds any of the fact's names (without the front and back forms).
 
     ``fields`` has (…keys, kind, field, value) as merged, ``sources`` (…keys, kind, field, source) and ``held`` (…keys,
     kind, side, field, value).
     """
     spark = fields.sparkSession
-    names = F.broadcast(dims.aliases(spark))
-    place = F.broadcast(dims.sides(spark))
-    wanted = fields.select(*keys, "kind").distinct().withColumn("canonical", F.explode(F.array(*map(F.lit, dims.ALIASES))))
+    names, place = F.broadcast(dims.traced(spark)), F.broadcast(dims.sides(spark))  # fixed tables
+    own = F.broadcast(dims.traced(spark).where("rank % 3 = 0").select("canonical", "name"))
+    wanted = fields.select(*keys, "kind").distinct().withColumn("canonical", F.explode(F.array(*map(F.lit, dims.TRACED))))
     merged = fields.where(F.col("value") != "").join(names, F.col("field") == F.col("name")).join(sources, [*keys, "kind", "field"], "left")
     best = merged.groupBy(*keys, "kind", "canonical").agg(F.min_by(F.struct("source"), "rank").alias("_s"))
-    first = held.where(X.blank_to_null(F.col("value")).isNotNull()).join(names, F.col("field") == F.col("name")).join(place, ["kind", "side"]).groupBy(*keys, "kind", "canonical").agg(F.min_by("side", "pos").alias("first"))
+    first = held.where(X.blank_to_null(F.col("value")).isNotNull()).join(own, F.col("field") == F.col("name")).join(place, ["kind", "side"]).groupBy(*keys, "kind", "canonical").agg(F.min_by("side", "pos").alias("first"))
     rows = wanted.join(best, [*keys, "kind", "canonical"], "left").join(first, [*keys, "kind", "canonical"], "left")
-    source = F.col("_s.source")
+    source = F.nullif(F.col("_s.source"), F.lit(""))
     side = F.when(source.isin("front", "back"), source).when(source.isNotNull(), F.lit(None)).when(F.col("kind") == "dz-passport", "single").otherwise(F.col("first"))
     return rows.select(*keys, "kind", "canonical", side.alias("side"))
 

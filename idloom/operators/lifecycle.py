@@ -3,10 +3,14 @@
 ``step`` is the whole state machine: a pure function from (state, event) to state, small enough to be read as a table of
 transitions. ``fold`` runs it over events at rest; ``idloom.streaming.lifecycle`` runs the same function over a stream.
 
-Events have (session_id, seq, type, kind, side, capture_id, mutation_key, ok, at_ms). Types: create (kind holds the
-policy's id), select (kind holds documents joined by commas), capture (ok: the photo's quality), stage, ocr (ok: all
-required fields were read), fatal, conflict (ok: a target can be retried), confirm, retake, retake_side, pair, submit
-(ok: no conflict is left), tick.
+Events have (session_id, seq, type, kind, side, capture_id, mutation_key, ok, at_ms) and may have ``facts``. Types: create
+(kind holds the policy's id), select (kind holds documents joined by commas), capture (ok: the photo's quality), stage,
+ocr (ok: all required fields were read), fatal, technical (the reading of a side failed for a reason that isn't the
+photo's), refused (a side was found not to be the document's), conflict (ok: a target can be retried), confirm, retake,
+retake_side, pair, submit (ok: no conflict is left), tick.
+``facts`` of an ocr event is what ``linkage.session_facts`` makes of a document's reading: comparable identity facts and
+the sides that they came from. Where they are given, conflicts between documents are found here, as in
+``linkage.cross_document``; the conflict events and flags are for readings that aren't.
 An event that isn't allowed changes nothing but the count of rejected events.
 """
 
@@ -23,6 +27,8 @@ from idloom import dims
 IDLE_MS = dims.MINUTES_IDLE * 60_000
 OUTPUT = "session_id string, status string, reason_code string, version long, expires_at_ms long, current_kind string, confirmed long, rejected long, last_error string"
 COLUMNS = ("session_id", "seq", "type", "kind", "side", "capture_id", "mutation_key", "ok", "at_ms")
+FIELDS = (*COLUMNS, "facts")
+FACTS = [(f, kind in ("latin", "arabic")) for f, _, kind in dims.IDENTITY_FACTS if f in dims.ONBOARDING]
 _POLICY = {p[0]: {"selection": p[2], "documents": p[3], "least": p[4]} for p in dims.POLICIES}
 
 
@@ -31,7 +37,7 @@ class Refused(Exception):
 
 
 def _document(kind: str) -> dict:
-    return {"captures": {}, "results": {}, "submissions": 0, "attempts": 0, "side_attempts": {}, "status": "pending", "confirmed": False, "conflict": False}
+    return {"captures": {}, "results": {}, "submissions": 0, "attempts": 0, "side_attempts": {}, "technical": {}, "facts": None, "status": "pending", "confirmed": False, "conflict": False}
 
 
 def new_state() -> dict:
@@ -103,6 +109,7 @@ def _capture(s: dict, e: dict, now: int) -> None:
         _touch(s, d["status"], now)
         raise Refused("quality_rejected")
     d["captures"][e["side"]], d["results"][e["side"]] = e["capture_id"], "pending"
+    d["technical"].pop(e["side"], None)
     d["confirmed"], d["conflict"], d["status"], s["reason"] = False, False, "processing", None
     _touch(s, "processing", now)
 
@@ -124,6 +131,9 @@ def _ocr(s: dict, e: dict, now: int) -> None:
             s["version"] += 1
             return
     d["attempts"] += 1
+    if e.get("facts"):
+        d["facts"] = json.loads(e["facts"])
+        s["cross_conflict"] = bool(implicated(s))
     if e["type"] == "fatal":
         _fail(s, d, "document_rejected", now)
     elif not e["ok"]:
@@ -137,6 +147,58 @@ def _ocr(s: dict, e: dict, now: int) -> None:
         _touch(s, "awaiting_confirmation", now)
 
 
+def _technical(s: dict, e: dict, now: int) -> None:
+    """A reading that failed for a technical reason waits to be tried again; the third time ends the session. Neither
+    counts as an attempt, and neither extends the session."""
+    d = _chosen(s, e)
+    _need(e["side"] in d["captures"] and d["captures"][e["side"]] == e["capture_id"], "stale_result")
+    d["technical"][e["side"]] = d["technical"].get(e["side"], 0) + 1
+    d["results"][e["side"]], s["version"] = "pending", s["version"] + 1
+    if d["technical"][e["side"]] >= dims.MAX_ATTEMPTS:
+        d["status"], s["status"], s["reason"] = "failed", "technical_failed", "ocr_unavailable"
+
+
+def _refused(s: dict, e: dict, now: int) -> None:
+    """The side must be photographed again; no attempt is used."""
+    _need(_chosen(s, e)["captures"].get(e["side"]) == e["capture_id"], "stale_result")
+    _retake_side(s, e, now)
+    s["reason"] = "document_not_verified"
+
+
+def edits(a: str, b: str) -> int:
+    """Levenshtein distance of two names."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def implicated(s: dict) -> list[tuple[str, str | None]]:
+    """(document, side) of the readings in conflict between documents: values that differ, names under the floor."""
+    held, out = [(k, s["documents"][k]["facts"] or {}) for k in dims.KINDS if k in s["documents"]], []
+    for fact, fuzzy in FACTS:
+        known = [(k, *f[fact]) for k, f in held if f.get(fact) and f[fact][0]]
+        for i, (k, a, side) in enumerate(known):
+            for other, b, other_side in known[i + 1 :]:
+                if a != b and not (fuzzy and 1 - edits(a, b) / max(len(a), len(b)) >= dims.NAME_FLOOR):
+                    out += [(k, side), (other, other_side)]
+    return out
+
+
+def _cross_conflict(s: dict, readings: list[tuple[str, str | None]], now: int) -> None:
+    """A conflict can be resolved while one of its readings has attempts left."""
+
+    def spare(kind: str, side: str | None) -> bool:
+        d = s["documents"][kind]
+        used = [d["side_attempts"].get(x, 0) for x in ([side] if side else dims.SIDES[kind])]
+        return d["attempts"] < dims.MAX_ATTEMPTS and any(n < dims.MAX_ATTEMPTS for n in used)
+
+    s["cross_conflict"], s["reason"] = True, "consistency_mismatch"
+    _touch(s, "awaiting_confirmation" if any(spare(*r) for r in readings) else "consistency_failed", now)
+
+
 def _conflict(s: dict, e: dict, now: int) -> None:
     if e["kind"]:
         _chosen(s, e)["conflict"] = True
@@ -152,6 +214,9 @@ def _confirm(s: dict, e: dict, now: int) -> None:
     _need(d["status"] == "ready", "document_not_ready")
     _need(not d["conflict"], "consistency_conflict")
     d["confirmed"] = True
+    found = implicated(s) if all(x["confirmed"] for x in s["documents"].values()) else []
+    if found:
+        return _cross_conflict(s, found, now)
     _touch(s, "awaiting_submission" if all(x["confirmed"] for x in s["documents"].values()) and not s["cross_conflict"] else "capturing", now)
 
 
@@ -165,7 +230,7 @@ def _retake(s: dict, e: dict, now: int) -> None:
     if d["attempts"] >= dims.MAX_ATTEMPTS or any(n >= dims.MAX_ATTEMPTS for n in d["side_attempts"].values()):
         return _exhausted(s, d, now)
     s["documents"][e["kind"]] = _document(e["kind"]) | {k: d[k] for k in ("submissions", "attempts", "side_attempts")} | {"status": "capturing"}
-    s["reason"], s["cross_conflict"] = None, False
+    s["reason"], s["cross_conflict"] = None, bool(implicated(s))
     _touch(s, "capturing", now)
 
 
@@ -176,12 +241,17 @@ def _retake_side(s: dict, e: dict, now: int) -> None:
         return _exhausted(s, d, now)
     d["captures"].pop(e["side"], None)
     d["results"].pop(e["side"], None)
-    d["confirmed"], d["conflict"], d["status"], s["reason"], s["cross_conflict"] = False, False, "capturing", None, False
+    d["confirmed"], d["conflict"], d["facts"], d["status"] = False, False, None, "capturing"
+    s["reason"], s["cross_conflict"] = None, bool(implicated(s))
     _touch(s, "capturing", now)
 
 
 def _submit(s: dict, e: dict, now: int) -> None:
     _need(s["status"] == "awaiting_submission", "session_not_ready")
+    found = implicated(s)
+    if found:
+        _cross_conflict(s, found, now)
+        raise Refused("consistency_conflict")
     if not e["ok"]:
         s["cross_conflict"], s["reason"] = True, "consistency_mismatch"
         _touch(s, "awaiting_confirmation", now)
@@ -189,9 +259,9 @@ def _submit(s: dict, e: dict, now: int) -> None:
     _touch(s, "succeeded", now)
 
 
-RULES = {"create": _create, "select": _select, "capture": _capture, "stage": _stage, "ocr": _ocr, "fatal": _ocr, "conflict": _conflict, "confirm": _confirm, "retake": _retake, "retake_side": _retake_side, "submit": _submit, "pair": lambda s, e, now: None, "tick": lambda s, e, now: None}
+RULES = {"create": _create, "select": _select, "capture": _capture, "stage": _stage, "ocr": _ocr, "fatal": _ocr, "technical": _technical, "refused": _refused, "conflict": _conflict, "confirm": _confirm, "retake": _retake, "retake_side": _retake_side, "submit": _submit, "pair": lambda s, e, now: None, "tick": lambda s, e, now: None}
 #: Events that only an active session takes.
-ACTIVE = {"select", "capture", "ocr", "fatal", "confirm", "retake", "retake_side", "submit"}
+ACTIVE = {"select", "capture", "ocr", "fatal", "technical", "refused", "confirm", "retake", "retake_side", "submit"}
 
 
 def step(s: dict, e: dict) -> dict:
@@ -217,14 +287,20 @@ def view(session_id: str, s: dict) -> tuple:
     return session_id, s["status"], s["reason"], s["version"], s["expires"], current_kind(s), sum(d["confirmed"] for d in s["documents"].values()), s["rejected"], s["error"]
 
 
+def typed_events(events: DataFrame) -> DataFrame:
+    """The columns of events with their types; ``facts`` is null where it isn't there."""
+    kinds = {"seq": "long", "ok": "boolean", "at_ms": "long"}
+    column = lambda c: F.col(c) if c in events.columns else F.lit(None)
+    return events.where("session_id IS NOT NULL").select(*[column(c).cast(kinds.get(c, "string")).alias(c) for c in FIELDS])
+
+
 def fold(events: DataFrame, partitions: int | None = None) -> DataFrame:
     """The last state of every session. Events are dealt out by session and sorted within tasks, then read once as a
     stream: a task holds one session's state at a time, however many events it has. Ties of ``seq`` go by time and type.
     """
     spark = events.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kinds = {"session_id": "string", "seq": "long", "ok": "boolean", "at_ms": "long"}
-    typed = events.where("session_id IS NOT NULL").select(*[F.col(c).cast(kinds.get(c, "string")).alias(c) for c in COLUMNS])
+    typed = typed_events(events)
     dealt = typed.repartition(n, "session_id").sortWithinPartitions("session_id", "seq", "at_ms", "type")
     names = [x.split()[0] for x in OUTPUT.split(", ")]
 

@@ -28,9 +28,20 @@ def comparison_kind(field: Column) -> Column:
 
 def comparable_value(value: Column, kind: Column) -> Column:
     """The value in the form that ``kind`` compares; null if it can't be compared."""
-    forms = {k: X.shared_value(value, k) for k in ("identifier", "date", "sex", "latin", "arabic")}
-    out = reduce(lambda acc, kv: acc.when(kind == kv[0], kv[1]), forms.items(), F.when(kind == "text", F.upper(X.trim_unicode(value))))
-    return out
+    kinds = ("identifier", "date", "sex", "latin", "arabic")
+    return reduce(lambda acc, k: acc.when(kind == k, comparable_as(value, k)), kinds, F.when(kind == "text", comparable_as(value, "text")))
+
+
+def comparable_as(value: Column, kind: str) -> Column:
+    """:func:`comparable_value` of a kind that is known beforehand, so only that form is computed."""
+    return F.upper(X.trim_unicode(value)) if kind == "text" else X.shared_value(value, kind)
+
+
+def same_reading(a: Column, b: Column, kind: Column) -> Column:
+    """Whether two readings mean the same: lists and objects (JSON text) by their JSON, texts in the form of ``kind``."""
+    structured = a.rlike(r"^\s*[\[{]") | b.rlike(r"^\s*[\[{]")
+    form = lambda c: F.to_json(F.try_parse_json(c))
+    return F.when(structured, F.coalesce(form(a) == form(b), F.lit(False))).otherwise(comparable_value(a, kind) == comparable_value(b, kind))
 
 
 def pair_faces(readings: DataFrame, *keys: str) -> DataFrame:
@@ -49,7 +60,7 @@ def merge_pairs(pairs: DataFrame, comparable: list[str] | None = None, same: Col
     """
     if same is None:
         kind = comparison_kind(F.col("field"))
-        same = comparable_value(F.col("front"), kind) == comparable_value(F.col("back"), kind)
+        same = same_reading(F.col("front"), F.col("back"), kind)
     keys = [c for c in pairs.columns if c not in ("field", "front", "back", "in_front", "in_back")]
     pairs = pairs.withColumn("_same", F.coalesce(same, F.lit(False)))
     same = F.col("_same")
@@ -73,29 +84,49 @@ def outcome_of(a: Column, b: Column, fuzzy: Column | bool, floor_outcome: str, b
     return F.when(a.isNull() | b.isNull(), "not_checked").when(a == b, "passed").when(fuzzy & close, floor_outcome).when(fuzzy, below_outcome).otherwise("failed")
 
 
+def _check(check_id: str, field: str, outcome: Column) -> Column:
+    return F.struct(F.lit(check_id).alias("check_id"), F.lit(field).alias("field"), outcome.alias("outcome"))
+
+
 def face_checks(pairs: DataFrame, document: str, *keys: str) -> DataFrame:
-    """Check rows of paired faces of one kind of document. Names that are not on both faces give no row on an ID card,
-    except one ``not_checked`` row if none is; its document number is never comparable. A wrong name only warns here:
-    the merge reports it as a conflict."""
-    alias = F.when(F.col("field") == "personal_number", "nin").otherwise(F.col("field"))
-    values = pairs.select(*keys, alias.alias("field"), (F.col("field") == "personal_number").alias("second"), X.blank_to_null(F.col("front")).alias("front"), X.blank_to_null(F.col("back")).alias("back"))
-    pick = lambda c: F.coalesce(F.min(F.when(~F.col("second"), F.col(c))), F.min(F.col(c)))
-    values = values.groupBy(*keys, "field").agg(pick("front").alias("front"), pick("back").alias("back"))
-    # every rule for every key: keys times a fixed rule table
-    wanted = pairs.select(*keys).distinct().withColumn("_r", F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("check_id", "field", "kind", "fuzzy"), r, strict=True)]) for r in dims.FACE_RULES[document]]))).select(*keys, "_r.*")
-    rows = wanted.join(values, [*keys, "field"], "left")
-    rows = rows.withColumns({"_a": comparable_value(F.col("front"), F.col("kind")), "_b": comparable_value(F.col("back"), F.col("kind"))})
-    rows = rows.withColumn("outcome", outcome_of(F.col("_a"), F.col("_b"), F.col("fuzzy"), "warning", "warning"))
-    shown = rows.select(*keys, "check_id", "field", "outcome")
-    if document == "dz-id":
-        shared = F.col("front").isNotNull() & F.col("back").isNotNull()
-        shown = rows.where(~F.col("fuzzy") | shared).select(*keys, "check_id", "field", "outcome")
-        none = rows.groupBy(*keys).agg(F.bool_or(F.col("fuzzy") & shared).alias("any")).where("NOT any")
-        shown = shown.unionByName(none.select(*keys, F.lit("cross.id.names").alias("check_id"), F.lit("surname_ar").alias("field"), F.lit("not_checked").alias("outcome")))
+    """Check rows of paired faces of one kind of document, by one aggregation of each document's fields. Names that are
+    not on both faces give no row on an ID card, except one ``not_checked`` row if none is; its document number is never
+    comparable. A licence's category codes are compared as sets. A wrong name only warns here: the merge reports it as a
+    conflict."""
+    rules = dims.FACE_RULES[document]
+    names = {f: dims.FACE_NAMES.get(document, {}).get(f, ([f], [f])) for _, f, _, _ in rules}
+    held = lambda f, side: F.min(F.when((F.col("field") == f) & (F.length(X.trim_unicode(F.col(side))) > 0), F.col(side)))
+    sides = [("front", 0), ("back", 1)]
+    raw = [F.coalesce(*[held(n, side) for n in names[f][i]]).alias(f"{side}_{f}") for _, f, _, _ in rules for side, i in sides]
+    lists = [held("categories", "front").alias("front_categories"), held("category_entries", "back").alias("back_categories")] if document == "dz-driving-licence" else []
+    rows = pairs.groupBy(*keys).agg(*raw, *lists)
+    rows = rows.withColumns({f"_{side}_{f}": comparable_as(F.col(f"{side}_{f}"), kind) for _, f, kind, _ in rules for side, _ in sides})
+    out, shared_names = [], []
+    for check_id, f, _, fuzzy in rules:
+        outcome = outcome_of(F.col(f"_front_{f}"), F.col(f"_back_{f}"), fuzzy, "warning", "warning")
+        shared = F.col(f"front_{f}").isNotNull() & F.col(f"back_{f}").isNotNull()
+        if document == "dz-id" and fuzzy:
+            shared_names.append(shared)
+            out.append(F.when(shared, _check(check_id, f, outcome)))
+        else:
+            out.append(_check(check_id, f, outcome))
+    if shared_names:
+        out.append(F.when(~reduce(lambda x, y: x | y, shared_names), _check("cross.id.names", "surname_ar", F.lit("not_checked"))))
+    if lists:
+        out.append(_check("cross.driving_licence.categories", "categories", category_check(_texts(F.col("front_categories")), _texts(F.col("back_categories"), "$.category"))))
     number = {"dz-id": "cross.id.document_number", "id-passport": "cross.person.document_numbers"}.get(document)
     if number:
-        shown = shown.unionByName(pairs.select(*keys).distinct().select(*keys, F.lit(number).alias("check_id"), F.lit("document_number").alias("field"), F.lit("not_checked").alias("outcome")))
-    return shown
+        out.append(_check(number, "document_number", F.lit("not_checked")))
+    # never empty; explode() would add a filter that evaluates every comparison again
+    return rows.select(*keys, F.explode_outer(F.array_compact(F.array(*out))).alias("_c")).select(*keys, "_c.*")
+
+
+def _texts(raw: Column, path: str | None = None) -> Column:
+    """The texts in a JSON list (or at a path in its objects), without what isn't a text; null if it isn't a list."""
+    items = F.try_variant_get(F.try_parse_json(raw), "$", "array<variant>")
+    if path:
+        items = F.transform(F.filter(items, lambda v: F.schema_of_variant(v).startswith("OBJECT")), lambda v: F.try_variant_get(v, path, "variant"))
+    return F.transform(F.filter(items, lambda v: v.isNotNull() & (F.schema_of_variant(v) == "STRING")), lambda v: F.try_variant_get(v, "$", "string"))
 
 
 def category_check(front: Column, back: Column) -> Column:
@@ -121,14 +152,6 @@ def face_assembly(sides: DataFrame, required: DataFrame, *keys: str) -> DataFram
     return got.join(F.broadcast(need), "kind").where("got = needed").select(*keys, "kind", "capture_ids")
 
 
-def canonical_facts(readings: DataFrame, *keys: str) -> DataFrame:
-    """(…keys, document, pos, fact, kind, value) of identity facts: the first name of each fact that isn't blank."""
-    spark = readings.sparkSession
-    names = spark.createDataFrame([(f, k, n, i) for f, ns, k in dims.IDENTITY_FACTS for i, n in enumerate(ns)], "fact string, kind string, field string, rank int")
-    held = readings.withColumn("value", X.blank_to_null(F.col("value"))).where(F.col("value").isNotNull()).join(F.broadcast(names), "field")
-    return held.groupBy(*keys, "document", "pos", "fact", "kind").agg(F.min_by("value", "rank").alias("value"))
-
-
 def pairwise(values: DataFrame, keys: list[str], pos: str, value: str, fuzzy: Column | bool) -> DataFrame:
     """Check rows (…keys, a_pos, b_pos, outcome) of every two positions of a key, a before b. Within a key there are as
     many positions as a session has documents (three), so the pairs are bounded by the rows."""
@@ -140,19 +163,46 @@ def pairwise(values: DataFrame, keys: list[str], pos: str, value: str, fuzzy: Co
 
 def cross_document(readings: DataFrame, *keys: str, scope: str | None = None) -> DataFrame:
     """Comparison of identity facts between all documents of a key: (…keys, fact, a_document, b_document, outcome,
-    suggested_document). ``readings`` has (…keys, document, pos, field, value)."""
-    documents = readings.select(*keys, "document", "pos").distinct()
-    facts = [(f, k) for f, _, k in dims.IDENTITY_FACTS if scope != "onboarding" or f in dims.ONBOARDING]
-    each = documents.withColumn("_f", F.explode(F.array(*[F.struct(F.lit(f).alias("fact"), F.lit(k).alias("kind")) for f, k in facts]))).select(*keys, "document", "pos", "_f.*")
-    # values are normalised where there are any, before the grid of documents and facts
-    known = canonical_facts(readings, *keys).withColumn("norm", comparable_value(F.col("value"), F.col("kind")))
-    held = each.join(known, [*keys, "document", "pos", "fact", "kind"], "left")
-    held = held.join(outliers(held, [*keys, "fact"], "document", "norm"), [*keys, "fact"], "left")
-    a = held.select(*keys, "fact", "kind", "suggested", F.col("document").alias("a_document"), F.col("pos").alias("a_pos"), F.col("norm").alias("a"))
-    b = held.select(*keys, "fact", F.col("document").alias("b_document"), F.col("pos").alias("b_pos"), F.col("norm").alias("b"))
-    pairs = a.join(b, [*keys, "fact"]).where("a_pos < b_pos")
-    outcome = outcome_of(F.col("a"), F.col("b"), F.col("kind").isin("latin", "arabic"), "warning", "failed")
-    return pairs.select(*keys, "fact", "a_document", "b_document", outcome.alias("outcome"), F.when(outcome == "failed", F.col("suggested")).alias("suggested_document"))
+    suggested_document). ``readings`` has (…keys, document, pos, field, value).
+
+    The rows are dealt by the key once; each document becomes one row of facts and each key one row of documents (a
+    session has three), within which the pairs are formed.
+    """
+    facts = [(f, names, k) for f, names, k in dims.IDENTITY_FACTS if scope != "onboarding" or f in dims.ONBOARDING]
+    named = lambda n: F.min(F.when((F.col("field") == n) & (F.length(X.trim_unicode(F.col("value"))) > 0), F.col("value")))
+    each = readings.repartition(*keys).groupBy(*keys, "document", "pos").agg(*[F.coalesce(*map(named, names)).alias(f) for f, names, _ in facts])
+    each = each.select(*keys, F.struct("pos", "document", *[comparable_as(F.col(f), k).alias(f) for f, _, k in facts]).alias("_d"))
+    rows = each.groupBy(*keys).agg(F.array_sort(F.collect_list("_d")).alias("_docs"))
+    rows = rows.withColumns({f"_s_{f}": odd_one_out(F.col("_docs"), f) for f, _, _ in facts})
+    later = lambda a: F.filter("_docs", lambda b: b["pos"] > a["pos"])
+    pairs = F.flatten(F.transform("_docs", lambda a: F.transform(later(a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = rows.select(*keys, *[f"_s_{f}" for f, _, _ in facts], F.explode(pairs).alias("_p"))
+    out = []
+    for f, _, kind in facts:
+        outcome = outcome_of(F.col("_p.a")[f], F.col("_p.b")[f], kind in ("latin", "arabic"), "warning", "failed")
+        out.append(F.struct(F.lit(f).alias("fact"), outcome.alias("outcome"), F.col(f"_s_{f}").alias("suggested")))
+    found = pairs.select(*keys, F.col("_p.a.document").alias("a_document"), F.col("_p.b.document").alias("b_document"), F.explode_outer(F.array(*out)).alias("_c"))
+    suggested = F.when(F.col("_c.outcome") == "failed", F.col("_c.suggested"))
+    return found.select(*keys, "_c.fact", "a_document", "b_document", "_c.outcome", suggested.alias("suggested_document"))
+
+
+def session_facts(readings: DataFrame, *keys: str) -> DataFrame:
+    """(…keys, facts): JSON of a document's comparable identity facts, each as [value, side], for the lifecycle's ocr
+    events. ``readings`` has (…keys, field, value, side)."""
+    facts = [(f, names, k) for f, names, k in dims.IDENTITY_FACTS if f in dims.ONBOARDING]
+    held = lambda n, c: F.min(F.when((F.col("field") == n) & (F.length(X.trim_unicode(F.col("value"))) > 0), F.col(c)))
+    rows = readings.groupBy(*keys).agg(*[F.coalesce(*[held(n, c) for n in names]).alias(f"{c}_{f}") for f, names, _ in facts for c in ("value", "side")])
+    rows = rows.withColumns({f"value_{f}": comparable_as(F.col(f"value_{f}"), k) for f, _, k in facts})
+    entries = [F.when(F.col(f"value_{f}").isNotNull(), F.struct(F.lit(f).alias("key"), F.array(f"value_{f}", f"side_{f}").alias("value"))) for f, _, _ in facts]
+    return rows.select(*keys, F.to_json(F.map_from_entries(F.array_compact(F.array(*entries)))).alias("facts"))
+
+
+def odd_one_out(docs: Column, fact: str) -> Column:
+    """The document of an array of exactly three whose value differs, where all have one and the others agree."""
+    v = [F.get(docs, i)[fact] for i in range(3)]
+    name = [F.get(docs, i)["document"] for i in range(3)]
+    whole = (F.size(docs) == 3) & v[0].isNotNull() & v[1].isNotNull() & v[2].isNotNull()
+    return F.when(whole & (v[0] == v[1]) & (v[0] != v[2]), name[2]).when(whole & (v[0] == v[2]) & (v[0] != v[1]), name[1]).when(whole & (v[1] == v[2]) & (v[0] != v[1]), name[0])
 
 
 def outliers(values: DataFrame, keys: list[str], member: str, value: str) -> DataFrame:

@@ -13,24 +13,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_BLOCK, REFERENCE_BLOCK = 512, 4096
-_BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def _blocks(rows: DataFrame, key: str, ident: str, descriptor: str, size: int, prefix: str) -> DataFrame:
-    """(key, prefix_ids, prefix_data): about ``size`` descriptors a row, dealt out by a hash of the id."""
-    n = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    dealt = rows.join(n, key).withColumn("_b", F.pmod(F.xxhash64(ident), F.ceil(F.col("_n") / size)))
+#: Keys whose counts are broadcast at most (a row each); more keys are joined by a shuffle, as none of them is hot then.
+COUNTED_KEYS = 100_000
+
+
+def _counts(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, _parts): how many blocks of about ``size`` rows a key has."""
+    n = rows.groupBy(key).agg(F.ceil(F.count("*") / size).alias("_parts"))
+    return F.broadcast(n) if n.count() <= COUNTED_KEYS else n
+
+
+def _blocks(rows: DataFrame, counts: DataFrame, key: str, ident: str, descriptor: str, prefix: str) -> DataFrame:
+    """(key, _b, prefix_ids, prefix_data): one block of descriptors a row, dealt out by a hash of the id."""
+    dealt = rows.join(counts, key).withColumn("_b", F.pmod(F.xxhash64(ident), F.col("_parts")))
     packed = dealt.groupBy(key, "_b").agg(F.collect_list(F.struct(F.col(ident).alias("id"), F.col(descriptor).alias("d"))).alias("_rows"))
-    return packed.select(key, F.col("_rows.id").alias(f"{prefix}_ids"), F.col("_rows.d").alias(f"{prefix}_data"))
+    return packed.select(key, "_b", F.col("_rows.id").alias(f"{prefix}_ids"), F.col("_rows.d").alias(f"{prefix}_data"))
 
 
 def nearest_two(queries: DataFrame, references: DataFrame, key: str, ident: str, descriptor: str = "descriptor") -> DataFrame:
     """(key, query_id, first_id, first, second): the nearest reference of every query, its distance, and the distance of
     the second nearest (null if there is one reference only); of equal distances the smaller id is nearest. A query is
-    never its own reference where ids are equal."""
-    q = _blocks(queries, key, ident, descriptor, QUERY_BLOCK, "q")
-    r = _blocks(references, key, ident, descriptor, REFERENCE_BLOCK, "r")
-    both = q.join(r, key)
+    never its own reference where ids are equal. Query blocks are copied to the numbers of the reference blocks and meet
+    them on key and number, so the blocks of one large key are spread over tasks."""
+    parts = _counts(references, key, REFERENCE_BLOCK)
+    q = _blocks(queries, _counts(queries, key, QUERY_BLOCK), key, ident, descriptor, "q").withColumnRenamed("_b", "_q")
+    q = q.join(parts, key).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    r = _blocks(references, parts, key, ident, descriptor, "r")
+    both = q.join(r, [key, "_b"])
     key_type = dict(queries.dtypes)[key]
 
     def run(batches):
@@ -44,7 +55,7 @@ def nearest_two(queries: DataFrame, references: DataFrame, key: str, ident: str,
                 order = np.argsort(r_ids, kind="stable")
                 r_ids, b = r_ids[order], b[order]
                 for k in range(len(q_ids)):
-                    d = _BITS[a[k] ^ b].sum(1).astype(np.int64)
+                    d = np.bitwise_count(a[k] ^ b).sum(1, dtype=np.int64)
                     d[r_ids == q_ids[k]] = 1 << 30
                     for j in np.argsort(d, kind="stable")[:2]:
                         if d[j] < 1 << 30:
@@ -121,14 +132,12 @@ def consensus(src: np.ndarray, dst: np.ndarray, threshold: float = 4.0, rounds:
     return best, inliers
 
 
-def align(matches: DataFrame, key: str, threshold: float = 4.0, max_matches: int = 100_000) -> DataFrame:
-    """(key, homography, inliers) from rows (key, x, y, tx, ty). The matches of one photo and one template are bounded
-    by the features of a photo (3,000); more than ``max_matches`` raise an error instead of filling a task."""
+def align(matches: DataFrame, key: str, threshold: float = 4.0) -> DataFrame:
+    """(key, homography, inliers) from rows (key, x, y, tx, ty). The matches of one photo and one template are bounded by
+    the features of a photo (3,000 by default), which is what a task holds of a key."""
     schema = f"{key} {dict(matches.dtypes)[key]}, homography array<double>, inliers long"
 
     def run(t: pa.Table) -> pa.Table:
-        if len(t) > max_matches:
-            raise ValueError("too many matches for one photo")
         order = np.lexsort([t.column(c).to_numpy() for c in ("ty", "tx", "y", "x")])
         src, dst = (np.column_stack([t.column(c).to_numpy()[order] for c in cs]) for cs in (("x", "y"), ("tx", "ty")))
         h, inliers = consensus(src, dst, threshold)

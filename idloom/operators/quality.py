@@ -34,7 +34,7 @@ def threshold_rules(profile: dict | None = None, live: Column | bool = False) ->
         ("highlights", imaged, c("highlight_clip") <= p["maxHighlightClip"], c("highlight_clip"), hint("less_light")),
         ("shadows_clipped", imaged, c("shadow_clip") <= p["maxShadowClip"], c("shadow_clip"), hint("more_light")),
         ("contrast", imaged, c("contrast") >= p["minContrast"], c("contrast"), hint("more_light")),
-        ("glare", imaged, (c("glare_ratio") <= p["maxGlareRatio"]) & (c("glare_blob") <= p["maxGlareBlob"]), c("glare_ratio"), hint("avoid_glare")),
+        ("glare", imaged, (c("glare_ratio") <= p["maxGlareRatio"]) & (c("glare_blob") <= p["maxGlareBlob"]), F.concat_ws(" · ", round_half_up(c("glare_ratio"), 4), round_half_up(c("glare_blob"), 4)), hint("avoid_glare")),
         ("color_glare", imaged, c("color_glare_ratio") <= p["maxColorGlareRatio"], c("color_glare_ratio"), hint("avoid_glare")),
         ("illumination", imaged, c("illumination") >= p["minIllumination"], c("illumination"), hint("even_light")),
         ("noise", imaged, c("noise") <= p["maxNoise"], c("noise"), hint("more_light")),
@@ -49,7 +49,7 @@ def build_checks(rules: list[tuple[str, Column, Column, Column, Column]], severi
         if level == "off":
             continue
         met = F.coalesce(met, F.lit(False))
-        shown = value if key == "document_found" else round_half_up(value, 4)
+        shown = value if key in ("document_found", "glare") else round_half_up(value, 4)
         status = F.when(met, "pass").otherwise("fail" if level == "block" else "warn")
         check = F.struct(F.lit(key).alias("key"), met.alias("passed"), status.alias("status"), shown.cast("string").alias("value"), hint.alias("hint"))
         out.append(F.when(applies, check.cast(CHECK)))
@@ -103,14 +103,43 @@ def best_frame(frames: DataFrame, *keys: str) -> DataFrame:
     return frames.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+def profile_faults(profile: Column) -> Column:
+    """Names of the parts of a profile (JSON text) that are missing, of a wrong kind, out of range or out of order."""
+    part = lambda path: F.get_json_object(profile, f"$.{path}")
+    out = []
+    for path, low, high, whole, default in dims.PROFILE_BOUNDS:
+        value = part(path).try_cast("double")
+        good = value.between(low, high) & ((value == F.floor(value)) if whole else F.lit(True))
+        good = F.coalesce(good, F.lit(False))
+        out.append(F.when(~((part(path).isNull() | good) if default else good), F.lit(path)))
+    out += [F.when(~F.coalesce(part(f).isin("true", "false"), F.lit(False)), F.lit(f)) for f in dims.PROFILE_SWITCHES]
+    for key in dims.SEVERITY:
+        known = part(f"severity.{key}").isin("block", "warn", "off")
+        out.append(F.when(~F.coalesce(known, F.lit(key == "color_glare") & part(f"severity.{key}").isNull()), F.lit(f"severity.{key}")))
+    out += [F.when(~F.coalesce(part("version") == "2", F.lit(False)), F.lit("version")), F.when(~F.coalesce(part("mode").isin("off", "observe", "enforce"), F.lit(False)), F.lit("mode"))]
+    for low, high in dims.PROFILE_ORDER:
+        out.append(F.when(part(low).try_cast("double") >= part(high).try_cast("double"), F.lit(f"{low}>={high}")))
+    return F.array_compact(F.array(*out))
+
+
 def profile_problems(profile: dict) -> list[str]:
-    """Names of limits of a profile that are out of range or out of order; a profile is one small record."""
-    p, bad = dims.PROFILE | profile, []
-    for name, value in p.items():
-        top = {"maxAngleDeviation": 90, "maxSideRatio": 10, "minDpi": 1200, "minSharpness": 10_000, "minSharpnessLive": 10_000, "exposureMin": 255, "exposureMax": 255, "minColorGlareValue": 255, "maxNoise": 100}.get(name, 1)
-        if not 0 <= value <= top:
-            bad.append(name)
-    return bad + [f"{a}>{b}" for a, b in (("minFill", "maxFill"), ("exposureMin", "exposureMax")) if p[a] > p[b]]
+    """Names of the flat limits of one profile that are out of range or out of order; missing ones take their default."""
+    p = dims.PROFILE | profile
+    bounds = {path.partition(".")[2]: (low, high) for path, low, high, _, _ in dims.PROFILE_BOUNDS if path.startswith(("capture.max", "document.", "image."))}
+    bad = [name for name, value in p.items() if not bounds[name][0] <= value <= bounds[name][1]]
+    return bad + [f"{a}>{b}" for a, b in (("minFill", "maxFill"), ("exposureMin", "exposureMax")) if p[a] >= p[b]]
+
+
+def report_checks(checks: Column, duration_ms: Column | float = 0.0) -> Column:
+    """Checks of a frame in the form of a report: each with the message of its hint and the time that it took."""
+    message = F.create_map(*[F.lit(x) for kv in dims.HINTS.items() for x in kv])
+    took = F.lit(duration_ms) if isinstance(duration_ms, float) else duration_ms
+    return F.transform(checks, lambda c: F.struct(c["key"].alias("key"), c["passed"].alias("passed"), c["status"].alias("status"), c["value"].alias("value"), F.element_at(message, c["hint"]).alias("message"), c["hint"].alias("hint"), took.alias("duration_ms")))
+
+
+def calibration_snapshot(sessions: DataFrame, buffers: tuple[str, ...] = ("listeners", "latest_image", "capture_original", "capture_ocr")) -> DataFrame:
+    """Calibration sessions without listeners and image buffers."""
+    return sessions.drop(*buffers)
 
 
 def upgrade_profile(saved: dict) -> dict:

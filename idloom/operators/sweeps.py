@@ -105,6 +105,26 @@ def outbox(sessions: DataFrame) -> DataFrame:
     return sessions.where(is_final(F.col("status")) & F.col("webhook_queued_at").isNull()).select("session_id", F.concat(F.lit("webhook:"), F.col("session_id").cast("string")).alias("singleton_key"), body.alias("body"))
 
 
+def completed_payload() -> Column:
+    """The exact body that announces a final session: ids and status only, nulls written out."""
+    fields = {"event": F.lit("onboarding.completed"), "sessionId": F.col("session_id"), "status": F.col("status"), "reasonCode": F.col("reason_code"), "completedAt": F.col("completed_at")}
+    return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]), {"ignoreNullFields": "false"})
+
+
+def retry_schedule(sent: DataFrame, ts_ms: str, tries: int, delay_ms: int, backoff: bool) -> DataFrame:
+    """``sent`` with one row for each try: ``attempt`` from 1 and the earliest time of it, after a fixed delay each or
+    one that doubles."""
+    n = F.col("attempt") - 1
+    waited = ((F.pow(F.lit(2), n) - 1) if backoff else n) * delay_ms
+    rows = sent.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(tries))))
+    return rows.withColumn("not_before_ms", F.col(ts_ms) + waited.cast("long"))
+
+
+def not_joined_yet(assembled: DataFrame, joined: DataFrame, *keys: str) -> DataFrame:
+    """Assembled documents whose set of captures hasn't been joined before. Both have (…keys, kind, capture_ids)."""
+    return assembled.join(joined.select(*keys, "kind", "capture_ids").distinct(), [*keys, "kind", "capture_ids"], "left_anti")
+
+
 def deliver(sessions: DataFrame, receipts: DataFrame) -> DataFrame:
     """``sessions`` with the first receipt as delivery time and the version raised; delivered ones stay as they are."""
     first = receipts.groupBy("session_id").agg(F.min("at").alias("_at"))

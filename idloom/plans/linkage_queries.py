@@ -8,35 +8,80 @@ from pyspark.sql import functions as F
 from idloom.operators import checks, fields, linkage, matching
 from idloom.plans.common import table
 
-# Lines 1 and 2 of an order stand for the two faces of a document; three columns stand for its fields.
-_FACES = ("l_quantity", "l_returnflag", "l_shipdate")
-
-
-def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, side, field, value): quantity as an identifier, flag as text, ship date as a date; blank where odd."""
-    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", *_FACES).where("l_linenumber <= 2")
-    nin = F.when(F.col("l_orderkey") % 7 != 0, (F.col("l_quantity") % 3).cast("int").cast("string"))
-    flag = F.when(F.col("l_orderkey") % 5 != 0, F.col("l_returnflag"))
-    birth = F.date_format("l_shipdate", "yyyy-MM")
-    values = F.array(F.struct(F.lit("nin").alias("field"), nin.alias("value")), F.struct(F.lit("license_number").alias("field"), flag.alias("value")), F.struct(F.lit("month").alias("field"), birth.alias("value")))
-    side = F.when(F.col("l_linenumber") == 1, "front").otherwise("back")
-    return rows.select(F.col("l_orderkey").alias("doc_id"), side.alias("side"), F.explode(values).alias("v")).select("doc_id", "side", "v.*")
-
-
-_READ = """
-r AS (SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber = 1 THEN 'front' ELSE 'back' END AS side, unnest(['nin', 'license_number', 'month']) AS field,
-  unnest([CASE WHEN l_orderkey % 7 <> 0 THEN CAST(CAST(l_quantity % 3 AS INT) AS VARCHAR) END, CASE WHEN l_orderkey % 5 <> 0 THEN l_returnflag END, strftime(l_shipdate, '%Y-%m')]) AS value
-  FROM lineitem WHERE l_linenumber <= 2),
-p AS (SELECT doc_id, field, min(value) FILTER (side = 'front') AS front, min(value) FILTER (side = 'back') AS back, bool_or(side = 'front') AS in_front, bool_or(side = 'back') AS in_back FROM r GROUP BY ALL)
-"""
+# Two lines of an order stand for the two faces of a document: odd lines are fronts, even ones backs, so an order holds
+# up to four documents, whose numbers follow the order's.
+_FACES = ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate")
+
+
+def _readings(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """(doc_id, side, field, value) of the named fields. The two faces write equal facts in different ways: dates year or
+    day first (some of no calendar day), sexes as letters and words, names with marks, close and far spellings and Arabic
+    ones, categories as codes and as entries (some not as lists)."""
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", *_FACES)
+    front, k = F.col("l_linenumber") % 2 == 1, F.col("l_orderkey")
+    by = lambda a, b: F.when(front, a).otherwise(b)
+    month = F.date_format("l_shipdate", "yyyy-MM")
+    one_of = lambda c, *values: F.get(F.array(*map(F.lit, values)), (c % len(values)).cast("int"))
+    values = {
+        "nin": F.when(k % 7 != 0, (F.col("l_quantity") % 3).cast("int").cast("string")),
+        "license_number": F.when(k % 5 != 0, F.col("l_returnflag")),
+        "month": month,
+        "date_of_birth": F.when(k % 11 == 0, F.lit("31/02/2000")).otherwise(by(F.concat(month, F.lit("-01")), F.concat(F.lit("01/"), F.date_format("l_shipdate", "MM/yyyy")))),
+        "sex": by(one_of(F.col("l_partkey"), "M", "f"), one_of(F.col("l_partkey"), "masculin", "أنثى", "ذكر", "x")),
+        "surname_latin": by(F.lit("Benali"), one_of(F.col("l_suppkey"), "BÉNALI", "Benalli", "Smith")),
+        "given_name_latin": by(one_of(F.col("l_partkey"), "Ali", "علي"), F.lit(" ali ")),
+        "surname_ar": by(F.lit("بن علي"), one_of(F.col("l_suppkey"), "بن عليّ", "بن عالي", "سميث", "Benali")),
+        "categories": F.when(front, F.when(k % 13 == 0, F.lit('"B"')).otherwise(one_of(F.col("l_partkey"), '["B", 7, " a1"]', '["b"]'))),
+        "category_entries": F.when(~front, one_of(F.col("l_suppkey"), '[{"category": "b"}, {"category": "A1 "}, 3]', '[{"category": "B"}, {"other": "C"}]')),
+    }
+    each = F.array(*[F.struct(F.lit(n).alias("field"), values[n].alias("value")) for n in names])
+    document = k * 10 + F.floor((F.col("l_linenumber") - 1) / 2)
+    return rows.select(document.alias("doc_id"), F.when(front, "front").otherwise("back").alias("side"), F.explode(each).alias("v")).select("doc_id", "side", "v.*")
+
+
+# Field by field: the value on a front and on a back, then the comparable form of a value x, in DuckDB's words.
+_DOC = "l_orderkey * 10 + (l_linenumber - 1) // 2"
+_MONTH = "strftime(l_shipdate, '%Y-%m')"
+_PLAIN = "nullif(trim(regexp_replace(upper(strip_accents(x)), '[^\\p{L} ]', ' ', 'g')), '')"
+_ARABIC = "nullif(trim(regexp_replace(x, '\\p{M}', '', 'g')), '')"
+_SQL_FIELDS = {
+    "nin": ("CASE WHEN l_orderkey % 7 <> 0 THEN CAST(CAST(l_quantity % 3 AS INT) AS VARCHAR) END",) * 2 + ("upper(x)",),
+    "license_number": ("CASE WHEN l_orderkey % 5 <> 0 THEN l_returnflag END",) * 2 + ("upper(x)",),
+    "month": (_MONTH, _MONTH, "upper(x)"),
+    "date_of_birth": (f"CASE WHEN l_orderkey % 11 = 0 THEN '31/02/2000' ELSE {_MONTH} || '-01' END", "CASE WHEN l_orderkey % 11 = 0 THEN '31/02/2000' ELSE strftime(l_shipdate, '01/%m/%Y') END", "coalesce(try_strptime(x, '%Y-%m-%d'), try_strptime(x, '%d/%m/%Y'))::VARCHAR"),
+    "sex": ("['M', 'f'][l_partkey % 2 + 1]", "['masculin', 'أنثى', 'ذكر', 'x'][l_partkey % 4 + 1]", "CASE WHEN upper(x) IN ('M', 'MASCULIN', 'ذكر') THEN 'M' WHEN upper(x) IN ('F', 'أنثى') THEN 'F' END"),
+    "surname_latin": ("'Benali'", "['BÉNALI', 'Benalli', 'Smith'][l_suppkey % 3 + 1]", _PLAIN),
+    "given_name_latin": ("['Ali', 'علي'][l_partkey % 2 + 1]", "' ali '", f"CASE WHEN x <> 'علي' THEN {_PLAIN} END"),
+    "surname_ar": ("'بن علي'", "['بن عليّ', 'بن عالي', 'سميث', 'Benali'][l_suppkey % 4 + 1]", f"CASE WHEN x <> 'Benali' THEN {_ARABIC} END"),
+}
+
+
+def _pairs_sql(*names: str) -> str:
+    """CTE p: (doc_id, field, front, back, in_front, in_back) of the named fields; CTE n: with comparable forms a and b."""
+    raw = lambda i: ", ".join(_SQL_FIELDS[n][i] for n in names)
+    form = lambda c: "CASE field " + " ".join(f"WHEN '{n}' THEN {_SQL_FIELDS[n][2].replace('x', c) if n in ('nin', 'license_number', 'month') else _form(_SQL_FIELDS[n][2], c)}" for n in names) + " END"
+    return f"""r AS (SELECT {_DOC} AS doc_id, l_linenumber % 2 = 1 AS is_front, unnest({list(names)}) AS field,
+  unnest(CASE WHEN l_linenumber % 2 = 1 THEN [{raw(0)}] ELSE [{raw(1)}] END) AS value FROM lineitem),
+p AS (SELECT doc_id, field, min(value) FILTER (is_front) AS front, min(value) FILTER (NOT is_front) AS back, bool_or(is_front) AS in_front, bool_or(NOT is_front) AS in_back FROM r GROUP BY ALL),
+n AS (SELECT *, {form("front")} AS a, {form("back")} AS b FROM p)"""
+
+
+def _form(sql: str, column: str) -> str:
+    import re
+
+    return re.sub(r"\bx\b(?!')", column, sql)
+
+
+_MERGED = ("nin", "license_number", "month")
+_LICENCE = ("nin", "license_number", "date_of_birth", "sex", "surname_latin", "given_name_latin")
 
 
 def face_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.merge_pairs(linkage.pair_faces(_readings(spark, sf_dir), "doc_id"), ["nin", "license_number"])
+    return linkage.merge_pairs(linkage.pair_faces(_readings(spark, sf_dir, *_MERGED), "doc_id"), ["nin", "license_number"])
 
 
 _MERGE = f"""
-WITH {_READ}, s AS (SELECT *, in_front AND in_back AND field = 'month' AS split FROM p)
+WITH {_pairs_sql(*_MERGED)}, s AS (SELECT *, in_front AND in_back AND field = 'month' AS split FROM p)
 SELECT doc_id, field, CASE WHEN front IS NOT NULL AND back IS NOT NULL AND front <> back THEN NULL ELSE coalesce(front, back) END AS value,
   CASE WHEN front IS NOT NULL AND back IS NOT NULL THEN (CASE WHEN front = back THEN 'both' ELSE 'conflict' END) WHEN front IS NOT NULL THEN 'front' WHEN back IS NOT NULL THEN 'back' ELSE 'none' END AS source
 FROM s WHERE NOT split
@@ -45,16 +90,24 @@ UNION ALL SELECT doc_id, 'back_' || field, back, CASE WHEN back IS NULL THEN 'no
 """
 
 
+def _licence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.pair_faces(_readings(spark, sf_dir, *_LICENCE, "categories", "category_entries"), "doc_id")
+
+
 def _licence_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.face_checks(linkage.pair_faces(_readings(spark, sf_dir), "doc_id"), "dz-driving-licence", "doc_id")
+    return linkage.face_checks(_licence_pairs(spark, sf_dir), "dz-driving-licence", "doc_id")
 
 
-_CHECK_SQL = """
-k AS (SELECT DISTINCT doc_id FROM p),
-w AS (SELECT doc_id, unnest(['cross.driving_licence.license_number', 'cross.driving_licence.birth_date', 'cross.driving_licence.sex', 'cross.driving_licence.expiry', 'cross.driving_licence.surname', 'cross.driving_licence.given_name', 'cross.driving_licence.national_number']) AS check_id,
+_SIMILAR = "CASE WHEN a IS NULL OR b IS NULL THEN 'not_checked' WHEN a = b THEN 'passed' ELSE '{}' END"
+_CHECK_SQL = f"""
+{_pairs_sql(*_LICENCE)}, k AS (SELECT DISTINCT doc_id FROM p),
+w AS (SELECT doc_id, unnest(['license_number', 'birth_date', 'sex', 'expiry', 'surname', 'given_name', 'national_number']) AS rule,
   unnest(['license_number', 'date_of_birth', 'sex', 'date_of_expiry', 'surname_latin', 'given_name_latin', 'nin']) AS field FROM k),
-c AS (SELECT w.doc_id, w.check_id, w.field, CASE WHEN front IS NULL OR back IS NULL THEN 'not_checked' WHEN front = back THEN 'passed' ELSE 'failed' END AS outcome
-  FROM w LEFT JOIN p ON w.doc_id = p.doc_id AND w.field = p.field)
+g AS (SELECT {_DOC} AS doc_id, min(CASE WHEN l_orderkey % 13 = 0 THEN '"B"' ELSE ['["B", 7, " a1"]', '["b"]'][l_partkey % 2 + 1] END) FILTER (l_linenumber % 2 = 1) AS front,
+  min(['[{{"category": "b"}}, {{"category": "A1 "}}, 3]', '[{{"category": "B"}}, {{"other": "C"}}]'][l_suppkey % 2 + 1]) FILTER (l_linenumber % 2 = 0) AS back FROM lineitem GROUP BY 1),
+c AS (SELECT w.doc_id, 'cross.driving_licence.' || rule AS check_id, w.field, CASE WHEN rule IN ('surname', 'given_name') THEN {_SIMILAR.format("warning")} ELSE {_SIMILAR.format("failed")} END AS outcome
+  FROM w LEFT JOIN n ON w.doc_id = n.doc_id AND w.field = n.field
+  UNION ALL SELECT doc_id, 'cross.driving_licence.categories', 'categories', CASE WHEN front IS NULL OR back IS NULL OR front = '"B"' THEN 'not_checked' WHEN (front = '["b"]') = (contains(back, 'other')) THEN 'passed' ELSE 'failed' END FROM g)
 """
 
 
@@ -62,16 +115,48 @@ def face_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _licence_checks(spark, sf_dir)
 
 
+def face_checks_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An identity card's faces: names count only where both faces hold them."""
+    pairs = linkage.pair_faces(_readings(spark, sf_dir, "nin", "date_of_birth", "sex", "surname_ar", "surname_latin"), "doc_id")
+    return linkage.face_checks(pairs, "dz-id", "doc_id")
+
+
+_CHECK_ID = f"""
+WITH {_pairs_sql("nin", "date_of_birth", "sex", "surname_ar", "surname_latin")}, k AS (SELECT doc_id, bool_or(in_front) AND bool_or(in_back) AS whole FROM p GROUP BY 1),
+w AS (SELECT doc_id, unnest(['birth_date', 'sex', 'expiry', 'national_number']) AS rule, unnest(['date_of_birth', 'sex', 'date_of_expiry', 'nin']) AS field FROM k)
+SELECT w.doc_id, 'cross.id.' || rule AS check_id, w.field, {_SIMILAR.format("failed")} AS outcome FROM w LEFT JOIN n ON w.doc_id = n.doc_id AND w.field = n.field
+UNION ALL SELECT doc_id, 'cross.id.' || field, field, {_SIMILAR.format("warning")} FROM n WHERE field IN ('surname_ar', 'surname_latin') AND front IS NOT NULL AND back IS NOT NULL
+UNION ALL SELECT doc_id, 'cross.id.names', 'surname_ar', 'not_checked' FROM k WHERE NOT whole
+UNION ALL SELECT doc_id, 'cross.id.document_number', 'document_number', 'not_checked' FROM k
+"""
+
+
+def person_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A card and a passport of one person: odd lines as the card, even ones as the passport."""
+    r = _readings(spark, sf_dir, "nin", "date_of_birth", "sex", "surname_ar")
+    named = F.when((F.col("side") == "back") & (F.col("field") == "nin"), "personal_number").otherwise(F.col("field"))
+    return linkage.face_checks(linkage.pair_faces(r.withColumn("field", named), "doc_id"), "id-passport", "doc_id")
+
+
+_PERSON = f"""
+WITH {_pairs_sql("nin", "date_of_birth", "sex", "surname_ar")}, k AS (SELECT DISTINCT doc_id FROM p),
+w AS (SELECT doc_id, unnest(['national_number', 'birth_date', 'sex', 'surname_ar', 'given_name_ar', 'place_of_birth_ar', 'document_numbers']) AS rule,
+  unnest(['nin', 'date_of_birth', 'sex', 'surname_ar', 'given_name_ar', 'place_of_birth_ar', 'document_number']) AS field FROM k)
+SELECT w.doc_id, 'cross.person.' || rule AS check_id, w.field, CASE WHEN rule LIKE '%_ar' THEN {_SIMILAR.format("warning")} ELSE {_SIMILAR.format("failed")} END AS outcome FROM w LEFT JOIN n ON w.doc_id = n.doc_id AND w.field = n.field
+"""
+
+
 def face_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = checks.report(_licence_checks(spark, sf_dir), "doc_id")
-    return r.select("doc_id", "passed", "warned", "failed", "not_checked", F.array_join("failed_fields", ",").alias("failed_fields"), "status")
+    return r.select("doc_id", "passed", "warned", "failed", "not_checked", F.array_join("failed_fields", ",").alias("failed_fields"), F.array_join("warned_fields", ",").alias("warned_fields"), "status")
 
 
 _REPORT = f"""
-WITH {_READ}, {_CHECK_SQL}
+WITH {_CHECK_SQL}
 SELECT doc_id, count(*) FILTER (outcome = 'passed') AS passed, count(*) FILTER (outcome = 'warning') AS warned, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'not_checked') AS not_checked,
   coalesce(string_agg(DISTINCT CASE WHEN outcome = 'failed' THEN field END, ',' ORDER BY CASE WHEN outcome = 'failed' THEN field END), '') AS failed_fields,
-  CASE WHEN count(*) FILTER (outcome = 'failed') > 0 THEN 'failed' ELSE 'passed' END AS status
+  coalesce(string_agg(DISTINCT CASE WHEN outcome = 'warning' THEN field END, ',' ORDER BY CASE WHEN outcome = 'warning' THEN field END), '') AS warned_fields,
+  CASE WHEN count(*) FILTER (outcome = 'failed') > 0 THEN 'failed' WHEN count(*) FILTER (outcome = 'warning') > 0 THEN 'warning' ELSE 'passed' END AS status
 FROM c GROUP BY doc_id
 """
 
@@ -81,19 +166,18 @@ def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COVERAGE = f"""
-WITH {_READ}, {_CHECK_SQL}
+WITH {_CHECK_SQL}
 SELECT doc_id, count(*) FILTER (outcome <> 'not_checked') AS checked, count(*) AS total, count(*) FILTER (outcome = 'not_checked') AS not_checked, count(*) FILTER (outcome = 'not_checked') = 0 AS complete
 FROM c WHERE check_id <> 'cross.driving_licence.national_number' GROUP BY doc_id
 """
 
 
 def consistency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _licence_checks(spark, sf_dir)
-    return checks.summary(rows, "doc_id").join(checks.identity_status(rows, "doc_id"), "doc_id")
+    return checks.summary_with_status(_licence_checks(spark, sf_dir), "doc_id")
 
 
 _CONSISTENCY = f"""
-WITH {_READ}, {_CHECK_SQL}
+WITH {_CHECK_SQL}
 SELECT doc_id, bool_or(outcome = 'failed') AS blocking, count(*) FILTER (outcome = 'warning') AS warnings, count(*) FILTER (outcome = 'not_checked') AS not_checked,
   CASE WHEN bool_or(outcome = 'failed') THEN 'mismatched' WHEN bool_and(outcome = 'passed') THEN 'matched' ELSE 'unknown' END AS identity_status
 FROM c GROUP BY doc_id
@@ -102,23 +186,23 @@ FROM c GROUP BY doc_id
 
 def merge_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conflicts that no failed check reports yet (here: of the flag, as only the national number is left in scope)."""
-    pairs = linkage.pair_faces(_readings(spark, sf_dir), "doc_id")
+    pairs = linkage.pair_faces(_readings(spark, sf_dir, *_MERGED), "doc_id")
     merged = linkage.merge_pairs(pairs, ["nin", "license_number"])
     scoped = checks.onboarding_scope(linkage.face_checks(pairs, "dz-driving-licence", "doc_id"))
     return linkage.merge_conflict_checks(merged, scoped, "doc_id")
 
 
 _CONFLICTS = f"""
-WITH {_READ}
+WITH {_pairs_sql(*_MERGED)}
 SELECT doc_id, 'cross.merge.' || field AS check_id, field, 'failed' AS outcome FROM p WHERE field = 'license_number' AND front IS NOT NULL AND back IS NOT NULL AND front <> back
 """
 
 
 def face_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose two sides are both ready and current."""
-    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_linestatus").where("l_linenumber <= 2")
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_linestatus")
     capture = F.col("l_partkey").cast("string")
-    sides = rows.select(F.col("l_orderkey").alias("session_id"), F.lit("dz-id").alias("kind"), F.when(F.col("l_linenumber") == 1, "front").otherwise("back").alias("side"), capture.alias("capture_id"), F.when(F.col("l_orderkey") % 4 != 0, capture).otherwise("new").alias("current_capture_id"), F.when(F.col("l_linestatus") == "F", "ready").otherwise("processing").alias("state"))
+    sides = rows.select((F.col("l_orderkey") * 10 + F.floor((F.col("l_linenumber") - 1) / 2)).alias("session_id"), F.lit("dz-id").alias("kind"), F.when(F.col("l_linenumber") % 2 == 1, "front").otherwise("back").alias("side"), capture.alias("capture_id"), F.when(F.col("l_orderkey") % 4 != 0, capture).otherwise("new").alias("current_capture_id"), F.when(F.col("l_linestatus") == "F", "ready").otherwise("processing").alias("state"))
     from idloom.dims import sides as required
 
     out = linkage.face_assembly(sides, required(spark), "session_id")
@@ -126,57 +210,70 @@ def face_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ASSEMBLY = """
-WITH s AS (SELECT DISTINCT l_orderkey AS session_id, CASE WHEN l_linenumber = 1 THEN 'front' ELSE 'back' END AS side, CAST(l_partkey AS VARCHAR) AS capture_id FROM lineitem WHERE l_linenumber <= 2 AND l_linestatus = 'F' AND l_orderkey % 4 <> 0)
+WITH s AS (SELECT DISTINCT l_orderkey * 10 + (l_linenumber - 1) // 2 AS session_id, CASE WHEN l_linenumber % 2 = 1 THEN 'front' ELSE 'back' END AS side, CAST(l_partkey AS VARCHAR) AS capture_id FROM lineitem WHERE l_linestatus = 'F' AND l_orderkey % 4 <> 0)
 SELECT session_id, 'dz-id' AS kind, string_agg(DISTINCT side || '=' || capture_id, ';' ORDER BY side || '=' || capture_id) AS capture_ids FROM s GROUP BY session_id HAVING count(DISTINCT side) = 2
 """
 
 
+# Three lines of an order stand for the three documents of a session: an order holds up to three sessions.
+_SESSION = "l_orderkey * 10 + floor((l_linenumber - 1) / 3) AS session_id"
+_SESSION_SQL = "l_orderkey * 10 + (l_linenumber - 1) // 3 AS session_id, (l_linenumber - 1) % 3 + 1 AS pos"
+
+
 def _values_of_three(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate", "l_quantity").where("l_linenumber <= 3")
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
     per = rows.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"))
-    return per.select("l_orderkey", F.col("l_linenumber").alias("pos"), F.when(F.col("l_orderkey") % 9 != 0, (F.col("q") % 3).cast("int").cast("string")).alias("value"))
+    return per.select(F.expr(_SESSION), ((F.col("l_linenumber") - 1) % 3 + 1).alias("pos"), F.when(F.col("l_orderkey") % 9 != 0, (F.col("q") % 3).cast("int").cast("string")).alias("value"))
 
 
-_THREE = "v AS (SELECT l_orderkey, l_linenumber AS pos, CASE WHEN l_orderkey % 9 <> 0 THEN CAST(CAST(min(l_quantity) % 3 AS INT) AS VARCHAR) END AS value FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey, l_linenumber)"
+_THREE = f"v AS (SELECT {_SESSION_SQL}, CASE WHEN l_orderkey % 9 <> 0 THEN CAST(CAST(min(l_quantity) % 3 AS INT) AS VARCHAR) END AS value FROM lineitem GROUP BY l_orderkey, l_linenumber)"
 
 
 def pairwise_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.pairwise(_values_of_three(spark, sf_dir), ["l_orderkey"], "pos", "value", False).select("l_orderkey", "a_pos", "b_pos", "outcome")
+    return linkage.pairwise(_values_of_three(spark, sf_dir), ["session_id"], "pos", "value", False).select("session_id", "a_pos", "b_pos", "outcome")
 
 
 _PAIRWISE = f"""
-WITH {_THREE} SELECT a.l_orderkey, a.pos AS a_pos, b.pos AS b_pos, CASE WHEN a.value IS NULL OR b.value IS NULL THEN 'not_checked' WHEN a.value = b.value THEN 'passed' ELSE 'failed' END AS outcome
-FROM v a JOIN v b ON a.l_orderkey = b.l_orderkey AND a.pos < b.pos
+WITH {_THREE} SELECT a.session_id, a.pos AS a_pos, b.pos AS b_pos, CASE WHEN a.value IS NULL OR b.value IS NULL THEN 'not_checked' WHEN a.value = b.value THEN 'passed' ELSE 'failed' END AS outcome
+FROM v a JOIN v b ON a.session_id = b.session_id AND a.pos < b.pos
 """
 
 
 def majority_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.outliers(_values_of_three(spark, sf_dir), ["l_orderkey"], "pos", "value")
+    return linkage.outliers(_values_of_three(spark, sf_dir), ["session_id"], "pos", "value")
 
 
 _OUTLIER = f"""
-WITH {_THREE}, c AS (SELECT l_orderkey, value, count(*) AS n, min(pos) AS pos FROM v GROUP BY ALL)
-SELECT l_orderkey, min(pos) FILTER (n = 1) AS suggested FROM c GROUP BY l_orderkey HAVING sum(n) = 3 AND max(n) = 2 AND NOT bool_or(value IS NULL)
+WITH {_THREE}, c AS (SELECT session_id, value, count(*) AS n, min(pos) AS pos FROM v GROUP BY ALL)
+SELECT session_id, min(pos) FILTER (n = 1) AS suggested FROM c GROUP BY session_id HAVING sum(n) = 3 AND max(n) = 2 AND NOT bool_or(value IS NULL)
 """
 
 
 def cross_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """National numbers and surnames of up to three documents of an order's customer."""
-    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag").where("l_linenumber <= 3")
-    per = rows.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_returnflag").alias("f"))
-    values = F.array(F.struct(F.lit("personal_number").alias("field"), (F.col("q") % 3).cast("int").cast("string").alias("value")), F.struct(F.lit("surname_latin").alias("field"), F.concat(F.lit("Smithson"), F.col("f")).alias("value")))
+    """National numbers, birth dates, and Latin and Arabic surnames of the three documents of a session."""
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_suppkey")
+    per = rows.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_returnflag").alias("f"), F.min("l_suppkey").alias("s"))
+    pos = (F.col("l_linenumber") - 1) % 3
+    values = {
+        "personal_number": (F.col("q") % 3).cast("int").cast("string"),
+        "surname_latin": F.concat(F.when(F.col("s") % 5 == 0, "Smyth").otherwise("Smithson"), F.col("f")),
+        "date_of_birth": F.when(pos == 0, F.concat(F.lit("2001-02-0"), (F.col("q") % 2 + 1).cast("int").cast("string"))).otherwise(F.concat((F.col("q") % 2 + 1).cast("int").cast("string"), F.lit(".2.2001"))),
+        "surname_ar": F.when(F.col("s") % 2 == 0, "بن علي").otherwise("بِن علي"),
+    }
+    each = F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value")) for n, v in values.items()])
     kinds = F.array(F.lit("id"), F.lit("driving_licence"), F.lit("passport"))
-    readings = per.select("l_orderkey", F.get(kinds, F.col("l_linenumber") - 1).alias("document"), F.col("l_linenumber").alias("pos"), F.explode(values).alias("v")).select("l_orderkey", "document", "pos", "v.*")
-    return linkage.cross_document(readings, "l_orderkey", scope="onboarding")
-
-
-_CROSS = """
-WITH v AS (SELECT l_orderkey, l_linenumber AS pos, ['id', 'driving_licence', 'passport'][l_linenumber] AS document, CAST(CAST(min(l_quantity) % 3 AS INT) AS VARCHAR) AS nin, 'SMITHSON' || min(l_returnflag) AS name FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey, l_linenumber),
-f AS (SELECT l_orderkey, pos, document, unnest(['nin', 'dateOfBirth', 'lastNameLatin', 'firstNameLatin', 'lastNameArabic', 'firstNameArabic']) AS fact, unnest([nin, NULL, name, NULL, NULL, NULL]) AS value FROM v),
-o AS (SELECT l_orderkey, fact, min(document) FILTER (n = 1) AS suggested FROM (SELECT l_orderkey, fact, value, count(*) AS n, min(document) AS document FROM f GROUP BY ALL) GROUP BY ALL HAVING sum(n) = 3 AND max(n) = 2 AND NOT bool_or(value IS NULL)),
-c AS (SELECT a.l_orderkey, a.fact, a.document AS a_document, b.document AS b_document, CASE WHEN a.value IS NULL OR b.value IS NULL THEN 'not_checked' WHEN a.value = b.value THEN 'passed' WHEN a.fact LIKE '%Name%' THEN 'warning' ELSE 'failed' END AS outcome
-  FROM f a JOIN f b ON a.l_orderkey = b.l_orderkey AND a.fact = b.fact AND a.pos < b.pos)
-SELECT c.l_orderkey, c.fact, a_document, b_document, outcome, CASE WHEN outcome = 'failed' THEN suggested END AS suggested_document FROM c LEFT JOIN o ON o.l_orderkey = c.l_orderkey AND o.fact = c.fact
+    readings = per.select(F.expr(_SESSION), F.get(kinds, pos.cast("int")).alias("document"), (pos + 1).alias("pos"), F.explode(each).alias("v")).select("session_id", "document", "pos", "v.*")
+    return linkage.cross_document(readings, "session_id", scope="onboarding")
+
+
+_CROSS = f"""
+WITH v AS (SELECT {_SESSION_SQL}, ['id', 'driving_licence', 'passport'][(l_linenumber - 1) % 3 + 1] AS document, CAST(CAST(min(l_quantity) % 3 AS INT) AS VARCHAR) AS nin, CASE WHEN min(l_suppkey) % 5 = 0 THEN 'SMYTH' ELSE 'SMITHSON' END || min(l_returnflag) AS name,
+  CAST(CAST(min(l_quantity) % 2 AS INT) AS VARCHAR) AS birth FROM lineitem GROUP BY l_orderkey, l_linenumber),
+f AS (SELECT session_id, pos, document, unnest(['nin', 'dateOfBirth', 'lastNameLatin', 'firstNameLatin', 'lastNameArabic', 'firstNameArabic']) AS fact, unnest([nin, birth, name, NULL, 'same', NULL]) AS value FROM v),
+o AS (SELECT session_id, fact, min(document) FILTER (n = 1) AS suggested FROM (SELECT session_id, fact, value, count(*) AS n, min(document) AS document FROM f GROUP BY ALL) GROUP BY ALL HAVING sum(n) = 3 AND max(n) = 2 AND NOT bool_or(value IS NULL)),
+c AS (SELECT a.session_id, a.fact, a.document AS a_document, b.document AS b_document, CASE WHEN a.value IS NULL OR b.value IS NULL THEN 'not_checked' WHEN a.value = b.value THEN 'passed' WHEN a.fact LIKE '%Name%' AND 1 - levenshtein(a.value, b.value)::DOUBLE / greatest(length(a.value), length(b.value)) >= 0.75 THEN 'warning' ELSE 'failed' END AS outcome
+  FROM f a JOIN f b ON a.session_id = b.session_id AND a.fact = b.fact AND a.pos < b.pos)
+SELECT c.session_id, c.fact, a_document, b_document, outcome, CASE WHEN outcome = 'failed' THEN suggested END AS suggested_document FROM c LEFT JOIN o ON o.session_id = c.session_id AND o.fact = c.fact
 """
 
 # ---------------------------------------------------------------- fields
@@ -226,18 +323,15 @@ WITH {_NAMES} SELECT o_orderkey, array_to_string(list_filter([CASE WHEN "firstNa
 
 
 def fill_from_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line 2 as the new reading of line 1's document: blanks are filled where both are of one holder."""
-    r = _readings(spark, sf_dir)
+    """A document's back as its new reading: blanks are filled from the front where both are of one holder."""
+    r = _readings(spark, sf_dir, *_MERGED).groupBy("doc_id", "side", "field").agg(F.min("value").alias("value"))
     return fields.fill_from_prior(r.where("side = 'back'").drop("side"), r.where("side = 'front'").drop("side"), "doc_id")
 
 
-_PRIOR = """
-WITH r AS (SELECT l_orderkey AS doc_id, l_linenumber AS line, unnest(['nin', 'license_number', 'month']) AS field,
-  unnest([CASE WHEN l_orderkey % 7 <> 0 THEN CAST(CAST(l_quantity % 3 AS INT) AS VARCHAR) END, CASE WHEN l_orderkey % 5 <> 0 THEN l_returnflag END, strftime(l_shipdate, '%Y-%m')]) AS value FROM lineitem WHERE l_linenumber <= 2),
-p AS (SELECT coalesce(c.doc_id, o.doc_id) AS doc_id, coalesce(c.field, o.field) AS field, c.doc_id IS NOT NULL AS here, c.value AS cur, o.value AS old FROM (SELECT * FROM r WHERE line = 2) c FULL JOIN (SELECT * FROM r WHERE line = 1) o ON c.doc_id = o.doc_id AND c.field = o.field),
-s AS (SELECT doc_id, count(*) FILTER (field <> 'month' AND cur IS NOT NULL AND old IS NOT NULL) AS strong, count(*) FILTER (field <> 'month' AND cur <> old) AS clash FROM p GROUP BY doc_id)
-SELECT doc_id, field, CASE WHEN cur IS NULL AND old IS NOT NULL AND clash = 0 AND strong > 0 THEN old ELSE cur END AS value, cur IS NULL AND old IS NOT NULL AND clash = 0 AND strong > 0 AS reused
-FROM p JOIN s USING (doc_id) WHERE doc_id IN (SELECT doc_id FROM r WHERE line = 2) AND (here OR (cur IS NULL AND old IS NOT NULL AND clash = 0 AND strong > 0))
+_PRIOR = f"""
+WITH {_pairs_sql(*_MERGED)}, s AS (SELECT doc_id, bool_or(in_back) AS has_back, count(*) FILTER (field <> 'month' AND front IS NOT NULL AND back IS NOT NULL) AS strong, count(*) FILTER (field <> 'month' AND front <> back) AS clash FROM p GROUP BY doc_id),
+q AS (SELECT p.*, back IS NULL AND front IS NOT NULL AND clash = 0 AND strong > 0 AS reused FROM p JOIN s USING (doc_id) WHERE has_back)
+SELECT doc_id, field, CASE WHEN reused THEN front ELSE back END AS value, reused FROM q WHERE in_back OR reused
 """
 
 
@@ -286,7 +380,9 @@ SELECT query_id, max(ref_id) FILTER (k = 1) AS first_id, CAST(max(d) FILTER (k =
 
 QUERIES = {
     "face_merge": (face_merge, _MERGE),
-    "face_checks": (face_checks, f"WITH {_READ}, {_CHECK_SQL} SELECT doc_id, check_id, field, outcome FROM c"),
+    "face_checks": (face_checks, f"WITH {_CHECK_SQL} SELECT doc_id, check_id, field, outcome FROM c"),
+    "face_checks_id": (face_checks_id, _CHECK_ID),
+    "person_checks": (person_checks, _PERSON),
     "face_report": (face_report, _REPORT),
     "coverage_report": (coverage_report, _COVERAGE),
     "consistency_summary": (consistency_summary, _CONSISTENCY),

@@ -109,11 +109,49 @@ FROM (SELECT *, c_custkey % 2 = 0 AND (c_custkey % 10 = 0 OR c_custkey % 3 = 1)
 
 
 def webhook_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    box = sweeps.outbox(_sessions(spark, sf_dir))
-    return box.select("session_id", "singleton_key", F.get_json_object("body", "$.status").alias("status"), tenancy.hmac_sha256(F.lit("body"), F.lit("secret")).alias("probe"))
+    """Bodies to send, each signed as it is."""
+    done = _sessions(spark, sf_dir).withColumn("completed_at", F.date_format("updated_at", "yyyy-MM-dd"))
+    box = sweeps.outbox(done).select("session_id", "singleton_key").join(done.select("session_id", sweeps.completed_payload().alias("body")), "session_id")
+    return box.select("session_id", "singleton_key", "body", F.concat(F.lit("sha256="), tenancy.hmac_sha256(F.col("body"), F.lit("secret"))).alias("signature"))
 
 
-_OUTBOX = "SELECT o_orderkey AS session_id, 'webhook:' || o_orderkey AS singleton_key, 'expired' AS status, 'dc46983557fea127b43af721467eb9b3fde2338fe3e14f51952aa8478c13d355' AS probe FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 <> 0"
+# The inner and outer pads of HMAC for the key "secret": its bytes, filled with zeros to 64, xor 0x36 and 0x5c.
+_PADS = ["".join(f"{b ^ x:02x}" for b in b"secret".ljust(64, b"\0")) for x in (0x36, 0x5C)]
+_OUTBOX = f"""
+WITH b AS (SELECT o_orderkey AS session_id, '{{"event":"onboarding.completed","sessionId":' || o_orderkey || ',"status":"expired","reasonCode":null,"completedAt":"' || strftime(o_orderdate, '%Y-%m-%d') || '"}}' AS body FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 <> 0)
+SELECT session_id, 'webhook:' || session_id AS singleton_key, body, 'sha256=' || sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(body)))) AS signature FROM b
+"""
+
+
+def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When users' errors may be tried again: reading jobs every five seconds, deliveries after doubling pauses."""
+    e = table(spark, sf_dir, "events", "event_id", "ts", "event_type")
+    rows = e.select("event_id", "event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("sent_ms"))
+    reading = sweeps.retry_schedule(rows.where("event_type = 'error'"), "sent_ms", 4, 5_000, backoff=False)
+    webhook = sweeps.retry_schedule(rows.where("event_type = 'purchase'"), "sent_ms", 3, 250, backoff=True)
+    return reading.unionByName(webhook).select("event_id", "attempt", "not_before_ms")
+
+
+_RETRIES = """
+WITH e AS (SELECT event_id, event_type, epoch_us(ts) // 1000 AS t FROM events)
+SELECT event_id, n::INT AS attempt, t + (n - 1) * 5000 AS not_before_ms FROM e, range(1, 5) r(n) WHERE event_type = 'error'
+UNION ALL SELECT event_id, n::INT, t + CASE n WHEN 1 THEN 0 WHEN 2 THEN 250 ELSE 750 END FROM e, range(1, 4) r(n) WHERE event_type = 'purchase'
+"""
+
+
+def once_only_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of an order's parts that no earlier order of the same customer has had."""
+    li, o = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linestatus"), table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    sets = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_linestatus")).alias("capture_ids")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = sets.select(F.col("o_custkey").alias("session_id"), F.lit("dz-id").alias("kind"), "capture_ids", (F.col("o_orderkey") % 3 == 0).alias("old"), "o_orderkey")
+    fresh = sweeps.not_joined_yet(rows.where("NOT old"), rows.where("old"), "session_id")
+    return fresh.select("session_id", "o_orderkey", F.array_join("capture_ids", ";").alias("capture_ids"))
+
+
+_ONCE_ONLY = """
+WITH s AS (SELECT o_custkey AS session_id, o_orderkey, string_agg(DISTINCT l_linestatus, ';' ORDER BY l_linestatus) AS capture_ids FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL)
+SELECT session_id, o_orderkey, capture_ids FROM s WHERE o_orderkey % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM s t WHERE t.session_id = s.session_id AND t.capture_ids = s.capture_ids AND t.o_orderkey % 3 = 0)
+"""
 
 # ---------------------------------------------------------------- tenancy
 
@@ -281,24 +319,25 @@ SELECT o_orderkey AS session_id, 'expired' AS status, identity_status FROM order
 
 
 def flow_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phase and next side of sessions made from the first three lines of orders."""
-    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity").where("l_linenumber <= 3")
-    per = rows.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("f"), F.min("l_linestatus").alias("s"), F.min("l_quantity").alias("q"))
+    """Phase and next side of sessions: every three lines of an order are the three documents of one."""
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity")
+    session, pos = (F.col("l_orderkey") * 10 + F.floor((F.col("l_linenumber") - 1) / 3)).alias("session_id"), ((F.col("l_linenumber") - 1) % 3).alias("pos")
+    per = rows.groupBy(session, pos).agg(F.min("l_returnflag").alias("f"), F.min("l_linestatus").alias("s"), F.min("l_quantity").alias("q"))
     kinds = F.array(F.lit("dz-id"), F.lit("dz-driving-licence"), F.lit("dz-passport"))
-    docs = per.select("l_orderkey", F.col("l_linenumber").alias("pos"), F.get(kinds, F.col("l_linenumber") - 1).alias("kind"), (F.col("f") == "A").alias("confirmed"), F.when(F.col("s") == "F", "ready").otherwise("processing").alias("status"), (F.col("q") > 40).alias("blocking"))
-    captures = per.where("q > 10").select("l_orderkey", F.get(kinds, F.col("l_linenumber") - 1).alias("kind"), F.explode(F.array(F.lit("front"), F.lit("back"), F.lit("single"))).alias("side"))
-    captures = captures.where("side <> 'back' OR l_orderkey % 2 = 0")
-    conflicts = docs.groupBy("l_orderkey").agg(F.bool_or(F.col("blocking")).alias("blocking"))
-    return reports.flow(docs, captures, conflicts, "l_orderkey")
+    docs = per.select("session_id", "pos", F.get(kinds, F.col("pos").cast("int")).alias("kind"), (F.col("f") == "A").alias("confirmed"), F.when(F.col("s") == "F", "ready").otherwise("processing").alias("status"), (F.col("q") > 40).alias("blocking"))
+    captures = per.where("q > 10").select("session_id", F.get(kinds, F.col("pos").cast("int")).alias("kind"), F.explode(F.array(F.lit("front"), F.lit("back"), F.lit("single"))).alias("side"))
+    captures = captures.where("side <> 'back' OR session_id % 2 = 0")
+    conflicts = docs.groupBy("session_id").agg(F.bool_or(F.col("blocking")).alias("blocking"))
+    return reports.flow(docs, captures, conflicts, "session_id")
 
 
 _FLOW = """
-WITH p AS (SELECT l_orderkey, l_linenumber AS pos, ['dz-id', 'dz-driving-licence', 'dz-passport'][l_linenumber] AS kind, min(l_returnflag) = 'A' AS confirmed, min(l_linestatus) = 'F' AS ready, min(l_quantity) AS q FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL),
-c AS (SELECT * FROM p WHERE NOT confirmed QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY pos) = 1),
-k AS (SELECT l_orderkey, count(*) FILTER (confirmed) AS completed, bool_or(q > 40) AS cross_ FROM p GROUP BY 1),
-n AS (SELECT *, CASE WHEN kind = 'dz-passport' THEN (CASE WHEN q > 10 THEN NULL ELSE 'single' END) WHEN q <= 10 THEN 'front' WHEN l_orderkey % 2 = 0 THEN NULL ELSE 'back' END AS next_side FROM c)
-SELECT k.l_orderkey, n.kind AS current_kind, n.next_side, CASE WHEN n.kind IS NULL THEN (CASE WHEN cross_ THEN 'consistency' ELSE 'complete' END) WHEN n.next_side IS NOT NULL THEN 'capture' WHEN NOT n.ready THEN 'processing' WHEN n.q > 40 THEN 'consistency' ELSE 'review' END AS phase, completed
-FROM k LEFT JOIN n ON n.l_orderkey = k.l_orderkey
+WITH p AS (SELECT l_orderkey * 10 + (l_linenumber - 1) // 3 AS session_id, (l_linenumber - 1) % 3 + 1 AS pos, ['dz-id', 'dz-driving-licence', 'dz-passport'][(l_linenumber - 1) % 3 + 1] AS kind, min(l_returnflag) = 'A' AS confirmed, min(l_linestatus) = 'F' AS ready, min(l_quantity) AS q FROM lineitem GROUP BY ALL),
+c AS (SELECT * FROM p WHERE NOT confirmed QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pos) = 1),
+k AS (SELECT session_id, count(*) FILTER (confirmed) AS completed, bool_or(q > 40) AS cross_ FROM p GROUP BY 1),
+n AS (SELECT *, CASE WHEN kind = 'dz-passport' THEN (CASE WHEN q > 10 THEN NULL ELSE 'single' END) WHEN q <= 10 THEN 'front' WHEN session_id % 2 = 0 THEN NULL ELSE 'back' END AS next_side FROM c)
+SELECT k.session_id, n.kind AS current_kind, n.next_side, CASE WHEN n.kind IS NULL THEN (CASE WHEN cross_ THEN 'consistency' ELSE 'complete' END) WHEN n.next_side IS NOT NULL THEN 'capture' WHEN NOT n.ready THEN 'processing' WHEN n.q > 40 THEN 'consistency' ELSE 'review' END AS phase, completed
+FROM k LEFT JOIN n ON n.session_id = k.session_id
 """
 
 
@@ -344,6 +383,38 @@ def lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweeps.latest(out, ["session_id"], "batch", "version").drop("batch")
 
 
+# The rules for a session with one passport, event by event: first what an event comes to, then what that changes.
+_FOLD = """
+WITH RECURSIVE e AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS session_id, event_type, value > 5 AS ok, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y%m%d') ORDER BY ts, event_id) AS seq FROM events),
+s AS (
+  SELECT session_id, seq, 'created' AS status, NULL::VARCHAR AS reason, 1::BIGINT AS version, seq * 60000 + 1800000 AS expires, false AS held, 'pending' AS doc, 0 AS photos, 0 AS readings, false AS confirmed, false AS clash, 0::BIGINT AS rejected, NULL::VARCHAR AS error FROM e WHERE seq = 1
+  UNION ALL
+  SELECT session_id, seq,
+    CASE code WHEN 'limit' THEN 'document_failed' WHEN 'exhausted' THEN 'document_failed' WHEN 'blurred' THEN 'capturing' WHEN 'taken' THEN 'processing' WHEN 'read' THEN 'awaiting_confirmation' WHEN 'unread' THEN 'awaiting_confirmation'
+      WHEN 'agreed' THEN CASE WHEN clash THEN 'capturing' ELSE 'awaiting_submission' END WHEN 'again' THEN 'capturing' WHEN 'differs' THEN 'awaiting_confirmation' WHEN 'done' THEN 'succeeded' ELSE status END,
+    CASE code WHEN 'limit' THEN 'submission_limit_reached' WHEN 'exhausted' THEN 'ocr_attempts_exhausted' WHEN 'differs' THEN 'consistency_mismatch' WHEN 'taken' THEN NULL WHEN 'again' THEN NULL ELSE reason END,
+    CASE WHEN code[1] = '!' THEN version ELSE version + 1 END, CASE WHEN code[1] = '!' THEN expires ELSE now + 1800000 END,
+    CASE code WHEN 'taken' THEN true WHEN 'again' THEN false ELSE held END,
+    CASE code WHEN 'limit' THEN 'failed' WHEN 'exhausted' THEN 'failed' WHEN 'blurred' THEN 'capturing' WHEN 'taken' THEN 'processing' WHEN 'read' THEN 'ready' WHEN 'unread' THEN 'incomplete' WHEN 'again' THEN 'capturing' ELSE doc END,
+    photos + (code IN ('limit', 'blurred', 'taken'))::INT, readings + (code IN ('read', 'unread') OR (code = 'exhausted' AND kind = 'ocr'))::INT,
+    CASE code WHEN 'agreed' THEN true WHEN 'again' THEN false WHEN 'taken' THEN false ELSE confirmed END, CASE code WHEN 'differs' THEN true WHEN 'again' THEN false ELSE clash END,
+    rejected + (code[1] = '!' OR code IN ('limit', 'blurred', 'differs'))::INT,
+    CASE code WHEN 'limit' THEN 'submission_limit_reached' WHEN 'blurred' THEN 'quality_rejected' WHEN 'differs' THEN 'consistency_conflict' ELSE CASE WHEN code[1] = '!' THEN code[2:] ELSE error END END
+  FROM (SELECT s.* EXCLUDE (seq, status, reason, version, expires), e.seq, e.kind, e.now, over_.status, over_.reason, over_.version, over_.expires,
+      CASE WHEN over_.status IN ('succeeded', 'document_failed', 'expired') THEN '!session_closed'
+        WHEN e.kind = 'capture' THEN CASE WHEN held OR doc IN ('incomplete', 'ready') THEN '!document_not_capturable' WHEN photos >= 10 THEN 'limit' WHEN NOT e.ok THEN 'blurred' ELSE 'taken' END
+        WHEN e.kind = 'ocr' THEN CASE WHEN e.ok THEN 'read' WHEN readings >= 2 THEN 'exhausted' ELSE 'unread' END
+        WHEN e.kind = 'confirm' THEN CASE WHEN doc <> 'ready' THEN '!document_not_ready' ELSE 'agreed' END
+        WHEN e.kind = 'retake' THEN CASE WHEN readings < 3 THEN 'again' WHEN clash THEN '!ocr_attempts_exhausted' ELSE 'exhausted' END
+        ELSE CASE WHEN over_.status <> 'awaiting_submission' THEN '!session_not_ready' WHEN NOT e.ok THEN 'differs' ELSE 'done' END END AS code
+    FROM s JOIN (SELECT session_id, seq, ok, seq * 60000 AS now, CASE event_type WHEN 'purchase' THEN 'confirm' WHEN 'error' THEN 'retake' WHEN 'signup' THEN 'submit' WHEN 'click' THEN 'ocr' ELSE 'capture' END AS kind FROM e) e ON e.session_id = s.session_id AND e.seq = s.seq + 1,
+      LATERAL (SELECT s.status NOT IN ('processing', 'succeeded', 'document_failed', 'expired') AND e.now >= s.expires AS due) d,
+      LATERAL (SELECT CASE WHEN due THEN 'expired' ELSE s.status END AS status, CASE WHEN due THEN 'session_expired' ELSE s.reason END AS reason, s.version + due::INT AS version, CASE WHEN due THEN e.now + 1800000 ELSE s.expires END AS expires) over_) x
+)
+SELECT session_id, status, reason AS reason_code, version, expires AS expires_at_ms, CASE WHEN NOT confirmed THEN 'dz-passport' END AS current_kind, confirmed::BIGINT AS confirmed, rejected, error AS last_error
+FROM s QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) = 1
+"""
+
 QUERIES = {
     "expired_sweep": (expired_sweep, _EXPIRED),
     "expire": (expire, _EXPIRE),
@@ -354,6 +425,8 @@ QUERIES = {
     "latest_version": (latest_version, _LATEST),
     "compare_and_set": (compare_and_set, _CAS),
     "webhook_outbox": (webhook_outbox, _OUTBOX),
+    "retry_schedule": (retry_schedule, _RETRIES),
+    "once_only_join": (once_only_join, _ONCE_ONLY),
     "key_auth_join": (key_auth_join, _AUTH),
     "catalog_available": (catalog_available, "SELECT p_brand AS kind, bool_and(p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 20)) AS available FROM part GROUP BY 1"),
     "catalog_unknown": (catalog_unknown, "SELECT DISTINCT l_partkey AS type FROM lineitem WHERE l_quantity > 20 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0)"),
@@ -368,6 +441,6 @@ QUERIES = {
     "public_view": (public_view, _PUBLIC),
     "result_status": (result_status, _RESULT),
     "flow_projection": (flow_projection, _FLOW),
-    "lifecycle_fold": (lifecycle_fold, None),
-    "lifecycle_stream": (lifecycle_stream, None),
+    "lifecycle_fold": (lifecycle_fold, _FOLD),
+    "lifecycle_stream": (lifecycle_stream, _FOLD),
 }

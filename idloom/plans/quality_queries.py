@@ -13,12 +13,12 @@ from idloom.plans.common import table
 # ---------------------------------------------------------------- rules over document texts
 
 _RULES = """
-  SELECT d.doc_id, d.lang, l.quality,
+  SELECT d.doc_id, d.lang,
     length(d.text) AS n_chars,
     length(regexp_replace(d.text, '[^ ]', '', 'g')) AS n_blanks,
     length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
     length(regexp_replace(d.text, '[^A-Z]', '', 'g')) AS n_upper
-  FROM documents d JOIN labels l USING (doc_id)
+  FROM documents d
 """
 _CHECKS = """
   SELECT *, n_chars >= 250 AS long_enough, n_chars > 0 AND n_symbols <= 0.02 * n_chars AS few_symbols,
@@ -28,11 +28,9 @@ _CHECKS = """
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents", "doc_id", "lang", "text"), table(spark, sf_dir, "labels", "doc_id", "quality")
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
     count = lambda chars: F.length("text") - F.length(F.translate("text", chars, ""))
-    # measured below the join: counts are shuffled, texts are not
-    m = docs.select("doc_id", "lang", F.length("text").alias("n_chars"), count(" ").alias("n_blanks"), count("#*$%&|<>").alias("n_symbols"), count("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"))
-    return m.join(labels, "doc_id")
+    return docs.select("doc_id", "lang", F.length("text").alias("n_chars"), count(" ").alias("n_blanks"), count("#*$%&|<>").alias("n_symbols"), count("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"))
 
 
 def _text_rules():
@@ -54,8 +52,10 @@ def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_gate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """False accepts and rejects of the rules by language and first hint."""
-    rows = _checked(spark, sf_dir).select("lang", "quality", *quality.summarise(F.col("checks")))
+    """False accepts and rejects of the rules by language and first hint, over the labelled documents."""
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality")
+    # measured below the join: verdicts are shuffled, texts are not
+    rows = _checked(spark, sf_dir).select("doc_id", "lang", *quality.summarise(F.col("checks"))).join(labels, "doc_id")
     return rows.groupBy("lang", "hint").agg(
         F.count("*").alias("total"),
         F.count_if((F.col("quality") == 0) & F.col("passed")).alias("bad_accepted"),
@@ -66,7 +66,7 @@ def quality_gate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SUMMARY = f"""
-WITH m AS ({_RULES}), c AS ({_CHECKS}), e AS (
+WITH m AS ({_RULES}), c AS (SELECT c.*, labels.quality FROM ({_CHECKS}) c JOIN labels USING (doc_id)), e AS (
   SELECT *, long_enough AND few_symbols AND few_upper AS passed,
     CASE WHEN NOT long_enough THEN 'move_closer' WHEN NOT few_symbols THEN 'avoid_glare' WHEN NOT few_upper THEN 'less_light'
          WHEN NOT has_blanks THEN 'hold_still' ELSE 'ready' END AS hint
@@ -188,18 +188,16 @@ FROM c
 
 
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each part's name against that of the next part of its brand."""
-    from pyspark.sql import Window
-
-    p = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_name")
-    n = p.withColumn("other", F.lead("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey")))
+    """Each part's name against that of the part with the next number: pairs by an equi-join, so they spread by number."""
+    p = table(spark, sf_dir, "part", "p_partkey", "p_name")
+    other = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
     s = X.similarity(F.upper("p_name"), F.upper("other"))
-    return n.where("other IS NOT NULL").select("p_partkey", N.round_half_up(s, 6).alias("similarity"), (s >= 0.75).alias("close"))
+    return p.join(other, "p_partkey").select("p_partkey", N.round_half_up(s, 6).alias("similarity"), (s >= 0.75).alias("close"))
 
 
 _SIM = """
-WITH n AS (SELECT p_partkey, upper(p_name) AS a, upper(lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey)) AS b FROM part),
-s AS (SELECT p_partkey, CASE WHEN a = b THEN 1.0 WHEN length(a) = 0 OR length(b) = 0 THEN 0.0 ELSE 1 - CAST(levenshtein(a, b) AS DOUBLE) / greatest(length(a), length(b)) END AS s FROM n WHERE b IS NOT NULL)
+WITH n AS (SELECT a.p_partkey, upper(a.p_name) AS a, upper(b.p_name) AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
+s AS (SELECT p_partkey, CASE WHEN a = b THEN 1.0 WHEN length(a) = 0 OR length(b) = 0 THEN 0.0 ELSE 1 - CAST(levenshtein(a, b) AS DOUBLE) / greatest(length(a), length(b)) END AS s FROM n)
 SELECT p_partkey, floor(s * 1000000 + 0.5) / 1000000 AS similarity, s >= 0.75 AS close FROM s
 """
 
@@ -207,7 +205,8 @@ SELECT p_partkey, floor(s * 1000000 + 0.5) / 1000000 AS similarity, s >= 0.75 AS
 def script_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents", "doc_id", "text")
     mixed = F.concat(F.col("text"), F.lit(" لقب اسم"))
-    return d.select("doc_id", N.round_half_up(X.script_share(mixed, "arabic"), 6).alias("arabic"), (X.script_share(mixed, "latin") >= 0.6).alias("latin_enough"))
+    shares = d.select("doc_id", X.script_shares(mixed).alias("s"))
+    return shares.select("doc_id", N.round_half_up(F.col("s.arabic"), 6).alias("arabic"), (F.col("s.latin") >= 0.6).alias("latin_enough"))
 
 
 _SCRIPT = r"""

@@ -1,7 +1,9 @@
 """The session lifecycle over a stream of events, with one state for each session.
 
 Events must arrive in ``seq`` order within a session across batches; within a batch they are sorted. An event-time
-timer expires an idle session, as the rule for events at rest does with ``tick``.
+timer expires an idle session, as the rule for events at rest does with ``tick``. The state of a final session is removed
+when the time that sessions are kept for has passed, and that of an unknown one after an idle session's time; a session
+that is processing has no deadline and keeps its state.
 """
 
 from __future__ import annotations
@@ -17,25 +19,33 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from idloom.operators import lifecycle as L
 
 
+#: How long the state of a final session is kept.
+KEPT_MS = L.dims.DAYS_KEPT * 86_400_000
+
+
 def fold_stream(events: DataFrame, late: str = "10 minutes", timers: bool = True) -> DataFrame:
     """Streaming counterpart of ``lifecycle.fold``: the state of each session after every batch that touches it (update
     mode), and after its timer."""
-    kinds = {"session_id": "string", "seq": "long", "ok": "boolean", "at_ms": "long"}
-    typed = events.where("session_id IS NOT NULL").select(*[F.col(c).cast(kinds.get(c, "string")).alias(c) for c in L.COLUMNS])
-    timed = typed.withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", late)
+    timed = L.typed_events(events).withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", late)
     names = [x.split()[0] for x in L.OUTPUT.split(", ")]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         state = json.loads(group.get[0]) if group.exists else L.new_state()
+        if group.hasTimedOut and (state["status"] is None or state["status"] in L.dims.FINAL):
+            group.remove()
+            return
         if group.hasTimedOut:
-            L.step(state, dict.fromkeys(L.COLUMNS) | {"type": "tick", "at_ms": max(group.getCurrentWatermarkMs(), state["expires"])})
+            L.step(state, dict.fromkeys(L.FIELDS) | {"type": "tick", "at_ms": max(group.getCurrentWatermarkMs(), state["expires"])})
         else:
-            rows = [dict(zip(L.COLUMNS, [None if v is None or v != v else v for v in r], strict=True)) for f in frames for r in zip(*(f[c].tolist() for c in L.COLUMNS), strict=True)]
+            rows = [dict(zip(L.FIELDS, [None if v is None or v != v else v for v in r], strict=True)) for f in frames for r in zip(*(f[c].tolist() for c in L.FIELDS), strict=True)]
             for e in sorted(rows, key=lambda r: (r["seq"], r["at_ms"], r["type"])):
                 L.step(state, e)
         group.update((L.dump(state),))
-        if timers and state["status"] and state["status"] not in L.dims.FINAL and state["status"] != "processing":
-            group.setTimeoutTimestamp(max(state["expires"], group.getCurrentWatermarkMs() + 1))
+        if timers and state["status"] != "processing":
+            now = max(group.getCurrentWatermarkMs(), 0)
+            kept = KEPT_MS if state["status"] in L.dims.FINAL else 0
+            due = now + L.IDLE_MS if state["status"] is None else state["expires"] + kept
+            group.setTimeoutTimestamp(max(due, now + 1))
         yield pd.DataFrame({n: [v] for n, v in zip(names, L.view(key[0], state), strict=True)})
 
     timeout = GroupStateTimeout.EventTimeTimeout if timers else GroupStateTimeout.NoTimeout

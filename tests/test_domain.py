@@ -3,7 +3,7 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
-from idloom import schemas
+from idloom import dims, schemas
 from idloom.functions import numeric as N
 from idloom.operators import fields, image, matching, quality, tenancy
 from tests.test_quality import frames
@@ -25,7 +25,8 @@ def test_sides_of_fields(spark):
     sources = spark.createDataFrame([("s", "dz-id", "surname_latin", "back"), ("s", "dz-id", "nin", "both")], "s string, kind string, field string, source string")
     held = spark.createDataFrame([("s", "dz-id", "back", "sex", "M"), ("s", "dz-id", "front", "given_name_latin", "x"), ("s", "dz-id", "back", "given_name_latin", "x")], "s string, kind string, side string, field string, value string")
     got = {(r["kind"], r["canonical"]): r["side"] for r in fields.field_sides(merged, sources, held, "s").collect()}
-    assert (got["dz-id", "lastNameLatin"], got["dz-id", "nin"], got["dz-id", "firstNameLatin"], got["dz-id", "documentNumber"], got["dz-passport", "nin"]) == ("back", None, "front", None, "single")
+    assert (got["dz-id", "lastNameLatin"], got["dz-id", "nin"], got["dz-id", "firstNameLatin"], got["dz-id", "sex"], got["dz-passport", "nin"]) == ("back", None, "front", "back", "single")
+    assert {c for _, c in got} == set(dims.TRACED)
 
 
 def test_profile_paths():

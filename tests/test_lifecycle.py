@@ -139,6 +139,103 @@ def test_fold_equals_a_loop_for_any_partitioning(spark):
     assert L.fold(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def tech(side, capture="c"):
+    return {"type": "technical", "kind": "dz-id", "side": side, "capture_id": capture}
+
+
+def test_technical_failures_use_no_attempt():
+    s = play(CREATE, card("front", "f"), card("back", "b"), read("back", "b"), tech("front", "f"), tech("front", "f"), read("front", "f"))
+    d = s["documents"]["dz-id"]
+    assert (d["status"], d["attempts"], d["side_attempts"], d["technical"]) == ("ready", 1, {"back": 1, "front": 1}, {"front": 2})
+    s = play(CREATE, card("front", "f"), *[tech("front", "f")] * 3)
+    assert (s["status"], s["reason"], s["documents"]["dz-id"]["attempts"]) == ("technical_failed", "ocr_unavailable", 0)
+    assert play(CREATE, card("front", "f"), *[tech("front", "f")] * 3, card("back"))["error"] == "session_closed"
+    # another photo's failures aren't this one's, and a replaced photo can't fail its replacement
+    s = play(CREATE, card("front", "f"), tech("front", "f"), tech("front", "f"), {"type": "retake_side", "kind": "dz-id", "side": "front"}, card("front", "g"), tech("front", "g"))
+    assert s["status"] == "processing" and s["documents"]["dz-id"]["technical"] == {"front": 1}
+    assert play(CREATE, card("front", "f"), tech("front", "old"))["error"] == "stale_result"
+    expires = play(CREATE, card("front", "f"))["expires"]
+    assert play(CREATE, card("front", "f"), tech("front", "f"))["expires"] == expires
+
+
+def test_a_refused_side_is_photographed_again():
+    s = play(CREATE, card("front", "f"), card("back", "b"), read("back", "b"), {"type": "refused", "kind": "dz-id", "side": "front", "capture_id": "f"})
+    d = s["documents"]["dz-id"]
+    assert (s["status"], s["reason"], list(d["captures"]), d["attempts"]) == ("capturing", "document_not_verified", ["back"], 0)
+
+
+def reading(kind, facts, ok=True):
+    return {"type": "ocr", "kind": kind, "ok": ok, "facts": json.dumps({k: [v, None] for k, v in facts.items()})}
+
+
+SAME = {"nin": "109", "dateOfBirth": "1990-02-12", "lastNameLatin": "BENALI"}
+TWO = [{"type": "create", "kind": "two-of-three"}, {"type": "select", "kind": "dz-id,dz-passport"}]
+PASSPORT = {"type": "confirm", "kind": "dz-passport"}
+
+
+def test_conflicts_between_documents_are_found():
+    other = SAME | {"dateOfBirth": "1991-02-12"}
+    clash = [*TWO, reading("dz-id", SAME), CONFIRM, reading("dz-passport", other), PASSPORT]
+    s = play(*clash)
+    assert (s["status"], s["reason"], s["cross_conflict"]) == ("awaiting_confirmation", "consistency_mismatch", True)
+    assert all(d["confirmed"] for d in s["documents"].values()) and play(*clash, SUBMIT)["error"] == "session_not_ready"
+    again = [*clash, {"type": "retake_side", "kind": "dz-id", "side": "back"}]
+    assert play(*again)["cross_conflict"] is False and play(*again)["documents"]["dz-passport"]["facts"]["dateOfBirth"][0] == "1991-02-12"
+    assert play(*again, reading("dz-id", other), CONFIRM)["status"] == "awaiting_submission"
+    assert play(*again, reading("dz-id", other), CONFIRM, SUBMIT)["status"] == "succeeded"
+    # a close spelling only warns, a name in another script isn't compared
+    assert play(*TWO, reading("dz-id", SAME), CONFIRM, reading("dz-passport", SAME | {"lastNameLatin": "BENALLI"}), PASSPORT)["status"] == "awaiting_submission"
+    assert play(*TWO, reading("dz-id", SAME), CONFIRM, reading("dz-passport", {"nin": "109"}), PASSPORT)["status"] == "awaiting_submission"
+    assert play(*TWO, reading("dz-id", SAME), CONFIRM, reading("dz-passport", SAME | {"lastNameLatin": "SMITH"}), PASSPORT)["status"] == "awaiting_confirmation"
+
+
+def test_consistency_closes_after_the_last_attempt():
+    other = SAME | {"nin": "7"}
+    three = [e for _ in range(2) for e in (reading("dz-id", SAME, ok=False), {"type": "retake_side", "kind": "dz-id", "side": "back"})]
+    start = [*TWO, *three, reading("dz-id", SAME), CONFIRM, reading("dz-passport", other), PASSPORT]
+    s = play(*start)
+    assert s["documents"]["dz-id"]["attempts"] == 3 and s["status"] == "awaiting_confirmation"
+    stuck = play(*start, {"type": "retake_side", "kind": "dz-id", "side": "front"})
+    assert (stuck["error"], stuck["status"]) == ("ocr_attempts_exhausted", "awaiting_confirmation")
+    more = [e for _ in range(2) for e in ({"type": "retake_side", "kind": "dz-passport", "side": "single"}, reading("dz-passport", other), PASSPORT)]
+    s = play(*start, *more)
+    assert (s["status"], s["reason"]) == ("consistency_failed", "consistency_mismatch")
+
+
+def test_facts_of_readings_feed_the_fold(spark):
+    from idloom.operators import linkage
+
+    rows = [("s", "dz-id", "nin", " 12-3 ", "back"), ("s", "dz-id", "surname_latin", "Bénali", "front"), ("s", "dz-passport", "personal_number", "124", "single"), ("s", "dz-passport", "surname_latin", "علي", "single"), ("s", "dz-passport", "sex", "M", "single")]
+    facts = {r["kind"]: r["facts"] for r in linkage.session_facts(spark.createDataFrame(rows, "session_id string, kind string, field string, value string, side string"), "session_id", "kind").collect()}
+    assert {k: json.loads(v) for k, v in facts.items()} == {"dz-id": {"nin": ["123", "back"], "lastNameLatin": ["BENALI", "front"]}, "dz-passport": {"nin": ["124", "single"]}}
+    events = [("create", "two-of-three", None), ("select", "dz-id,dz-passport", None), ("ocr", "dz-id", facts["dz-id"]), ("confirm", "dz-id", None), ("ocr", "dz-passport", facts["dz-passport"]), ("confirm", "dz-passport", None)]
+    rows = [("s", i, t, k, None, None, None, True, i * MINUTE, f) for i, (t, k, f) in enumerate(events)]
+    r = L.fold(spark.createDataFrame(rows, SCHEMA + ", facts string")).first()
+    assert (r["status"], r["reason_code"]) == ("awaiting_confirmation", "consistency_mismatch")
+
+
+def test_state_of_final_sessions_is_removed(spark, tmp_path, monkeypatch):
+    """After the time that sessions are kept for, a final session is forgotten, and its next event is of an unknown one."""
+    from idloom.streaming import lifecycle as stream_module
+
+    monkeypatch.setattr(stream_module, "KEPT_MS", 60 * MINUTE)
+
+    def run(rows, i):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+        fold_stream(stream, late="1 minute").writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/state").foreachBatch(lambda b, n: b.withColumn("part", F.lit(i)).write.mode("append").parquet(f"{tmp_path}/out")).start().awaitTermination()
+
+    day = 1_700_000_000_000
+    at = lambda s, i, t, minutes, **more: tuple((dict.fromkeys(SCHEMA.split()[::2]) | {"session_id": s, "seq": i, "type": t, "kind": "passport-only" if t == "create" else "dz-passport", "ok": True, "at_ms": day + minutes * MINUTE} | more).values())
+    done = [at("done", 0, "create", 0), at("done", 1, "ocr", 1), at("done", 2, "confirm", 2), at("done", 3, "submit", 3)]
+    run(done, 0)
+    for i, minutes in enumerate((200, 300, 400), 1):
+        run([at(f"other{i}", 0, "create", minutes)], i)
+    run([at("done", 4, "tick", 401)], 4)
+    rows = [(r["part"], r["status"], r["last_error"]) for r in spark.read.parquet(f"{tmp_path}/out").where("session_id = 'done'").collect()]
+    assert (0, "succeeded", None) in rows and (4, None, "unknown_session") in rows and not [r for r in rows if r[0] in (1, 2, 3)]
+
+
 def test_stream_equals_fold(spark, tmp_path):
     events = random_events(25, 4)
     for part in range(3):
@@ -222,3 +319,38 @@ def test_manifest_profile_and_objects(spark, tmp_path):
     assert r["name"] == "x.png" and bytes(r["bytes"]) == b"abc"
     files.write_json(one("x"), f"{tmp_path}/out")
     assert spark.read.json(f"{tmp_path}/out").first()["mode"] == "x"
+
+
+def test_saved_over_bundled_and_refusals(spark, tmp_path):
+    from idloom.plans.photo_queries import _profile
+
+    ids = lambda *names: spark.createDataFrame([(n,) for n in names], "id string")
+    left, refused = files.delete_templates(ids("a", "b"), ids("b", "c"), ids("a", "b", "c", "d"))
+    assert left.count() == 0 and [r["id"] for r in refused.collect()] == ["c"]
+    for folder, data in (("one", b"first"), ("two", b"second")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.png").write_bytes(data)
+    (tmp_path / "two" / "y.png").write_bytes(b"\x89PNG\r\n\x1a\n....")
+    objects = files.images(spark, f"{tmp_path}/one", f"{tmp_path}/two")
+    assert {r["name"]: bytes(r["bytes"])[:5] for r in objects.collect()} == {"x.png": b"first", "y.png": b"\x89PNG\r"}
+    assert files.require_object(objects, "x.png").first()["name"] == "x.png"
+    import pytest
+
+    with pytest.raises(Exception, match="no object z"):
+        files.require_object(objects, "z").collect()
+    kinds = {r["name"]: r["t"] for r in objects.select("name", files.media_type(F.col("bytes")).alias("t")).collect()}
+    assert kinds == {"x.png": None, "y.png": "image/png"}
+    good = _profile()
+    one = lambda p: spark.createDataFrame([(json.dumps(p),)], "profile string")
+    files.save_profile(one(good), f"{tmp_path}/profile")
+    with pytest.raises(ValueError, match="image.maxNoise"):
+        files.save_profile(one(good | {"image": good["image"] | {"maxNoise": -1}}), f"{tmp_path}/profile")
+    files.save_profile(one(good | {"mode": "enforce"}), f"{tmp_path}/profile")
+    assert json.loads(spark.read.parquet(f"{tmp_path}/profile").first()["profile"])["mode"] == "enforce"
+
+
+def test_exports_are_read_as_first_versions(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.json").write_text(json.dumps({"id": "dz-id-front", "width": 9, "height": 9, "zones": []}))
+    r = files.templates(spark, f"{tmp_path}/t").first()
+    assert (r["document_kind"], r["version"]) == ("dz-id", 1)

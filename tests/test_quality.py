@@ -1,3 +1,4 @@
+import json
 import math
 import random
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from idloom import dims
 from idloom.functions import numeric as N
-from idloom.operators import image, matching, quality, reports, windows
+from idloom.operators import assessment, image, matching, quality, reports, windows
 
 FRAME = {"fill": 0.8, "margin": 0.05, "aspect_error": 0.0, "angle_deviation": 1.0, "side_ratio": 1.01, "dpi": 297.0, "corner_motion": 0.0, "sharpness": 12.0, "paper": 225.0, "contrast": 0.8, "motion_isotropy": 0.7, "focus_uniformity": 0.8, "illumination": 0.95, "noise": 1.0, "highlight_clip": 0.0, "shadow_clip": 0.0, "glare_ratio": 0.0, "glare_blob": 0.0, "color_glare_ratio": 0.0}
 
@@ -249,3 +250,86 @@ def test_metric_maps_and_keys(spark):
     assert rows.select(reports.flatten_metrics(F.col("m")).alias("f")).first()["f"] == {"image.noise": 1.2346, "geometry.fill": 0.5}
     captures = spark.createDataFrame([("s", "a", None), ("s", "b", "c")], "session_id string, object_key string, ocr_object_key string")
     assert sorted(r["object_key"] for r in reports.object_keys(captures).collect()) == ["a", "b", "c"]
+
+
+# ---------------------------------------------------------------- assessment
+
+
+def photo(spark, rows):
+    return spark.createDataFrame(rows, "photo_id string, kind string, width int, height int, rgba binary, quad array<struct<x:double,y:double>>, zones array<struct<id:string,x:double,y:double,w:double,h:double>>")
+
+
+def scene(seed=1):
+    """A frame of 640 x 480 with a detailed card on a dark table, and the card's corners."""
+    rng = np.random.default_rng(seed)
+    px = np.full((480, 640, 4), 60, np.uint8)
+    card = np.full((345, 545, 3), 190, np.uint8)
+    for _ in range(900):
+        y, x = rng.integers(5, 335), rng.integers(5, 530)
+        card[y : y + 3, x : x + 9] = rng.integers(20, 60)
+    px[60:405, 45:590, :3] = card
+    px[..., 3] = 255
+    return px.tobytes(), [(45.0, 60.0), (589.0, 60.0), (589.0, 404.0), (45.0, 404.0)]
+
+
+def test_assessment_of_photos(spark):
+    data, quad = scene()
+    zones = [("number", 0.1, 0.1, 0.5, 0.3), ("edge", 0.995, 0.1, 0.5, 0.3)]
+    rows = [("a", "dz-id", 640, 480, data, quad, zones), ("none", "dz-id", 640, 480, data, None, zones), ("short", "dz-id", 640, 480, data[:-4], quad, zones)]
+    photos = photo(spark, rows)
+    measured = {r["photo_id"]: r for r in assessment.analyse(photos, zones=True).collect()}
+    width, height = assessment.upright_size(measured["a"]["width_px"], False)
+    assert (width, height) == (544, 343) and assessment.upright_size(9000, True) == (1024, 721) and assessment.upright_size(3, False)[0] == 32
+    upright = image.rectify(data, 640, 480, np.array(quad), width, height)
+    assert measured["a"]["sharpness"] == pytest.approx(image.measure(upright.tobytes(), width, height)["sharpness"])
+    assert [z["visible"] for z in measured["a"]["zone_metrics"]] == [True, False]
+    assert measured["none"]["fill"] is None and measured["short"]["sharpness"] is None
+    loose = {"minFill": 0.1, "minDpi": 50.0}
+    aligned = spark.createDataFrame([("a", "t1", False, 0.9, 0.5, 1.0, True), ("a", "t2", True, 0.8, 0.5, 1.0, True), ("none", "t1", False, 0.1, 0.01, 99.0, False)], "photo_id string, template_id string, matched boolean, inlier_ratio double, coverage double, error double, plausible boolean")
+    got = {r["photo_id"]: r for r in assessment.assess(photos, aligned, zones=True, profile=loose).collect()}
+    keys = [c["key"] for c in got["a"]["checks"]]
+    assert got["a"]["template_id"] == "t2" and got["a"]["template_matched"]
+    assert keys[-8:] == ["template_alignment", "orb_spatial_coverage", "orb_reprojection", "orb_geometry", "zone:number:sharpness", "zone:number:glare", "zone:number:exposure", "zone:edge:visible"]
+    assert not got["a"]["passed"] and got["a"]["hint"] == "show_whole_document"  # the second zone lies outside
+    assert {c["key"]: c["status"] for c in got["none"]["checks"]}["document_found"] == "fail" and got["none"]["hint"] == "find_document"
+    inside = photo(spark, [("a", "dz-id", 640, 480, data, quad, zones[:1])])
+    assert assessment.assess(inside, aligned, zones=True, profile=loose).first()["passed"]
+    assert assessment.assess(photos, mode="observe").where("NOT passed").count() == 0
+    off = assessment.assess(photos, mode="off").first()
+    assert off["passed"] and off["checks"] == []
+
+
+def test_largest_quad_and_order_of_corners(spark):
+    points = [(500.0, 300.0), (100.0, 100.0), (100.0, 300.0), (500.0, 100.0)]
+    rows = [("f", 0, points, 640.0, 480.0, "dz-id"), ("f", 1, [(x / 4, y / 4) for x, y in points], 640.0, 480.0, "dz-id"), ("f", 2, [(0.0, 0.0), (640.0, 0.0), (640.0, 100.0), (0.0, 100.0)], 640.0, 480.0, "dz-id")]
+    frames = spark.createDataFrame(rows, "frame string, pos int, points array<struct<x:double,y:double>>, width double, height double, kind string")
+    assert [(p["x"], p["y"]) for p in assessment.best_quad(frames, "frame").first()["quad"]] == [(100, 100), (500, 100), (500, 300), (100, 300)]
+    upright = spark.createDataFrame([([(0.0, 0.0), (100.0, 0.0), (100.0, 300.0), (0.0, 300.0)],)], "q array<struct<x:double,y:double>>")
+    from idloom.functions.numeric import order_corners
+
+    assert [(p["x"], p["y"]) for p in upright.select(order_corners(upright["q"]).alias("q")).first()["q"]] == [(100, 0), (100, 300), (0, 300), (0, 0)]
+
+
+def test_template_versions(spark):
+    old = spark.createDataFrame([("t", 1, "2020"), ("t", 2, "2021")], "id string, version int, created_at string")
+    new = spark.createDataFrame([("t", "dz-id"), ("u", "dz-id")], "id string, document_kind string")
+    got = {r["id"]: r for r in assessment.template_version(old, new, "2024").collect()}
+    assert (got["t"]["version"], got["t"]["created_at"], got["u"]["version"], got["u"]["created_at"]) == (3, "2020", 1, "2024")
+    assert got["u"]["parameters"]["minimumGoodMatches"] == 18
+
+
+def test_views_of_checks_profiles_and_sessions(spark):
+    from idloom.functions import text
+    from idloom.plans.photo_queries import _profile
+
+    good = _profile()
+    bad = json.loads(json.dumps(good))
+    bad["image"]["maxNoise"], bad["mode"], bad["severity"]["noise"] = "loud", "on", "maybe"
+    del bad["image"]["minColorGlareValue"], bad["orb"]["ransacThreshold"], bad["severity"]["color_glare"]
+    rows = spark.createDataFrame([(0, json.dumps(good)), (1, json.dumps(bad)), (2, "no profile")], "i int, p string")
+    got = {r["i"]: r["f"] for r in rows.select("i", quality.profile_faults(rows["p"]).alias("f")).collect()}
+    assert got[0] == [] and got[1] == ["image.maxNoise", "orb.ransacThreshold", "severity.noise", "mode"] and len(got[2]) > 50
+    lists = spark.createDataFrame([('["a", 1, null, "b", ["c"]]',), ('{"a": "b"}',), (None,)], "x string")
+    assert [r[0] for r in lists.select(text.only_texts(lists["x"])).collect()] == [["a", "b"], [], []]
+    sessions = spark.createDataFrame([("s", b"x", 3)], "id string, latest_image binary, samples int")
+    assert quality.calibration_snapshot(sessions).columns == ["id", "samples"]
