@@ -62,6 +62,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def join_split(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one`` (inner or left), whose keys are unique, so that adaptive execution can split hot keys.
+
+    A side that was grouped by the keys needs no shuffle of its own for a join on them, and then the other side's
+    partitions can't be split. The join is therefore on a struct of the keys, for which both sides are shuffled; the rows
+    of ``one`` that meet a split partition are copied to its parts.
+    """
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)]).alias("_key_struct")
+    other = one.select(key, *[F.col(c) for c in one.columns if c not in keys])
+    return many.select(key, "*").join(other, "_key_struct", how).drop("_key_struct")
+
+
 #: A key is hot if it holds more than a HOT_KEYS-th of all rows, so there are fewer than HOT_KEYS such keys.
 HOT_KEYS, BROADCAST_BYTES, SALTS = 1000, 16 << 20, 32
 

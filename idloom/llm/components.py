@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star.
 
 Neither step gathers a node's neighbours: a grouped minimum (with map-side combine) is joined back on the node, and
-nodes with very many edges are joined apart from the others. Each half step is written to the shared folder, which
+the rows of a node with very many edges are split over tasks. Each half step is written to the shared folder, which
 cuts the lineage and survives lost executors.
 """
 
@@ -10,15 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from idloom.llm.common import discard, join_counted, materialize
+from idloom.llm.common import discard, join_split, materialize
 
 
-def _stars(edges: DataFrame, n_edges: int, large: bool) -> DataFrame:
+def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One half step over edges (u, v) with u > v; the result has that form too."""
     around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = around.groupBy("u").agg(F.min("v").alias("_v"), F.count("*").alias("n")).select("u", F.least("u", "_v").alias("m"), "n")
-    least = materialize(least, "least")
-    joined = join_counted(around, least, ["u"], (2 if large else 1) * n_edges)
+    least = around.groupBy("u").agg(F.min("v").alias("_v")).select("u", F.least("u", "_v").alias("m"))
+    joined = join_split(around, least, ["u"])
     if large:  # larger neighbours are hung on the least node around u
         moved = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         kept = least.where(F.col("m") < F.col("u")).select("u", F.col("m").alias("v"))
@@ -43,8 +42,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     now = materialize(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     seen = _print(now)
     while seen[0]:
-        mid = materialize(_stars(now, seen[0], large=True), "large-star")
-        after = materialize(_stars(mid, mid.count(), large=False), "small-star")
+        mid = materialize(_stars(now, large=True), "large-star")
+        after = materialize(_stars(mid, large=False), "small-star")
         discard(now, mid)
         now, before = after, seen
         seen = _print(now)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from idloom.llm.common import WordHashes, bounded_broadcast, discard, gram_hashes, join_counted, materialize, mix, table, with_columns
+from idloom.llm.common import WordHashes, bounded_broadcast, discard, gram_hashes, join_split, materialize, mix, table, with_columns
 from idloom.llm.components import components
 
 BANDS, ROWS = 28, 4
@@ -179,18 +179,17 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tex
     """(doc_id, n_shingles, component_id, kept) of every row: documents are linked if
     ``100 * |intersection| >= percent * |union|`` of their sets of k-word shingles."""
     rows = materialize(scan(docs, k, text_col, key), "signatures")
-    classes = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
+    classes = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     classes = materialize(classes, "classes")
     reps = classes.select(F.col("digest").alias("node"), "rep")
 
     buckets = _buckets(classes)
-    sizes = materialize(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
-    members = join_counted(buckets, sizes.withColumn("size", F.col("n")), ["bucket"], BANDS * classes.count())
-    members = materialize(members.withColumnRenamed("size", "n"), "members")
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(join_split(buckets, sizes, ["bucket"]), "members")
     weights = members.groupBy("node").agg(F.sum("n").alias("weight"))  # a node has BANDS rows at most
-    ranked = members.select("bucket", "node", "n").join(weights, "node")
-    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("top"), F.count("*").alias("n")).select("bucket", F.col("top.node").alias("pivot"), "n")
-    met = join_counted(members.select("bucket", "node"), materialize(pivots, "pivots"), ["bucket"], members.count())
+    ranked = members.select("bucket", "node").join(weights, "node")
+    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("top")).select("bucket", F.col("top.node").alias("pivot"))
+    met = join_split(members.select("bucket", "node"), pivots, ["bucket"])
     star = met.where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     links = _confirm(_alike(star, classes, percent), docs, reps, k, percent, text_col, key)
 
@@ -199,8 +198,8 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tex
     size = classes.select(F.col("digest").alias("node"), F.col("n_shingles").alias("n"))
     placed = members.select("bucket", "node").join(labels, "node", "left").join(size, "node").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
     per = placed.groupBy("bucket", "root").agg(F.count("*").alias("k"), F.min("n").alias("least"))
-    open_ = per.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("k").alias("all"), F.max(F.struct("k", "root")).alias("top"), F.min("least").alias("least")).where("parts > 1 AND all > 2").select("bucket", "least", F.col("top.root").alias("largest"), F.col("all").alias("n_open"))
-    nodes = join_counted(placed, materialize(open_, "open-buckets"), ["bucket"], members.count(), count="n_open").groupBy("node", "root", "n").agg(F.min("least").alias("least"), F.bool_or(F.col("root") != F.col("largest")).alias("outside"))
+    open_ = per.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("k").alias("all"), F.max(F.struct("k", "root")).alias("top"), F.min("least").alias("least")).where("parts > 1 AND all > 2").select("bucket", "least", F.col("top.root").alias("largest"))
+    nodes = join_split(placed, open_, ["bucket"]).groupBy("node", "root", "n").agg(F.min("least").alias("least"), F.bool_or(F.col("root") != F.col("largest")).alias("outside"))
     nodes = materialize(nodes.join(reps, "node").where(F.col("rep").isNotNull()), "open-classes")
     sets = materialize(_sets(docs, nodes.select("node", "rep"), k, text_col, key), "open-sets")
     prefixes = materialize(_prefixes(sets, nodes, percent), "prefixes")
@@ -215,8 +214,8 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tex
     named = labels.join(reps, "node")
     ids = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     ids = named.join(ids, "root").select(F.col("node").alias("digest"), "component_id")
-    own = classes.select("digest", "rep", "copies").join(ids, "digest", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"), F.col("copies").alias("n"))
-    out = join_counted(rows.select("doc_id", "digest", "n_shingles"), materialize(own, "class-components"), ["digest"], rows.count(), how="left")
+    own = classes.select("digest", "rep").join(ids, "digest", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
+    out = join_split(rows.select("doc_id", "digest", "n_shingles"), own, ["digest"], "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
