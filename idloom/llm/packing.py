@@ -10,7 +10,9 @@ counts last. Only the last windows of a block can keep slack.
 A sequence is padded to the window, except where its fill is a power of two.
 
 Defined cases: a null or empty text is one piece that holds the end id only; repeated rows are pieces of their own;
-null ids are returned as they came; very long texts give many whole windows; an empty table gives an empty result.
+null ids are returned as they came; very long texts give many whole windows; ties (pieces of one length) are filled
+in the order of their block's rows, and any order gives the same padding; input columns other than text and id aren't
+looked at, so their names can't clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations

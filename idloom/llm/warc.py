@@ -3,14 +3,16 @@
 An archive is two Parquet tables in one folder: ``payloads`` (digest, payload), one row for each distinct payload, and
 ``headers`` (record number, digest, the record's exact header bytes), one row for each record. A record's bytes are its
 header, its content block and two line ends; ``records`` rebuilds them by a join on the digest, and each payload is
-checked against its SHA-256 on the way.
+checked against its SHA-256 on the way. A response's block is the payload alone, without an HTTP head, as a resource
+record's would be: pages come without one.
 
 Of records with equal payloads of at least ``least_bytes`` bytes the one with the largest id is a ``response``; the
 others are ``revisit`` records with an empty block that refer to it. Smaller payloads are all responses. The owner of a
 payload is found by a grouped maximum over digests and ids; payloads are made distinct by their digest. Both combine on
 the map side, so a payload that a third of all records share reaches a reducer once from each task.
 
-Defined cases: a null or empty payload has zero bytes; a null url gives no target line; a null id loses against any
+Defined cases: a null or empty payload has zero bytes; a null url gives no target line, and line ends in one are
+percent-encoded; ties don't occur, as ids order the records of a payload; a null id loses against any
 other and is kept as null (if all ids of a payload are null, all its records are responses); with repeated rows of the
 largest id all of them are responses and the payload is still stored once for readers; payloads of any length are
 stored whole; extra columns are ignored; an empty table gives an empty archive.
@@ -39,11 +41,18 @@ def base32_of_hex(hexed: Column) -> Column:
     return F.concat(*parts)
 
 
+def _head(kind: str) -> str:
+    """The first two lines of a record of this kind, always in this place."""
+    return f"WARC/1.1{CRLF}WARC-Type: {kind}{CRLF}"
+
+
 def _header(kind: str) -> Column:
     """Header bytes of a record of this kind up to and with the empty line."""
     line = lambda name, *value: F.concat(F.lit(f"{name}: "), *value, F.lit(CRLF))
     urn = lambda c: F.concat(F.lit("<urn:record:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
-    lines = [F.lit(f"WARC/1.1{CRLF}WARC-Type: {kind}{CRLF}"), line("WARC-Record-ID", urn(F.col("id"))), line("WARC-Date", F.lit(DATE)), F.coalesce(line("WARC-Target-URI", F.col("url")), F.lit(""))]
+    # a line end in a url would begin another header line
+    url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    lines = [F.lit(_head(kind)), line("WARC-Record-ID", urn(F.col("id"))), line("WARC-Date", F.lit(DATE)), F.coalesce(line("WARC-Target-URI", url), F.lit(""))]
     lines.append(line("WARC-Payload-Digest", F.lit("sha1:"), F.col("sha1")))
     if kind == "revisit":
         lines += [line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", urn(F.col("owner"))), line("Content-Length", F.lit("0"))]
@@ -77,7 +86,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     stored = spark.read.schema("digest binary, payload binary").parquet(f"{path}/payloads")
     checked = stored.withColumn("intact", F.unhex(F.sha2("payload", 256)) == F.col("digest"))
     both = headers.join(checked, "digest", "left")
-    block = F.when(F.col("header").cast("string").contains(f"{CRLF}WARC-Type: revisit{CRLF}"), F.lit("").cast("binary")).otherwise(F.col("payload"))
+    block = F.when(F.col("header").startswith(F.lit(_head("revisit").encode())), F.lit("").cast("binary")).otherwise(F.col("payload"))
     return both.select("digest", "header", "payload", "intact", F.concat("header", block, F.lit(CRLF * 2).cast("binary")).alias("record"))
 
 

@@ -7,7 +7,8 @@ greedily (longest first), which is a different segmentation from that file's mer
 
 Defined cases: a null or empty text has zero words and zero tokens; every symbol is in the vocabulary, so no word is
 unknown; a vocabulary without some symbol counts a word that holds it as one unknown token; repeated rows count
-alike; other columns pass through, those with the name of a result column are replaced.
+alike, and there are no ties, as the longest match at a place is unique; texts of any length are counted whole; an
+empty table gives an empty result; other columns pass through, those with the name of a result column are replaced.
 """
 
 from __future__ import annotations
