@@ -147,9 +147,9 @@ def face_assembly(sides: DataFrame, required: DataFrame, *keys: str) -> DataFram
     capture_ids). ``sides`` has (…keys, kind, side, capture_id, current_capture_id, state)."""
     fresh = (F.col("state") == "ready") & (F.col("capture_id") == F.col("current_capture_id"))
     need = required.groupBy("kind").agg(F.count("*").alias("needed"))
-    ready = sides.where(fresh).join(F.broadcast(required.select("kind", "side")), ["kind", "side"], "left_semi")  # the required sides are a fixed table
+    ready = sides.where(fresh).join(required.select("kind", "side"), ["kind", "side"], "left_semi")
     got = ready.groupBy(*keys, "kind").agg(F.countDistinct("side").alias("got"), F.array_sort(F.collect_set(F.concat_ws("=", "side", "capture_id"))).alias("capture_ids"))
-    return got.join(F.broadcast(need), "kind").where("got = needed").select(*keys, "kind", "capture_ids")
+    return got.join(need, "kind").where("got = needed").select(*keys, "kind", "capture_ids")
 
 
 def pairwise(values: DataFrame, keys: list[str], pos: str, value: str, fuzzy: Column | bool) -> DataFrame:
@@ -216,7 +216,7 @@ def retry_targets(readings: DataFrame, held: DataFrame, sides: DataFrame, *keys:
     """Distinct (…keys, check_id, kind, side) that could be photographed again: the reading's own side, else the sides
     that hold the field, else all required sides. ``readings`` has (…keys, check_id, kind, side, field); ``held`` has
     (…keys, kind, side, field)."""
-    required = F.broadcast(sides.select("kind", F.col("side").alias("req_side")))
+    required = sides.select("kind", F.col("side").alias("req_side"))
     holds = held.select(*keys, "kind", F.col("side").alias("req_side"), "field", F.lit(True).alias("holds")).distinct()
     each = readings.join(required, "kind").join(holds, [*keys, "kind", "req_side", "field"], "left")
     each = each.withColumn("any", F.max(F.coalesce("holds", F.lit(False))).over(Window.partitionBy(*keys, "check_id", "kind", "field")))

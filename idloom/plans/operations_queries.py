@@ -370,7 +370,10 @@ def lifecycle_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same fold as a stream over the events as files, in one pass over what is there: the last state of each."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-idloom-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="spark-idloom-")
     folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     lifecycle_events(spark, sf_dir).write.parquet(f"{folder}/in")
     rows = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
