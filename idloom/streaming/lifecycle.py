@@ -26,7 +26,9 @@ KEPT_MS = L.dims.DAYS_KEPT * 86_400_000
 def fold_stream(events: DataFrame, late: str = "10 minutes", timers: bool = True) -> DataFrame:
     """Streaming counterpart of ``lifecycle.fold``: the state of each session after every batch that touches it (update
     mode), and after its timer."""
-    timed = L.typed_events(events).withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", late)
+    # an event and a result are one text each: pandas handles every group's columns one by one, and there are many groups
+    event = F.to_json(F.struct(*L.FIELDS), {"ignoreNullFields": "false"})
+    timed = L.typed_events(events).select("session_id", event.alias("event"), F.timestamp_millis("at_ms").alias("at")).withWatermark("at", late)
     names = [x.split()[0] for x in L.OUTPUT.split(", ")]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
@@ -37,7 +39,7 @@ def fold_stream(events: DataFrame, late: str = "10 minutes", timers: bool = True
         if group.hasTimedOut:
             L.step(state, dict.fromkeys(L.FIELDS) | {"type": "tick", "at_ms": max(group.getCurrentWatermarkMs(), state["expires"])})
         else:
-            rows = [dict(zip(L.FIELDS, [None if v is None or v != v else v for v in r], strict=True)) for f in frames for r in zip(*(f[c].tolist() for c in L.FIELDS), strict=True)]
+            rows = [json.loads(x) for f in frames for x in f["event"]]
             for e in sorted(rows, key=lambda r: (r["seq"], r["at_ms"], r["type"])):
                 L.step(state, e)
         group.update((L.dump(state),))
@@ -46,10 +48,11 @@ def fold_stream(events: DataFrame, late: str = "10 minutes", timers: bool = True
             kept = KEPT_MS if state["status"] in L.dims.FINAL else 0
             due = now + L.IDLE_MS if state["status"] is None else state["expires"] + kept
             group.setTimeoutTimestamp(max(due, now + 1))
-        yield pd.DataFrame({n: [v] for n, v in zip(names, L.view(key[0], state), strict=True)})
+        yield pd.DataFrame({"result": [json.dumps(dict(zip(names, L.view(key[0], state), strict=True)))]})
 
     timeout = GroupStateTimeout.EventTimeTimeout if timers else GroupStateTimeout.NoTimeout
-    return timed.groupBy("session_id").applyInPandasWithState(run, L.OUTPUT, "state string", "update", timeout)
+    out = timed.groupBy("session_id").applyInPandasWithState(run, "result string", "state string", "update", timeout)
+    return out.select(F.from_json("result", L.OUTPUT).alias("r")).select("r.*")
 
 
 def once_per_key(events: DataFrame, key: list[str], ts: str, late: str = "1 hour") -> DataFrame:
