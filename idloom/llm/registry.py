@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from idloom.llm import bpe, language, media, minhash, oracles, packing, quality, substring, toxicity, warc, wordpiece
+from idloom.llm import bestfit, bpe, codes, language, media, minhash, oracles, packing, quality, resample, substring, toxicity, warc, wordpiece
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_language": language.op8_language,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_token_counts": wordpiece.op10_token_counts,
+        "op11_best_fit": bestfit.op11_best_fit,
+        "op12_vector_codes": codes.op12_vector_codes,
+        "op13_importance": resample.op13_importance,
     }
 
 

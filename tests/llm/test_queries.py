@@ -50,7 +50,7 @@ def folder(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
     path = f"{tmp_path_factory.mktemp('empty')}"
-    for name, schema in (("documents", SCHEMA), ("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string")):
+    for name, schema in (("documents", SCHEMA), ("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string"), ("embeddings", "vec_id long, embedding array<float>, label int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{path}/{name}.parquet")
     return path
 
@@ -157,7 +157,7 @@ def test_empty_tables(spark, empty, name):
 def test_sql_says_the_same(spark, name):
     """On the given tables, where ids are unique and not null."""
     data, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     cursor = con.execute(registry.oracle_sql()[name])
     names = [c[0] for c in cursor.description]
