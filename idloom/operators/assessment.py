@@ -42,7 +42,7 @@ def upright_size(width_px: float, passport: bool) -> tuple[int, int]:
 def analyse(photos: DataFrame, zones: bool = False, profile: dict | None = None) -> DataFrame:
     """``photos`` (photo_id, kind, width, height, rgba, quad, and with ``zones`` an array of (id, x, y, w, h) in shares)
     with the geometry's columns and the measurements of the upright image; both are null where there is no quad or the
-    buffer has a wrong length. Zone measurements come as an array of (id, visible, sharpness, …)."""
+    buffer has a wrong length, and the measurements where the corners lie on a line. Zone measurements come as an array of (id, visible, sharpness, …)."""
     shape = F.when(F.col("quad").isNotNull(), N.geometry(F.col("quad"), F.col("width"), F.col("height"), F.col("kind")))
     known = photos.withColumn("_g", shape).select("*", "_g.*").drop("_g")
     limits = dims.PROFILE | (profile or {})
@@ -60,6 +60,8 @@ def analyse(photos: DataFrame, zones: bool = False, profile: dict | None = None)
             return None, None
         out_w, out_h = upright_size(row["width_px"], row["kind"].endswith("passport"))
         upright = image.rectify(data, w, h, np.array([[p["x"], p["y"]] for p in quad]), out_w, out_h)
+        if upright is None:
+            return None, None
         found = []
         for z in (row.get("zones") or []) if zones else []:
             x, y = max(0, int(np.floor(z["x"] * out_w))), max(0, int(np.floor(z["y"] * out_h)))
@@ -110,7 +112,7 @@ def assess(photos: DataFrame, alignments: DataFrame | None = None, mode: str = "
             _check("template_alignment", t["matched"], t["inlier_ratio"]),
             _check("orb_spatial_coverage", t["coverage"] >= dims.ORB["minSpatialCoverage"], t["coverage"], "move_closer"),
             _check("orb_reprojection", t["error"] <= dims.ORB["maxReprojectionError"], t["error"], "hold_parallel"),
-            _check("orb_geometry", t["plausible"], t["plausible"], "wrong_document"),
+            _check("orb_geometry", t["plausible"], t["plausible"], "hold_parallel"),
         )
         extra = F.when(t.isNotNull(), template).otherwise(nothing)
     if zones:

@@ -97,14 +97,15 @@ def white_balance_gains(rgba: bytes, width: int, height: int) -> list[float]:
     return np.clip(mean.mean() / np.maximum(mean, 1), 0.9, 1.1).tolist()
 
 
-def rectify(rgba: bytes, width: int, height: int, corners: np.ndarray, out_width: int, out_height: int) -> np.ndarray:
-    """The quadrilateral ``corners`` (top left, top right, bottom right, bottom left) as an upright image, bilinear."""
+def rectify(rgba: bytes, width: int, height: int, corners: np.ndarray, out_width: int, out_height: int) -> np.ndarray | None:
+    """The quadrilateral ``corners`` (top left, top right, bottom right, bottom left) as an upright image, bilinear; None
+    where three of them lie on a line."""
     from idloom.operators.matching import apply_homography, solve_homography
 
     target = np.array([[0, 0], [out_width - 1, 0], [out_width - 1, out_height - 1], [0, out_height - 1]], float)
     h = solve_homography(target, np.asarray(corners, float))
-    if h is None:
-        raise ValueError("the corners are degenerate")
+    if h is None or not np.isfinite(h).all():
+        return None
     grid = np.stack(np.meshgrid(np.arange(out_width), np.arange(out_height)), -1).reshape(-1, 2).astype(float)
     p = apply_homography(h, grid)
     x, y = np.clip(p[:, 0], 0, width - 1), np.clip(p[:, 1], 0, height - 1)
