@@ -36,6 +36,8 @@ from idloom.llm.common import fold_of, keep_where, materialize, slices, table, w
 #: Labelled rows of each language that are learned from at most, and bytes of all their texts (each language has an even
 #: share, and at least one text).
 DOCS_PER_LANG, SAMPLE_BYTES = 1500, 12 << 20
+#: Keys that are broadcast at most while the sample is chosen.
+MOST_KEYS = 200_000
 #: One sampled row of so many is held out for the calibration.
 HOLD_OUT = 10
 TABLE_BITS, GRAMS = 18, (2, 3, 4, 5)
@@ -303,30 +305,34 @@ def calibrate(model: Crf, rows: list[tuple[str, list[str]]], seed: int = 7) -> C
 def fit(docs: DataFrame, learn: DataFrame, text_col: str = "text", key: str = "doc_id", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> Crf:
     """A calibrated model from a bounded sample of ``learn`` (key and language of the rows that may be learned from).
 
-    The driver gets the sample's texts (SAMPLE_BYTES, or one text of each language) and a row count of each language;
-    what is broadcast are those counts, about twice docs_per_lang keys of each language, and the sample's keys.
+    An id counts once: of several rows with it, the shortest text that has words. The driver gets the sample's words
+    (SAMPLE_BYTES at most; of a language whose every text is longer than its share, the shortest text) and a row count of
+    each language. Those counts and about twice docs_per_lang keys of each language are broadcast if they are
+    under MOST_KEYS, else joined by a shuffle.
     """
     known = learn.where(F.col(lang_col).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(lang_col).alias("_lang"))
     counts = materialize(known.groupBy("_lang").agg(F.count("*").alias("_n")), "languages")
     langs = counts.count()
     if not langs:
         return train([])
-    share = SAMPLE_BYTES // langs
+    share = max(SAMPLE_BYTES // langs, 1)
+    small = F.broadcast if langs * (2 * docs_per_lang + 100) <= MOST_KEYS else (lambda df: df)
     # a hash below a bound of each language leaves about twice the rows that are wanted, whatever the language's size
     spread = F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) * F.col("_n") < F.lit((2 * docs_per_lang + 100) << 30)
-    likely = known.join(F.broadcast(counts), "_lang").where(spread).select("_key", "_lang").distinct()
-    rows = docs.select(F.col(key).alias("_key"), F.col(text_col).alias("_text"))
-    sized = rows.select("_key", F.octet_length("_text").alias("_size")).join(F.broadcast(likely), "_key").where("_size > 0")
-    first = Window.partitionBy("_lang").orderBy(F.col("_size") > share, F.xxhash64("_key"), "_key", "_size")
+    likely = known.join(small(counts), "_lang").where(spread).select("_key", "_lang").distinct()
+    rows = docs.select(F.col(key).alias("_key"), F.col(text_col).alias("_text"), F.octet_length(text_col).alias("_size")).where("_size > 0")
+    sized = rows.select("_key", "_size").join(small(likely), "_key").groupBy("_key", "_lang").agg(F.min("_size").alias("_size"))
+    first = Window.partitionBy("_lang").orderBy(F.greatest("_size", F.lit(share)), F.xxhash64("_key"), "_key")
     ranked = sized.withColumn("_rank", F.row_number().over(first)).withColumn("_sum", F.sum("_size").over(first.rowsBetween(Window.unboundedPreceding, 0)))
-    chosen = ranked.where((F.col("_rank") == 1) | ((F.col("_rank") <= docs_per_lang) & (F.col("_sum") <= share))).select("_key", "_lang").distinct()
+    chosen = ranked.where((F.col("_rank") == 1) | ((F.col("_rank") <= docs_per_lang) & (F.col("_sum") <= share))).select("_key", "_lang", "_size")
 
     def run(batches):
         for batch in batches:
             words = [" ".join(lettered(x)) for x in batch.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words)], names=["key", "lang", "words"])
 
-    got = rows.join(F.broadcast(chosen), "_key").select(F.col("_key").cast("string"), "_lang", "_text").mapInArrow(run, "key string, lang string, words string").where("words <> ''").collect()
+    texts = rows.join(small(chosen), ["_key", "_size"]).select(F.col("_key").cast("string"), "_lang", "_text").mapInArrow(run, "key string, lang string, words string")
+    got = texts.where("words <> ''").groupBy("key", "lang").agg(F.min("words").alias("words")).collect()
     got = [(r["lang"], r["words"].split(" ")) for r in sorted(got, key=lambda r: (zlib.crc32(r["key"].encode()), r["key"], r["lang"], r["words"]))]
     seen: dict[str, int] = {}
     learned, held = [], []

@@ -140,11 +140,12 @@ class Lexicon:
 def _sample(docs: DataFrame, labels: DataFrame, key: str, text_col: str, rows: int) -> DataFrame:
     """Labelled rows outside the held-out fold, each kind up to half of ``rows`` (chosen by a hash of the key).
 
-    The broadcast side holds ``rows`` keys at most.
+    The broadcast side holds ``rows`` keys at most, and so does the sample: of several rows with one key, the first text in
+    byte order counts.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull() & (fold_of(F.col(key), 5) != 0)).groupBy(F.col(key).alias("_key")).agg(F.max("toxic").alias("_toxic"))
     parts = [known.where(F.col("_toxic") == v).orderBy(F.xxhash64("_key"), "_key").limit(rows // 2) for v in (0, 1)]
-    return docs.select(F.col(key).alias("_key"), F.col(text_col).alias("_text")).join(F.broadcast(parts[0].unionByName(parts[1])), "_key")
+    return docs.select(F.col(key).alias("_key"), F.col(text_col).alias("_text")).join(F.broadcast(parts[0].unionByName(parts[1])), "_key").groupBy("_key", "_toxic").agg(F.min("_text").alias("_text"))
 
 
 def _counts(sample: DataFrame, entries_of_text: Callable[[list[str]], set[str]]) -> DataFrame:

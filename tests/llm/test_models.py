@@ -1,4 +1,5 @@
 import random
+from types import SimpleNamespace
 import zlib
 
 import numpy as np
@@ -211,6 +212,22 @@ def test_every_language_is_learned(spark, monkeypatch):
     assert sorted(got) == sorted([f"l{i}" for i in range(70)] * 2)
 
 
+def test_samples_are_bounded_by_rows_where_an_id_repeats(spark, monkeypatch):
+    """One id on 3,000 rows: it counts once in each of the three samples."""
+    rows = [(7, " ".join(["same"] * (50 + i % 100))) for i in range(3000)] + [(i, " ".join(["word", f"w{i % 9}"] * 40)) for i in range(100, 160)]
+    docs = spark.createDataFrame([(i, t, "en" if i == 7 else "fr") for i, t in rows], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "train", lambda rows: rows)
+    monkeypatch.setattr(language, "calibrate", lambda model, held: model + held)
+    assert sorted((lang, len(words)) for lang, words in language.fit(docs, docs)) == [("en", 50)] + [("fr", 80)] * 60
+    labels = spark.createDataFrame([(i, int(i != 7), int(i == 7)) for i in [7, *range(100, 160)]], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality, "calibrate", lambda forest, x, good: len(good))
+    monkeypatch.setattr(quality, "grow", lambda x: None)
+    monkeypatch.setattr(quality, "zlib", SimpleNamespace(crc32=lambda x: 0))  # all in one part: nothing is set apart
+    assert quality.fit(docs, labels) == 61
+    sample = toxicity._sample(docs, labels, "doc_id", "text", 1000)
+    assert sorted(r["_key"] for r in sample.collect()) == [i for i in [7, *range(100, 160)] if crc_mod(i, 5)]
+
+
 def test_mixed_texts_fall_below_the_calibrated_score(spark):
     _, docs, model = fitted(spark)
     rng = random.Random(8)
