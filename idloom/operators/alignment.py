@@ -8,7 +8,8 @@ form, inliers counted by one matrix product a slab, the best refitted to its inl
 
 Defined cases: a photo or template without features, one with fewer good matches than its template asks for, and points
 that lie on a line give an unmatched row (ratio and coverage 0, error infinite, no map); a photo whose group has no
-template gives no row. Features with a null id, place or descriptor don't count. Of equal distances the template's
+template gives no row. Features with a null id, place or descriptor don't count, nor those whose descriptor has another
+length than the first of their block or template. Of equal distances the template's
 smaller feature id is nearest. Results don't depend on how rows are dealt out: matches are ordered by feature id, and the
 points of hypotheses come from a fixed seed and the number of matches only.
 """
@@ -104,7 +105,8 @@ def matches(photos: DataFrame, features: DataFrame, packed: DataFrame) -> DataFr
     match_type = pa.list_(pa.struct([("id", pa.int64()), *((c, pa.float64()) for c in ("x", "y", "tx", "ty"))]))
 
     def arrays(features: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.array([f["id"] for f in features], np.int64), np.array([(f["x"], f["y"]) for f in features], float).reshape(-1, 2), np.frombuffer(b"".join(f["d"] for f in features), np.uint8).reshape(len(features), -1)
+        features = [f for f in features if len(f["d"]) == len(features[0]["d"])]
+        return np.array([f["id"] for f in features], np.int64), np.array([(f["x"], f["y"]) for f in features], float).reshape(-1, 2), np.frombuffer(b"".join(f["d"] for f in features), np.uint8).reshape(len(features), len(features[0]["d"]) if features else 0)
 
     def run(batches):
         for batch in batches:

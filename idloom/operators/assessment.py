@@ -95,7 +95,7 @@ def assess(photos: DataFrame, alignments: DataFrame | None = None, mode: str = "
     """(photo_id, checks, template_matched, template_id, passed, hint, score) of every photo.
 
     ``alignments`` has (photo_id, template_id, matched, inlier_ratio, coverage, error, plausible); the best template of a
-    photo counts. Zones are looked at only where a template matched. Mode ``off`` makes no checks; only ``enforce`` lets
+    photo counts. A photo with a group_id whose group has no template gets a check that isn't applicable. Zones are looked at only where a template matched. Mode ``off`` makes no checks; only ``enforce`` lets
     a failed check fail the photo."""
     limits = dims.PROFILE | (profile or {})
     rows = analyse(photos, zones, profile).withColumn("corner_motion", F.lit(None).cast("double"))
@@ -115,6 +115,9 @@ def assess(photos: DataFrame, alignments: DataFrame | None = None, mode: str = "
             _check("orb_geometry", t["plausible"], t["plausible"], "hold_parallel"),
         )
         extra = F.when(t.isNotNull(), template).otherwise(nothing)
+        if "group_id" in rows.columns:
+            missing = _check("template_alignment", F.lit(False), F.lit("missing_variant")).withField("status", F.lit("not_applicable"))
+            extra = F.when(t.isNull() & F.col("group_id").isNotNull(), F.array(missing)).otherwise(extra)
     if zones:
         key = lambda z, name: F.concat(F.lit("zone:"), z["id"], F.lit(f":{name}"))
         glare = lambda z: (z["glare_ratio"] <= limits["maxGlareRatio"]) & (z["glare_blob"] <= limits["maxGlareBlob"])

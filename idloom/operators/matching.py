@@ -114,36 +114,21 @@ def apply_homography(h: np.ndarray, p: np.ndarray) -> np.ndarray:
     return q[:, :2] / q[:, 2:]
 
 
-def consensus(src: np.ndarray, dst: np.ndarray, threshold: float = 4.0, rounds: int = 500, seed: int = 1) -> tuple[np.ndarray | None, np.ndarray]:
-    """(map, inliers) by random sample consensus with a fixed seed."""
-    best, inliers = None, np.zeros(len(src), bool)
-    rng = np.random.default_rng(seed)
-    for _ in range(rounds if len(src) >= 4 else 0):
-        pick = rng.choice(len(src), 4, replace=False)
-        h = solve_homography(src[pick], dst[pick])
-        if h is None:
-            continue
-        with np.errstate(all="ignore"):
-            now = np.hypot(*(apply_homography(h, src) - dst).T) <= threshold
-        if now.sum() > inliers.sum():
-            best, inliers = h, now
-    if best is not None and inliers.sum() >= 4:
-        best = solve_homography(src[inliers], dst[inliers])
-    return best, inliers
-
-
 def align(matches: DataFrame, key: str, threshold: float = 4.0) -> DataFrame:
-    """(key, homography, inliers) from rows (key, x, y, tx, ty). The matches of one photo and one template are bounded by
-    the features of a photo (3,000 by default), which is what a task holds of a key."""
-    schema = f"{key} {dict(matches.dtypes)[key]}, homography array<double>, inliers long"
+    """(key, homography, inliers) from rows (key, x, y, tx, ty), many keys solved together (see ``alignment``)."""
+    point = F.struct(*[F.col(c).cast("double").alias(c) for c in ("x", "y", "tx", "ty")])
+    packed = matches.groupBy(key).agg(F.array_sort(F.collect_list(point)).alias("_points"))
 
-    def run(t: pa.Table) -> pa.Table:
-        order = np.lexsort([t.column(c).to_numpy() for c in ("ty", "tx", "y", "x")])
-        src, dst = (np.column_stack([t.column(c).to_numpy()[order] for c in cs]) for cs in (("x", "y"), ("tx", "ty")))
-        h, inliers = consensus(src, dst, threshold)
-        return pa.table({key: t.column(key)[:1], "homography": pa.array([None if h is None else h.ravel().tolist()], pa.list_(pa.float64())), "inliers": pa.array([int(inliers.sum())], pa.int64())})
+    def run(batches):
+        from idloom.operators.alignment import consensus_many
+
+        for batch in batches:
+            points = [np.array([(p["x"], p["y"], p["tx"], p["ty"]) for p in own]).reshape(-1, 4) for own in batch.column(1).to_pylist()]
+            found = consensus_many([(p[:, :2], p[:, 2:]) for p in points], [threshold] * len(points))
+            maps = pa.array([None if h is None else h.ravel().tolist() for h, _ in found], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), maps, pa.array([int(i.sum()) for _, i in found], pa.int64())], names=[key, "homography", "inliers"])
 
-    return matches.groupBy(key).applyInArrow(run, schema)
+    return packed.mapInArrow(run, f"{key} {dict(matches.dtypes)[key]}, homography array<double>, inliers long")
 
 
 def to_source(points: np.ndarray, corners: np.ndarray, width: int, height: int) -> np.ndarray | None:
