@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from idloom.plans import alignment_queries, domain_queries, linkage_queries, operations_queries, photo_queries, quality_queries, record_queries
+from idloom.plans import alignment_queries, domain_queries, linkage_queries, machine_queries, operations_queries, photo_queries, quality_queries, record_queries
 
-_ALL = quality_queries.QUERIES | linkage_queries.QUERIES | operations_queries.QUERIES | domain_queries.QUERIES | record_queries.QUERIES | photo_queries.QUERIES | alignment_queries.QUERIES
+_ALL = quality_queries.QUERIES | linkage_queries.QUERIES | operations_queries.QUERIES | domain_queries.QUERIES | record_queries.QUERIES | photo_queries.QUERIES | alignment_queries.QUERIES | machine_queries.QUERIES
 
 
 def queries() -> dict:
