@@ -11,7 +11,8 @@ retake_side, pair, submit (ok: no conflict is left), tick.
 ``facts`` of an ocr event is what ``linkage.session_facts`` makes of a document's reading: comparable identity facts and
 the sides that they came from. Where they are given, conflicts between documents are found here, as in
 ``linkage.cross_document``; the conflict events and flags are for readings that aren't.
-An event that isn't allowed changes nothing but the count of rejected events.
+An event that isn't allowed changes nothing but the count of rejected events. A mutation key that was used before changes
+nothing at all, for as long as sessions are kept.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from idloom import dims
+from idloom.operators.machines import KEPT_MS, Marks
 
 IDLE_MS = dims.MINUTES_IDLE * 60_000
 OUTPUT = "session_id string, status string, reason_code string, version long, expires_at_ms long, current_kind string, confirmed long, rejected long, last_error string"
@@ -41,7 +43,7 @@ def _document(kind: str) -> dict:
 
 
 def new_state() -> dict:
-    return {"status": None, "reason": None, "version": 0, "expires": 0, "policy": None, "documents": {}, "seen": [], "rejected": 0, "error": None, "cross_conflict": False}
+    return {"status": None, "reason": None, "version": 0, "expires": 0, "policy": None, "documents": {}, "seen": Marks(), "rejected": 0, "error": None, "cross_conflict": False}
 
 
 def _touch(s: dict, status: str, now: int) -> None:
@@ -272,12 +274,12 @@ def step(s: dict, e: dict) -> dict:
         _need(e["type"] == "create" or s["status"] is not None, "unknown_session")
         if e["type"] != "create":
             _expire(s, now)
-        if e["mutation_key"] is not None and e["mutation_key"] in s["seen"]:
+        if e["mutation_key"] is not None and s["seen"].live(e["mutation_key"], now):
             return s
         _need(e["type"] not in ACTIVE or s["status"] not in dims.FINAL, "session_closed")
         RULES[e["type"]](s, e, now)
         if e["mutation_key"] is not None:
-            s["seen"].append(e["mutation_key"])
+            s["seen"].put(e["mutation_key"], now + KEPT_MS)
     except Refused as refusal:
         s["rejected"], s["error"] = s["rejected"] + 1, str(refusal)
     return s
@@ -327,4 +329,5 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def dump(s: dict) -> str:
-    return json.dumps(s, separators=(",", ":"))
+    """The state as a text, without the mutation keys, which are kept by themselves."""
+    return json.dumps({k: v for k, v in s.items() if k != "seen"}, separators=(",", ":"))

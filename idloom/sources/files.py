@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from idloom.sources.sinks import Files, VersionedTable, save_file
+
 TEMPLATE = "id string, document_kind string, version int, width int, height int, updated_at string, zones array<struct<id:string,label:string,role:string,content:string,x:double,y:double,w:double,h:double>>, ignored array<struct<x:double,y:double,w:double,h:double>>, parameters map<string,double>"
 EXPORT = "id string, width int, height int, descriptors struct<rows:int,cols:int,data:array<int>>, keypoints array<struct<x:double,y:double>>, zones array<struct<id:string,label:string,x:double,y:double,w:double,h:double>>"
 CASE = "id string, document_kind string, image string, expected string, fields map<string,string>"
@@ -124,20 +126,27 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 def save_profile(profiles: DataFrame, path: str, column: str = "profile") -> None:
     """Save a one-row table with a profile's JSON text: refused with its faults if it isn't valid; else written beside the
-    old one and put in its place, so readers see one or the other."""
+    old one and put in its place by one rename, so readers see one or the other."""
+    _refuse_faults(profiles.select(column), column)
+    save_file(profiles, path)
+
+
+def load_profile(spark: SparkSession, path: str, shipped: DataFrame, column: str = "profile") -> DataFrame:
+    """The saved profile, refused with its faults if it isn't valid; ``shipped`` where none was saved."""
+    files = Files(spark, path)
+    rows = spark.read.schema(shipped.schema).parquet(path) if files.files.exists(files.root) else shipped
+    _refuse_faults(rows.select(column), column)
+    return rows
+
+
+def _refuse_faults(profiles: DataFrame, column: str) -> None:
     from idloom.operators.quality import profile_faults
 
-    found = profiles.select(column, profile_faults(F.col(column)).alias("faults")).first()
-    if found["faults"]:
-        raise ValueError(f"invalid profile: {', '.join(found['faults'])}")
-    spark, new = profiles.sparkSession, f"{path}.new"
-    profiles.coalesce(1).write.mode("overwrite").parquet(new)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    at, beside = hadoop(path), hadoop(new)
-    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(at, True)
-    files.rename(beside, at)
+    found = profiles.select(profile_faults(F.col(column)).alias("faults")).first()
+    if found is None or found["faults"]:
+        raise ValueError(f"invalid profile: {', '.join(found['faults']) if found else 'no row'}")
 
 
-def replace_table(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").parquet(path)
+def replace_table(rows: DataFrame, path: str) -> int:
+    """Put ``rows`` in the place of a table's, as its next version (see ``sinks``)."""
+    return VersionedTable(rows.sparkSession, path).replace(rows)

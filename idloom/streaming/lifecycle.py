@@ -10,48 +10,82 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from idloom.operators import lifecycle as L
+from idloom.streaming.machines import StoredMarks, prepared
 
-
+_NAMES = [x.split()[0] for x in L.OUTPUT.split(", ")]
 #: How long the state of a final session is kept.
 KEPT_MS = L.dims.DAYS_KEPT * 86_400_000
 
 
+class Sessions(StatefulProcessor):
+    """One session: its state as one value, its mutation keys as entries of a map with a life each (see ``machines``)."""
+
+    def __init__(self, timers: bool):
+        self.timed, self.kept = timers, KEPT_MS
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.own = handle.getValueState("session", "state string")
+        self.seen = StoredMarks(handle.getMapState("seen", "mark string", "end long"), handle, L.KEPT_MS)
+
+    def _load(self) -> dict:
+        state = json.loads(self.own.get()[0]) if self.own.exists() else L.new_state()
+        state["seen"] = self.seen
+        return state
+
+    def _save(self, key: str, state: dict, now: int) -> Iterator[pd.DataFrame]:
+        self.own.update((L.dump(state),))
+        if self.timed:
+            self.seen.register()
+            if state["status"] != "processing":
+                kept = self.kept if state["status"] in L.dims.FINAL else 0
+                due = now + L.IDLE_MS if state["status"] is None else state["expires"] + kept
+                self.handle.registerTimer(max(due, now + 1))
+        yield pd.DataFrame({"result": [json.dumps(dict(zip(_NAMES, L.view(key, state), strict=True)))]})
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        state = self._load()
+        events = [json.loads(x) for f in rows for x in f["event"]]
+        for e in sorted(events, key=lambda r: (r["seq"], r["at_ms"], r["type"])):
+            L.step(state, e)
+        yield from self._save(key[0], state, max(timerValues.getCurrentWatermarkInMs(), 0) if self.timed else 0)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        at, state = expiredTimerInfo.getExpiryTimeInMs(), self._load()
+        now = max(at, timerValues.getCurrentWatermarkInMs())
+        if at % self.seen.step == 0:
+            self.seen.purge(now)
+        if not self.own.exists() or state["status"] == "processing":
+            return
+        final = state["status"] in L.dims.FINAL
+        if state["status"] is None or (final and state["expires"] + self.kept <= now):
+            self.own.clear()
+            self.seen.clear()
+        elif not final and state["expires"] <= now:
+            L.step(state, dict.fromkeys(L.FIELDS) | {"type": "tick", "at_ms": max(timerValues.getCurrentWatermarkInMs(), state["expires"])})
+            yield from self._save(key[0], state, now)
+
+    def close(self) -> None:
+        pass
+
+
 def fold_stream(events: DataFrame, late: str = "10 minutes", timers: bool = True) -> DataFrame:
     """Streaming counterpart of ``lifecycle.fold``: the state of each session after every batch that touches it (update
     mode), and after its timer."""
+    prepared(events.sparkSession)
     # an event and a result are one text each: pandas handles every group's columns one by one, and there are many groups
     event = F.to_json(F.struct(*L.FIELDS), {"ignoreNullFields": "false"})
     timed = L.typed_events(events).select("session_id", event.alias("event"), F.timestamp_millis("at_ms").alias("at")).withWatermark("at", late)
-    names = [x.split()[0] for x in L.OUTPUT.split(", ")]
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        state = json.loads(group.get[0]) if group.exists else L.new_state()
-        if group.hasTimedOut and (state["status"] is None or state["status"] in L.dims.FINAL):
-            group.remove()
-            return
-        if group.hasTimedOut:
-            L.step(state, dict.fromkeys(L.FIELDS) | {"type": "tick", "at_ms": max(group.getCurrentWatermarkMs(), state["expires"])})
-        else:
-            rows = [json.loads(x) for f in frames for x in f["event"]]
-            for e in sorted(rows, key=lambda r: (r["seq"], r["at_ms"], r["type"])):
-                L.step(state, e)
-        group.update((L.dump(state),))
-        if timers and state["status"] != "processing":
-            now = max(group.getCurrentWatermarkMs(), 0)
-            kept = KEPT_MS if state["status"] in L.dims.FINAL else 0
-            due = now + L.IDLE_MS if state["status"] is None else state["expires"] + kept
-            group.setTimeoutTimestamp(max(due, now + 1))
-        yield pd.DataFrame({"result": [json.dumps(dict(zip(names, L.view(key[0], state), strict=True)))]})
-
-    timeout = GroupStateTimeout.EventTimeTimeout if timers else GroupStateTimeout.NoTimeout
-    out = timed.groupBy("session_id").applyInPandasWithState(run, "result string", "state string", "update", timeout)
+    out = timed.groupBy("session_id").transformWithStateInPandas(Sessions(timers), "result string", "update", "EventTime" if timers else "None")
     return out.select(F.from_json("result", L.OUTPUT).alias("r")).select("r.*")
 
 

@@ -56,6 +56,9 @@ class StoredMarks:
         for mark in ended:
             self.entries.removeKey((mark,))
 
+    def clear(self) -> None:
+        self.entries.clear()
+
     def register(self) -> None:
         for at in self.timers:
             self.handle.registerTimer(at)
