@@ -10,9 +10,10 @@ them), so equal windows have equal anchors at the same place, and each window ha
 3. A document is routed to every block that holds the reference of one of its anchors, and is parsed against it from
    left to right: the longest factor that the block holds, then the next from its end (one word where there is none).
    Windows inside a factor of ``span`` words or more are repeated, in the document and in the block.
-4. A window across a factor's boundary may lie in another factor that starts before it: these are looked up among the
-   block's longest matches. What is then left isn't in its anchor's block, for every occurrence alike, and can only
-   repeat another window that is left: these are checked by grouping their 128-bit digests.
+4. Factors are checked at their boundaries: a window that starts in a factor and ends behind it may lie in a match that
+   the greedy parse passed over, so these, and only these, are looked up among the block's longest matches. What is then
+   left isn't in its anchor's block, for every occurrence alike, and can only repeat another window that is left: these
+   are checked by grouping their 128-bit digests.
 5. Repeated windows become covered words, which are removed.
 
 Each occurrence meets one block, so no pair of occurrences is formed within a group, however large. Hot anchors, blocks
@@ -168,10 +169,11 @@ class Parse:
         for p, b in zip(pieces, begin.tolist(), strict=True):
             stop = b + len(p[4])
             for f, e in _greedy(reach, starts, b, stop):
-                repeated[f : max(e - self.span + 1, f)] = True
-            # windows across a boundary: inside a longest match that starts before the next factor does
-            rest = b + np.flatnonzero(~repeated[b : b + p[2]])
-            repeated[rest] = reach[rest] - rest >= self.span
+                edge = max(e - self.span + 1, f)
+                repeated[f:edge] = True
+                # windows across the factor's end: is there a match that starts in the factor and reaches far enough?
+                across = np.arange(edge, e)
+                repeated[across] = reach[across] - across >= self.span
             repeated[b + p[2] : stop] = False  # too near the end to start a window here
             at = np.flatnonzero(repeated[b : b + p[2]])
             own.extend((p[0], p[1] + w) for w in at.tolist())

@@ -213,6 +213,21 @@ def test_factors_are_the_longest_from_the_last_ones_end():
     assert list(substring._greedy(reach, np.flatnonzero(reach), 0, 21)) == [(0, 9), (9, 18), (20, 30)]
 
 
+def test_the_factors_decide(spark, monkeypatch):
+    """With a parse that finds no factors, shared passages stay: nothing else marks their windows."""
+    rng = random.Random(9)
+    passage = words(rng, 60)
+    rows = [(i, " ".join(words(rng, 40) + passage[i:] + words(rng, 30))) for i in range(2)]
+    taken = {r["doc_id"]: r["n_removed"] for r in substring.duplicate_spans(frame(spark, rows)).collect()}
+    assert taken == {0: 59, 1: 59}
+    parse = substring.Parse(12, WordHashes())
+    parse.add(b"d", [{"first": 0, "last": 48, "ref_cls": b"r", "ref_block": 0}], " ".join(passage).encode(), [{"ref_cls": b"r", "ref_block": 0, "start": 0, "block": " ".join(passage).encode()}])
+    assert len(parse.run()[0]) == 49
+    monkeypatch.setattr(substring, "_greedy", lambda *a: iter(()))
+    own, there, left = parse.run()
+    assert not own and not there and len(left) == 49
+
+
 def test_repeats_are_taken_out_of_texts(spark):
     docs = with_clashes(frame(spark))
     out = substring.remove_repeats(docs)
