@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from idloom.functions import numeric as N
 from idloom.functions import text as X
-from idloom.operators import image, quality, reports
+from idloom.operators import image, quality, reports, tiles
 from idloom.plans.common import table
 
 # ---------------------------------------------------------------- rules over document texts
@@ -276,13 +276,76 @@ def tile_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TILE = "SELECT hour(ts) AS tile, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.02) AS p2, floor(var_pop(value) * 1000000 + 0.5) / 1000000 AS variance FROM events GROUP BY 1"
 
 
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.select("image_id", "valid", *[N.round_half_up(F.col(m), 6).alias(m) for m in image.METRICS])
+
+
 def image_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Photo measurements of 8 x 8 images made from embeddings (64 numbers each, as gray levels)."""
     e = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     level = lambda v: F.lpad(F.hex(F.floor(N.clamp01((v.cast("double") + 1) / 2) * 255).cast("long")), 2, "0")
     rgba = F.unhex(F.array_join(F.transform("embedding", lambda v: F.concat(level(v), level(v), level(v), F.lit("FF"))), ""))
     images = e.select(F.col("vec_id").alias("image_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), rgba.alias("rgba"))
-    return image.measure_images(images)
+    return _rounded(image.measure_images(images))
+
+
+def tiled_image_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of 48 x 32 images with colours and white blobs, made from 24 embeddings each and measured in bands of
+    eight rows; the last image may be incomplete and then isn't valid."""
+    e = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    place = lambda j: F.col("vec_id") % 24 * 64 + j
+    two = lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")
+
+    def pixel(v, j):
+        u, p = F.floor(N.clamp01((v.cast("double") * 2 + 1) / 2) * 255), place(j)
+        coloured = F.concat(two(u), two(F.least(F.lit(255), u + p % 5 * 20)), two(F.when(p % 11 == 0, 255 - u).otherwise(u)), F.lit("FF"))
+        return F.when(u >= 128, F.lit("FFFFFFFF")).otherwise(coloured)
+
+    lines = e.select((F.col("vec_id") / 24).cast("long").alias("image_id"), (F.col("vec_id") % 24).alias("k"), F.array_join(F.transform("embedding", pixel), "").alias("line"))
+    whole = lines.groupBy("image_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda r: r["line"]), "").alias("hex"))
+    images = whole.select("image_id", F.lit(48).alias("width"), F.lit(32).alias("height"), F.unhex("hex").alias("rgba"))
+    return _rounded(tiles.measure_tiled(images, band_bytes=48 * 4 * 8))
+
+
+def _photo_sql(pixels: str, images: str) -> str:
+    """Measurements of ``px`` (image_id, w, h, y, x, r, g, b), by neighbours from windows and blobs by reachability."""
+    r6 = lambda x: f"floor(({x}) * 1000000.0 + 0.5) / 1000000.0"
+    part = lambda values, share: f"list_sort({values})[greatest(1, CAST(ceil(len({values}) * {share}::DOUBLE) AS BIGINT))]"
+    return f"""
+WITH RECURSIVE px AS ({pixels}), im AS ({images}),
+g AS MATERIALIZED (SELECT *, (77 * r + 150 * g + 29 * b) >> 8 AS v, greatest(r, g, b) AS top, least(r, g, b) AS low FROM px),
+m AS (SELECT image_id, any_value(w) AS w, any_value(h) AS h, list(v) AS vs, count(*) AS n, avg(v) AS mean, count(*) FILTER (v >= 250) / count(*) AS highlight_clip, count(*) FILTER (v <= 8) / count(*) AS shadow_clip,
+  count(*) FILTER (top >= 252 AND top - low <= 24) / count(*) AS glare_ratio, count(*) FILTER (top >= 220 AND top > 0 AND top - low >= 0.25::DOUBLE * top) / count(*) AS color_glare_ratio FROM g GROUP BY image_id),
+up AS (SELECT *, lag(v) OVER q AS n, lead(v) OVER q AS s FROM g WINDOW q AS (PARTITION BY image_id, x ORDER BY y)),
+nb AS (SELECT *, lag(v) OVER q AS we, lead(v) OVER q AS ea, lag(n) OVER q AS nw, lead(n) OVER q AS ne, lag(s) OVER q AS sw, lead(s) OVER q AS se FROM up WINDOW q AS (PARTITION BY image_id, y ORDER BY x)),
+f AS MATERIALIZED (SELECT image_id, least(2, y * 3 // h) * 4 + least(3, x * 4 // w) AS tile, n + s + we + ea - 4 * v AS lap, ne + 2 * ea + se - nw - 2 * we - sw AS gx, sw + 2 * s + se - nw - 2 * n - ne AS gy, abs(4 * v - 2 * (n + s + we + ea) + nw + ne + sw + se) AS response FROM nb WHERE y BETWEEN 1 AND h - 2 AND x BETWEEN 1 AND w - 2),
+k AS (SELECT image_id, list(least(abs(gx) + abs(gy), 4095)) AS strengths, CAST(count(*) * sum(lap * lap) - sum(lap) * sum(lap) AS DOUBLE) / (count(*) * count(*)) AS sharpness, CAST(sum(gx * gx) + sum(gy * gy) AS DOUBLE) / count(*) AS tenengrad,
+  CAST(least(sum(gx * gx), sum(gy * gy)) AS DOUBLE) / greatest(1, sum(gx * gx), sum(gy * gy)) AS motion_isotropy FROM f GROUP BY image_id),
+z AS (SELECT image_id, sqrt(pi() / 2) * avg(response) / 6 AS noise FROM f JOIN (SELECT image_id, {part("strengths", 0.7)} AS bound FROM k) USING (image_id) WHERE least(abs(gx) + abs(gy), 4095) <= bound GROUP BY image_id),
+ts AS (SELECT image_id, list_sort(list(spread)) AS vs FROM (SELECT image_id, tile, avg(lap * lap) - avg(lap) * avg(lap) AS spread FROM f GROUP BY image_id, tile) GROUP BY image_id),
+tc AS (SELECT image_id, list_filter(vs, lambda v: v >= 0.25::DOUBLE * vs[len(vs) // 2 + 1]) AS cs FROM ts),
+li AS (SELECT image_id, list(v) AS vs FROM g, range(4) a(i), range(6) c(j) WHERE y >= i * h // 4 AND y < (i + 1) * h // 4 AND (y - i * h // 4) % 2 = 0 AND x >= j * w // 6 AND x < (j + 1) * w // 6 AND (x - j * w // 6) % 2 = 0 GROUP BY image_id, i, j),
+lu AS (SELECT image_id, min(p) AS dark, max(p) AS light FROM (SELECT image_id, {part("vs", 0.9)} AS p FROM li) GROUP BY image_id),
+cell AS MATERIALIZED (SELECT image_id, y // 4 AS cy, x // 4 AS cx FROM g GROUP BY ALL HAVING count(*) FILTER (top >= 252 AND top - low <= 24) >= 8),
+reach AS (SELECT image_id, cy AS ay, cx AS ax, cy, cx FROM cell UNION SELECT r.image_id, r.ay, r.ax, c.cy, c.cx FROM reach r JOIN cell c ON c.image_id = r.image_id AND abs(c.cy - r.cy) + abs(c.cx - r.cx) = 1),
+bl AS (SELECT image_id, max(n) AS cells FROM (SELECT image_id, ay, ax, count(*) AS n FROM reach GROUP BY ALL) GROUP BY image_id)
+SELECT im.image_id, m.n IS NOT NULL AS valid, {r6("mean")} AS mean, {r6(part("m.vs", 0.9))} AS paper, {r6(part("m.vs", 0.02))} AS p2, {r6(part("m.vs", 0.98))} AS p98, {r6("highlight_clip")} AS highlight_clip, {r6("shadow_clip")} AS shadow_clip,
+  {r6(f"({part('m.vs', 0.98)} - {part('m.vs', 0.02)}) / 255")} AS contrast, {r6("sharpness")} AS sharpness, {r6("tenengrad")} AS tenengrad, {r6("motion_isotropy")} AS motion_isotropy,
+  CASE WHEN m.n IS NULL THEN NULL WHEN len(cs) >= 3 AND cs[len(cs) // 2 + 1] > 0 THEN {r6("cs[1] / cs[len(cs) // 2 + 1]")} ELSE 1.0 END AS focus_uniformity, {r6("glare_ratio")} AS glare_ratio,
+  CASE WHEN m.n IS NOT NULL THEN {r6("coalesce(cells, 0) / (ceil(w / 4) * ceil(h / 4))")} END AS glare_blob, {r6("color_glare_ratio")} AS color_glare_ratio, {r6("CASE WHEN light > 0 THEN dark / light WHEN light = 0 THEN 0 END")} AS illumination, {r6("noise")} AS noise
+FROM im LEFT JOIN m USING (image_id) LEFT JOIN k USING (image_id) LEFT JOIN z USING (image_id) LEFT JOIN tc USING (image_id) LEFT JOIN lu USING (image_id) LEFT JOIN bl USING (image_id)
+"""
+
+
+_IMAGES = _photo_sql(
+    "SELECT vec_id AS image_id, 8 AS w, 8 AS h, j // 8 AS y, j % 8 AS x, u AS r, u AS g, u AS b FROM (SELECT vec_id, j, CAST(floor(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (CAST(embedding[j + 1] AS DOUBLE) + 1) / 2)) * 255) AS BIGINT) AS u FROM embeddings, range(64) t(j))",
+    "SELECT vec_id AS image_id FROM embeddings",
+)
+_TILED = _photo_sql(
+    """SELECT image_id, 48 AS w, 32 AS h, p // 48 AS y, p % 48 AS x, CASE WHEN u >= 128 THEN 255 ELSE u END AS r, CASE WHEN u >= 128 THEN 255 ELSE least(255, u + p % 5 * 20) END AS g, CASE WHEN u >= 128 THEN 255 WHEN p % 11 = 0 THEN 255 - u ELSE u END AS b
+  FROM (SELECT vec_id // 24 AS image_id, vec_id % 24 * 64 + j AS p, CAST(floor(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (CAST(embedding[j + 1] AS DOUBLE) * 2 + 1) / 2)) * 255) AS BIGINT) AS u, count(*) OVER (PARTITION BY vec_id // 24) AS n FROM embeddings, range(64) t(j)) WHERE n = 1536""",
+    "SELECT DISTINCT vec_id // 24 AS image_id FROM embeddings",
+)
 
 
 QUERIES = {
@@ -301,5 +364,6 @@ QUERIES = {
     "digit_confusables": (digit_confusables, _CONFUSE),
     "text_hygiene": (text_hygiene, _HYGIENE),
     "tile_percentile": (tile_percentile, _TILE),
-    "image_metrics": (image_metrics, None),
+    "image_metrics": (image_metrics, _IMAGES),
+    "tiled_image_metrics": (tiled_image_metrics, _TILED),
 }

@@ -333,3 +333,48 @@ def test_views_of_checks_profiles_and_sessions(spark):
     assert [r[0] for r in lists.select(text.only_texts(lists["x"])).collect()] == [["a", "b"], [], []]
     sessions = spark.createDataFrame([("s", b"x", 3)], "id string, latest_image binary, samples int")
     assert quality.calibration_snapshot(sessions).columns == ["id", "samples"]
+
+
+# ---------------------------------------------------------------- tiles
+
+
+def photos_of_all_sizes(seed=11):
+    rng, out = np.random.default_rng(seed), []
+    for i, (w, h) in enumerate([(1, 1), (2, 9), (9, 2), (3, 3), (8, 8), (31, 45), (64, 48), (40, 200), (200, 37)]):
+        px = rng.integers(0, 256, (h, w, 4), np.uint8)
+        cells = rng.random((-(-h // 4), -(-w // 4))) < 0.6
+        px[np.kron(cells, np.ones((4, 4), bool))[:h, :w]] = 255
+        smooth = rng.random((h, w)) < 0.3
+        px[smooth] = (120, 121, 119, 255)
+        out.append((i, w, h, bytearray(px.tobytes())))
+    return [*out, (90, 4, 4, bytearray(b"short")), (91, None, 4, bytearray(64)), (92, 4, 4, None), (93, 0, 0, bytearray(b""))]
+
+
+@pytest.mark.parametrize("band", [1, 3000, 1 << 20])
+def test_tiles_give_what_the_whole_photo_gives(spark, band):
+    from idloom.operators import tiles
+
+    rows = spark.createDataFrame(photos_of_all_sizes(), "image_id long, width int, height int, rgba binary")
+    whole = {r["image_id"]: r for r in image.measure_images(rows).collect()}
+    got = {r["image_id"]: r for r in tiles.measure_tiled(rows, band_bytes=band).collect()}
+    assert got.keys() == whole.keys()
+    for i, r in whole.items():
+        assert got[i]["valid"] == r["valid"]
+        for m in image.METRICS:
+            assert got[i][m] == (None if r[m] is None else pytest.approx(r[m], rel=1e-9, abs=1e-9)), (i, m)
+    assert tiles.measure_any(rows, large=5000).count() == len(whole) and tiles.measure_tiled(rows.limit(0)).count() == 0
+
+
+def test_blobs_are_joined_over_borders():
+    from idloom.operators import tiles
+
+    rng = np.random.default_rng(12)
+    for _ in range(80):
+        cells = rng.random((rng.integers(1, 30), rng.integers(1, 14))) < rng.random()
+        parts, step = [], int(rng.integers(1, 8))
+        for y in range(0, len(cells), step):
+            labels = tiles._labels(cells[y : y + step])
+            known, sizes = np.unique(labels[labels > 0], return_counts=True)
+            at = np.where(labels > 0, np.searchsorted(known, labels) + 1, 0)
+            parts.append({"y": y, "sizes": sizes.tolist(), "top": at[0].tolist(), "bottom": at[-1].tolist()})
+        assert tiles.largest_joined(parts) / cells.size == pytest.approx(flood(np.kron(cells, np.ones((4, 4), bool))))
