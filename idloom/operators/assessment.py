@@ -25,11 +25,17 @@ ZONE_METRICS = ("sharpness", "glare_ratio", "glare_blob", "paper")
 def best_quad(candidates: DataFrame, *keys: str) -> DataFrame:
     """(…keys, quad): the largest plausible quadrilateral of each frame, its corners in order, the first of equal ones.
     ``candidates`` has (…keys, pos, points, width, height, kind), points as an array of four (x, y)."""
-    ordered = candidates.withColumn("quad", N.order_corners(F.col("points")))
-    area, frame = N.polygon_area(F.col("quad")), F.col("width") * F.col("height")
-    shape = N.geometry(F.col("quad"), F.col("width"), F.col("height"), F.col("kind"))
-    fits = ordered.withColumns({"_area": area, "_error": shape["aspect_error"]}).where((F.col("_area") >= LEAST_SHARE * frame) & (F.col("_error") < MAX_ASPECT_ERROR))
-    return fits.groupBy(*keys).agg(F.max_by("quad", F.struct("_area", (-F.col("pos")).alias("_pos"))).alias("quad"))
+    frame = F.col("width") * F.col("height")
+
+    def shaped(quad: Column) -> Column:
+        error = N.geometry(quad, F.col("width"), F.col("height"), F.col("kind"))["aspect_error"]
+        return F.struct(quad.alias("quad"), N.polygon_area(quad).alias("area"), error.alias("error"))
+
+    # a one-element transform holds the ordered corners: as a column they would be put into each of their many uses
+    one = F.get(F.transform(F.array(N.order_corners(F.col("points"))), shaped), 0)
+    fits = F.when((F.col("_q.area") >= LEAST_SHARE * frame) & (F.col("_q.error") < MAX_ASPECT_ERROR), F.struct(F.col("_q.area").alias("area"), (-F.col("pos")).alias("pos")))
+    best = candidates.select("*", one.alias("_q")).groupBy(*keys).agg(F.max_by(F.when(fits.isNotNull(), F.col("_q.quad")), fits).alias("quad"))
+    return best.where("quad IS NOT NULL")
 
 
 def upright_size(width_px: float, passport: bool) -> tuple[int, int]:

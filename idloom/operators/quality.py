@@ -80,6 +80,45 @@ def evaluate(frames: DataFrame, profile: dict | None = None, severity: dict | No
     return with_checks.select("*", *summarise(F.col("checks")), frame_score(profile, live).alias("score"))
 
 
+def status_columns(profile: dict | None = None, severity: dict | None = None, live: Column | bool = False) -> dict[str, tuple[Column, Column]]:
+    """(status, hint) of each check as plain columns, the status null where the check doesn't apply: what ``evaluate`` puts
+    into its array, for reports over many frames that need neither values nor structs."""
+    out, levels = {}, dims.SEVERITY | (severity or {})
+    for key, applies, met, _, hint in threshold_rules(profile, live):
+        if levels[key] != "off":
+            bad = "fail" if levels[key] == "block" else "warn"
+            out[key] = F.when(applies, F.when(F.coalesce(met, F.lit(False)), "pass").otherwise(bad)), hint
+    return out
+
+
+def evaluate_flat(frames: DataFrame, profile: dict | None = None, severity: dict | None = None, live: Column | bool = False) -> DataFrame:
+    """``frames`` with a column ``status_<check>`` for each check, passed, flawless, hint, score, and ``first_hint``, that of
+    the first check that isn't met. All of it is generated code over plain columns."""
+    columns = status_columns(profile, severity, live)
+    rows = frames.select("*", *[status.alias(f"status_{k}") for k, (status, _) in columns.items()])
+    s = {k: F.col(f"status_{k}") for k in columns}
+    never = F.lit(False)
+    has = lambda bad: F.coalesce(F.greatest(never, *[F.coalesce(c == bad, never) for c in s.values()]), never)
+    first = lambda *bad: [F.when(s[k].isin(*bad), hint) for k, (_, hint) in columns.items()]
+    failed, warned = has("fail"), has("warn")
+    hint = F.coalesce(*first("fail"), *first("warn"), F.lit("ready"))
+    return rows.select("*", (~failed).alias("passed"), (~failed & ~warned).alias("flawless"), hint.alias("hint"), F.coalesce(*first("fail", "warn"), F.lit(None).cast("string")).alias("first_hint"), frame_score(profile, live).alias("score"))
+
+
+def status_counts(frames: DataFrame, profile: dict | None = None, severity: dict | None = None, live: Column | bool = False) -> DataFrame:
+    """(check_id, status, n): how often each check of the frames has each status, in one aggregation of a single row."""
+    columns = status_columns(profile, severity, live)
+    kinds = ("pass", "fail", "warn")
+    counted = frames.select(*[c.alias(k) for k, (c, _) in columns.items()]).agg(*[F.count_if(F.col(k) == v).alias(f"{k}|{v}") for k in columns for v in kinds])
+    entries = F.array(*[F.struct(F.lit(k).alias("check_id"), F.lit(v).alias("status"), F.col(f"`{k}|{v}`").alias("n")) for k in columns for v in kinds])
+    return counted.select(F.explode(entries).alias("e")).select("e.*").where("n > 0")
+
+
+def message_of(hint: Column) -> Column:
+    """What a hint tells the person who holds the camera."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in dims.HINTS.items() for x in kv]), hint)
+
+
 def gate(mode: str, checks: Column) -> Column:
     """An enforcing gate lets nothing with a blocking failure pass; any other mode lets everything pass."""
     return F.lit(True) if mode != "enforce" else ~F.exists(checks, lambda c: c["status"] == "fail")
@@ -104,8 +143,21 @@ def best_frame(frames: DataFrame, *keys: str) -> DataFrame:
 
 
 def profile_faults(profile: Column) -> Column:
-    """Names of the parts of a profile (JSON text) that are missing, of a wrong kind, out of range or out of order."""
-    part = lambda path: F.get_json_object(profile, f"$.{path}")
+    """Names of the parts of a profile (JSON text) that are missing, of a wrong kind, out of range or out of order. The text
+    is parsed once, every part as text."""
+    groups: dict[str, list[str]] = {"severity": list(dims.SEVERITY)}
+    for path in [b[0] for b in dims.PROFILE_BOUNDS] + list(dims.PROFILE_SWITCHES):
+        group, _, name = path.partition(".")
+        groups.setdefault(group, []).append(name)
+    schema = ", ".join(["version string", "mode string"] + [f"{g} struct<{','.join(f'{n}: string' for n in names)}>" for g, names in groups.items()])
+    return F.get(F.transform(F.array(F.from_json(profile, schema)), _faults), 0)
+
+
+def _faults(parsed: Column) -> Column:
+    def part(path: str) -> Column:
+        group, _, name = path.partition(".")
+        return parsed[group][name] if name else parsed[group]
+
     out = []
     for path, low, high, whole, default in dims.PROFILE_BOUNDS:
         value = part(path).try_cast("double")

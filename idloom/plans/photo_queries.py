@@ -35,10 +35,10 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frame_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 18 checks of every frame, what follows from them, and a compact report."""
-    rows = quality.evaluate(_frames(spark, sf_dir), live=F.col("live"))
-    shown = F.array_join(F.transform("checks", lambda c: F.concat_ws("=", c["key"], c["status"])), ",")
-    message = F.get(F.filter(quality.report_checks(F.col("checks")), lambda c: ~c["passed"]), 0)["message"]
-    return rows.select("l_orderkey", "l_linenumber", "live", shown.alias("shown"), message.alias("first_message"), "passed", "flawless", "hint", "score", quality.gate("observe", F.col("checks")).alias("observed"), quality.gate("enforce", F.col("checks")).alias("enforced"))
+    rows = quality.evaluate_flat(_frames(spark, sf_dir), live=F.col("live"))
+    names = [c.removeprefix("status_") for c in rows.columns if c.startswith("status_")]
+    shown = F.concat_ws(",", *[F.concat(F.lit(f"{n}="), F.col(f"status_{n}")) for n in names])
+    return rows.select("l_orderkey", "l_linenumber", "live", shown.alias("shown"), quality.message_of(F.col("first_hint")).alias("first_message"), "passed", "flawless", "hint", "score", F.lit(True).alias("observed"), F.col("passed").alias("enforced"))
 
 
 _CHECKS = [
@@ -76,8 +76,7 @@ SELECT l_orderkey, l_linenumber, live, array_to_string(list_transform(cs, lambda
 
 def frame_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each check of live frames is met."""
-    rows = quality.telemetry(quality.evaluate(_frames(spark, sf_dir).where("live"), live=True), "l_orderkey")
-    return rows.select("score", F.explode("checks").alias("check_id", "status")).groupBy("check_id", "status").agg(F.count("*").alias("n"))
+    return quality.status_counts(_frames(spark, sf_dir).where("live"), live=True)
 
 
 _TELEMETRY = f"""
