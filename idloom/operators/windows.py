@@ -82,3 +82,25 @@ def attempts(rows: DataFrame, keys: list[str], order: list[str], limit: int = MA
 def first_open(rows: DataFrame, keys: list[str], pos: str, done: str, value: str) -> DataFrame:
     """(…keys, current): the value of the first position that isn't done; null if all are."""
     return rows.groupBy(*keys).agg(F.min_by(F.when(~F.col(done), F.col(value)), F.when(~F.col(done), F.col(pos))).alias("current"))
+
+
+def gap_sessions(events: DataFrame, keys: list[str], order: list[str], ts: str, gap_ms: Column) -> DataFrame:
+    """``events`` with ``session_no`` from 0, where each event keeps its session open for its own ``gap_ms``: a session ends
+    when the time that any of its events allows has passed."""
+    w = _w(keys, order)
+    until = F.max(_micros(F.col(ts)) + gap_ms * 1000).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce((_micros(F.col(ts)) >= until).cast("int"), F.lit(0))
+    return events.withColumn("_new", fresh).withColumn("session_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def session_windows(events: DataFrame, keys: list[str], ts: str, gap_ms: Column, late: str | None = None) -> DataFrame:
+    """(…keys, started, last, until, events): the same sessions as windows with a gap of each row's own, over rows at rest or, with ``late``, over
+    a stream (append mode: a session comes out once, when the watermark has passed its end). Rows without a time are left out.
+
+    A window of Spark's takes in an event at its very end; the rule doesn't, so gaps are a microsecond shorter inside."""
+    rows = events.where(F.col(ts).isNotNull())
+    rows = rows.withWatermark(ts, late) if late else rows
+    gap = F.concat((gap_ms.cast("long") * 1000 - 1).cast("string"), F.lit(" microseconds"))
+    grouped = rows.groupBy(*keys, F.session_window(F.col(ts), gap).alias("_w"))
+    found = grouped.agg(F.min(ts).alias("started"), F.max(ts).alias("last"), F.count("*").alias("events"))
+    return found.select(*keys, "started", "last", F.timestamp_micros(_micros(F.col("_w.end")) + 1).alias("until"), "events")
