@@ -1,11 +1,11 @@
-"""Queries of the keyed state machines: a queue's tries, and leases."""
+"""Queries of the keyed state machines (a queue's tries, leases) and of sessions with gaps of their own."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idloom.operators import machines
+from idloom.operators import machines, windows
 from idloom.plans.common import table
 
 
@@ -79,4 +79,20 @@ s AS (
 SELECT key, type, id, CASE WHEN outcome IN ('pending', 'dead') THEN failures END AS attempt, at_ms, outcome, detail FROM s WHERE n > 0
 """
 
-QUERIES = {"job_attempts": (job_attempts, _JOBS), "lease_claims": (lease_claims, _LEASES)}
+def activity_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users, in which a purchase keeps its session open for a day and any other event for half an hour."""
+    e = table(spark, sf_dir, "events", "user_id", "ts", "event_type")
+    gap = F.when(F.col("event_type") == "purchase", 86_400_000).otherwise(1_800_000)
+    out = windows.session_windows(e.withColumn("ts", F.col("ts").cast("timestamp")), ["user_id"], "ts", gap)
+    ms = lambda c: F.floor(F.unix_micros(c) / 1000).alias(f"{c}_ms")
+    return out.select("user_id", ms("started"), ms("last"), ms("until"), "events")
+
+
+_ACTIVITY = """
+WITH e AS (SELECT user_id, epoch_us(ts) AS t, epoch_us(ts) + CASE WHEN event_type = 'purchase' THEN 86400000000 ELSE 1800000000 END AS open_, event_id FROM events WHERE ts IS NOT NULL),
+n AS (SELECT *, coalesce(t >= max(open_) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)::INT AS fresh FROM e),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t, event_id) AS no FROM n)
+SELECT user_id, min(t) // 1000 AS started_ms, max(t) // 1000 AS last_ms, max(open_) // 1000 AS until_ms, count(*) AS events FROM s GROUP BY user_id, no
+"""
+
+QUERIES = {"job_attempts": (job_attempts, _JOBS), "lease_claims": (lease_claims, _LEASES), "activity_windows": (activity_windows, _ACTIVITY)}

@@ -316,6 +316,16 @@ def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NEWEST = f"SELECT o_orderkey AS session_id, o_custkey AS client_reference FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT {dims.SWEEP_ROWS}"
 
 
+def tenant_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tenant's rows, newest first, with the place of each."""
+    rows = sweeps.newest_first(sweeps.by_value(_orders_as_sessions(spark, sf_dir), "client_reference", 7), "updated_at", "session_id")
+    place = F.row_number().over(Window.orderBy(F.col("updated_at").desc_nulls_last(), "session_id"))
+    return rows.select("session_id", place.alias("place"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
+_TENANT = "SELECT o_orderkey AS session_id, row_number() OVER (ORDER BY o_orderdate DESC NULLS LAST, o_orderkey)::INT AS place, strftime(o_orderdate, '%Y-%m-%d') AS updated FROM orders WHERE o_custkey = 7"
+
+
 def deliver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions after their receipts: line items that came back."""
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_shipdate", "l_returnflag")
@@ -396,6 +406,7 @@ QUERIES = {
     "last_used": (last_used, _LAST_USED),
     "status_view": (status_view, _STATUS_VIEW),
     "newest_first": (newest_first, _NEWEST),
+    "tenant_newest": (tenant_newest, _TENANT),
     "deliver": (deliver, _DELIVER),
     "claimable": (claimable, _CLAIMABLE),
     "flatten_metrics": (flatten_metrics, _FLATTEN),
