@@ -9,7 +9,8 @@ record's would be: pages come without one.
 Of records with equal payloads of at least ``least_bytes`` bytes the one with the largest id is a ``response``; the
 others are ``revisit`` records with an empty block that refer to it. Smaller payloads are all responses. The owner of a
 payload is found by a grouped maximum over digests and ids; payloads are made distinct by their digest. Both combine on
-the map side, so a payload that a third of all records share reaches a reducer once from each task.
+the map side, so a payload that a third of all records share reaches a reducer once from each task; payloads that occur
+once aren't shuffled at all where the list of the others has a broadcast's size. Joins on digests take hot ones apart.
 
 Defined cases: a null or empty payload has zero bytes; a null url gives no target line, and line ends in one are
 percent-encoded; ties don't occur, as ids order the records of a payload; a null id loses against any
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idloom.llm.common import new_path, table
+from idloom.llm.common import BROADCAST_BYTES, discard, join_counted, join_split, materialize, new_path, table
 
 # Fixed value: the alphabet of base32.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -65,29 +66,49 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, key: str = "page_id
     """Write one record for each row of ``pages`` to the archive in folder ``path``."""
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
+    spark = pages.sparkSession
     facts = rows.select("id", "url", F.unhex(F.sha2("payload", 256)).alias("digest"), F.sha1("payload").alias("sha1_hex"), F.length("payload").cast("long").alias("n_bytes"))
-    owners = facts.groupBy("digest").agg(F.max("id").alias("owner"), F.count("*").alias("n"))
-    shared = owners.where("n > 1 AND owner IS NOT NULL").select("digest", "owner")
-    known = facts.join(shared, "digest", "left")
+    facts = materialize(facts, "page-facts")
+    owners = facts.groupBy("digest").agg(F.max("id").alias("owner"), F.count("*").alias("n")).where("n > 1")
+    shared = materialize(owners, "owners")
+    # a digest that many records share is joined apart; only digests, ids and urls move here
+    known = join_counted(facts, shared, ["digest"], facts.count(), how="left")
     revisit = F.col("owner").isNotNull() & (F.col("n_bytes") >= least_bytes) & ~F.col("id").eqNullSafe(F.col("owner"))
     known = known.withColumn("sha1", base32_of_hex(F.col("sha1_hex")))
     header = F.when(revisit, _header("revisit")).otherwise(_header("response")).cast("binary")
     known.select("id", "digest", header.alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
-    once = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
-    once.select("digest", "payload").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    once = rows.select(F.unhex(F.sha2("payload", 256)).alias("digest"), "payload")
+    several = shared.select("digest")
+    if several.count() * 48 <= BROADCAST_BYTES:  # then what occurs once needs no shuffle
+        names = F.broadcast(several)
+        once = once.join(names, "digest", "left_anti").unionByName(once.join(names, "digest", "left_semi").dropDuplicates(["digest"]))
+    else:
+        once = once.dropDuplicates(["digest"])
+    once.write.option("compression", "zstd").parquet(f"{path}/payloads")
+    discard(facts, shared)
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """(record bytes, header, payload, digest) of every record: a response's block is its payload, a revisit's is empty.
+    """(digest, header, payload, record, intact, n_bytes, sha1_hex) of every record, rebuilt: a response's block is its
+    payload, a revisit's is empty and so is its ``payload`` here.
 
-    ``intact`` says whether the stored payload still has its digest.
+    Size and digests are taken from the stored bytes, once for each payload; ``intact`` says whether they still have their
+    digest. Responses meet the bytes; revisits, of which one payload may have very many, meet these few facts only.
     """
     headers = spark.read.schema("id long, digest binary, header binary").parquet(f"{path}/headers")
     stored = spark.read.schema("digest binary, payload binary").parquet(f"{path}/payloads")
-    checked = stored.withColumn("intact", F.unhex(F.sha2("payload", 256)) == F.col("digest"))
-    both = headers.join(checked, "digest", "left")
-    block = F.when(F.col("header").startswith(F.lit(_head("revisit").encode())), F.lit("").cast("binary")).otherwise(F.col("payload"))
-    return both.select("digest", "header", "payload", "intact", F.concat("header", block, F.lit(CRLF * 2).cast("binary")).alias("record"))
+    measured = stored.select("digest", "payload", (F.unhex(F.sha2("payload", 256)) == F.col("digest")).alias("intact"), F.length("payload").cast("long").alias("n_bytes"), F.sha1("payload").alias("sha1_hex"))
+    is_revisit = F.col("header").startswith(F.lit(_head("revisit").encode()))
+    end = F.lit(CRLF * 2).cast("binary")
+    answered = join_split(headers.where(~is_revisit), measured, ["digest"], "left")
+    answered = answered.withColumn("record", F.concat("header", "payload", end))
+    again = headers.where(is_revisit)
+    counts = again.groupBy("digest").agg(F.count("*").alias("n"))
+    told = materialize(measured.drop("payload").join(counts, "digest"), "payload-facts")
+    total = told.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    again = join_counted(again, told, ["digest"], total, how="left", row_bytes=F.lit(160)).withColumns({"payload": F.lit(None).cast("binary"), "record": F.concat("header", end)})
+    columns = ["digest", "header", "payload", "record", "intact", "n_bytes", "sha1_hex"]
+    return answered.select(*columns).unionByName(again.select(*columns))
 
 
 def field(header: Column, name: str) -> Column:
@@ -98,12 +119,12 @@ def field(header: Column, name: str) -> Column:
 
 def facts(found: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) read from rebuilt records; the payload's size and
-    SHA-1 are computed from its bytes and compared with what the header says (``agrees``)."""
+    SHA-1, taken from its stored bytes, are compared with what the header says (``agrees``)."""
     id_of = lambda name: F.expr(f"try_cast(regexp_extract(cast(header as string), '{name}: <urn:record:(-?[0-9]+)>', 1) as bigint)")
-    digest = base32_of_hex(F.sha1("payload"))
+    digest = base32_of_hex(F.col("sha1_hex"))
     kind = field(F.col("header"), "WARC-Type")
     agrees = F.col("intact") & (field(F.col("header"), "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), digest)) & (F.length("record") == F.length("header") + 4 + field(F.col("header"), "Content-Length").cast("long"))
-    columns = [id_of("WARC-Record-ID").alias("page_id"), F.length("payload").cast("long").alias("payload_bytes"), digest.alias("payload_digest"), kind.alias("record_type")]
+    columns = [id_of("WARC-Record-ID").alias("page_id"), F.col("n_bytes").alias("payload_bytes"), digest.alias("payload_digest"), kind.alias("record_type")]
     return found.select(*columns, id_of("WARC-Refers-To").alias("refers_to"), agrees.alias("agrees"))
 
 
