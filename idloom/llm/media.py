@@ -12,7 +12,7 @@ Where repeated rows own one payload, or an executor was lost half-way, the least
 
 Defined cases: a null text is stored like an empty one, as SAMPLES bytes 255; equal texts have one address and equal
 values; null ids are kept (and own a payload only where no row with an id has it); texts are stored whole, whatever
-their length; an empty table gives an empty result; other columns pass through unread.
+their length; an empty table gives an empty result; other columns aren't read or returned.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idloom.llm.common import binary, bounded_broadcast, materialize, new_path, steps, table
+from idloom.llm.common import binary, bounded_broadcast, join_counted, materialize, new_path, steps, table
 
 SAMPLES, FILL, TAIL = 576, b"\xff", 32
 #: A shard is closed after so many bytes.
@@ -171,24 +171,30 @@ def store(docs: DataFrame, folder: str, text_col: str = "text", key: str = "doc_
 
 
 def _read(addresses: DataFrame, folder: str, schema: str, fn) -> DataFrame:
-    """Rows of ``fn(open file, offset, length)`` for each address; addresses are grouped by shard and read in order."""
+    """Rows of ``fn(open file, offset, length)`` for each address. Addresses are dealt out in ranges of shard and offset,
+    so every task reads runs of neighbours, one shard after the other."""
 
     def run(batches):
         files, path = fs.FileSystem.from_uri(folder)
+        current, opened = None, None
         for batch in batches:
             shard_at, offset_at, length_at, digest_at = (batch.schema.get_field_index(c) for c in ("shard", "offset", "length", "digest"))
             shards, offsets, lengths = (batch.column(i).to_pylist() for i in (shard_at, offset_at, length_at))
-            rows, opened = [], {}
+            rows = []
             for shard, offset, length in zip(shards, offsets, lengths, strict=True):
-                if shard not in opened:
-                    opened[shard] = files.open_input_file(f"{path}/{shard}")
-                rows.append(fn(opened[shard], offset, length))
-            for f in opened.values():
-                f.close()
+                if shard != current:
+                    if opened is not None:
+                        opened.close()
+                    current, opened = shard, files.open_input_file(f"{path}/{shard}")
+                rows.append(fn(opened, offset, length))
             arrow = _schema(schema)
             yield pa.RecordBatch.from_arrays([batch.column(digest_at), *(pa.array([r[i] for r in rows], arrow.field(i + 1).type) for i in range(len(arrow) - 1))], names=arrow.names)
+        if opened is not None:
+            opened.close()
 
-    return addresses.select("digest", "shard", "offset", "length").mapInArrow(run, schema)
+    parts = int(addresses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = addresses.select("digest", "shard", "offset", "length").repartitionByRange(parts, "shard", "offset").sortWithinPartitions("shard", "offset")
+    return ordered.mapInArrow(run, schema)
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -230,6 +236,8 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     addresses = materialize(store(docs, folder), "canonical")
     heads = metadata(addresses, folder)
     facts = materialize(payload_features(addresses, folder), "media-facts")
-    known = addresses.join(heads, "digest").join(facts, "digest")
-    rows = docs.select("doc_id", payload_digest(F.col("text")).alias("digest"))
-    return rows.join(known, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "shard", "offset", "width", "height")
+    rows = materialize(docs.select("doc_id", payload_digest(F.col("text")).alias("digest")), "digests")
+    counts = rows.groupBy("digest").agg(F.count("*").alias("n"))
+    known = materialize(addresses.join(heads, "digest").join(facts, "digest").join(counts, "digest"), "media")
+    found = join_counted(rows, known, ["digest"], rows.count(), row_bytes=F.lit(400))  # a digest that many rows share is joined apart
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "shard", "offset", "width", "height")

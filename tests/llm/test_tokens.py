@@ -90,7 +90,8 @@ def test_token_counts_of_odd_documents(spark):
 
 def test_byte_ids_equal_the_library():
     mine, theirs = packing.load(P.path("byte_bpe_50k.json")), tokenizer("byte_bpe_50k.json")
-    for text in [*fuzz(), " " * 9000 + "x", "\n" * 3000]:
+    around = [f"a{c * n}b" for n in range(3998, 4003) for c in (" ", "\n", "\u00a0")]
+    for text in [*fuzz(), *around, " " * 9000 + "x", "\n" * 3000]:
         assert mine.encode(text.encode()) == theirs.encode(text, add_special_tokens=False).ids
 
 
