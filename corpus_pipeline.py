@@ -1,8 +1,8 @@
 """The corpus pipeline: quality rules, language, near duplicates, repeated passages, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the
-columns of ``documents``; the last returns packed pieces. Each stage uses whole texts, however long, and passes other
-columns through, whatever their names; an empty table gives an empty result.
+columns of ``documents``; the last returns packed pieces. Each stage uses whole texts, however long; all but the last pass
+other columns through, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
