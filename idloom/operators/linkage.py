@@ -6,6 +6,7 @@ and the field; names are compared only within such a pair.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -93,13 +94,27 @@ def face_checks(pairs: DataFrame, document: str, *keys: str) -> DataFrame:
     not on both faces give no row on an ID card, except one ``not_checked`` row if none is; its document number is never
     comparable. A licence's category codes are compared as sets. A wrong name only warns here: the merge reports it as a
     conflict."""
+    return _face_checks(pairs, lambda f, side: F.min(F.when(F.col("field") == f, F.col(side))), document, *keys)
+
+
+def face_checks_of(readings: DataFrame, document: str, *keys: str) -> DataFrame:
+    """The same from the readings themselves (…keys, side, field, value), without pairing them first: one shuffle, of which
+    each document's fields are one row."""
+    return _face_checks(readings, lambda f, side: F.min(F.when((F.col("side") == side) & (F.col("field") == f), F.col("value"))), document, *keys)
+
+
+def _face_checks(source: DataFrame, least: Callable[[str, str], Column], document: str, *keys: str) -> DataFrame:
     rules = dims.FACE_RULES[document]
     names = {f: dims.FACE_NAMES.get(document, {}).get(f, ([f], [f])) for _, f, _, _ in rules}
-    held = lambda f, side: F.min(F.when((F.col("field") == f) & (F.length(X.trim_unicode(F.col(side))) > 0), F.col(side)))
     sides = [("front", 0), ("back", 1)]
-    raw = [F.coalesce(*[held(n, side) for n in names[f][i]]).alias(f"{side}_{f}") for _, f, _, _ in rules for side, i in sides]
-    lists = [held("categories", "front").alias("front_categories"), held("category_entries", "back").alias("back_categories")] if document == "dz-driving-licence" else []
-    rows = pairs.groupBy(*keys).agg(*raw, *lists)
+    extra = [("front", "categories"), ("back", "category_entries")] if document == "dz-driving-licence" else []
+    wanted = dict.fromkeys([(side, n) for _, f, _, _ in rules for side, i in sides for n in names[f][i]] + extra)
+    # blanks count as missing, but only once the least of repeated names is chosen
+    given = source.groupBy(*keys).agg(*[least(n, side).alias(f"_{side}|{n}") for side, n in wanted])
+    there = lambda side, n: F.when(F.length(X.trim_unicode(F.col(f"`_{side}|{n}`"))) > 0, F.col(f"`_{side}|{n}`"))
+    raw = [F.coalesce(*[there(side, n) for n in names[f][i]]).alias(f"{side}_{f}") for _, f, _, _ in rules for side, i in sides]
+    lists = [there("front", "categories").alias("front_categories"), there("back", "category_entries").alias("back_categories")] if extra else []
+    rows = given.select(*keys, *raw, *lists)
     rows = rows.withColumns({f"_{side}_{f}": comparable_as(F.col(f"{side}_{f}"), kind) for _, f, kind, _ in rules for side, _ in sides})
     out, shared_names = [], []
     for check_id, f, _, fuzzy in rules:

@@ -90,12 +90,8 @@ UNION ALL SELECT doc_id, 'back_' || field, back, CASE WHEN back IS NULL THEN 'no
 """
 
 
-def _licence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.pair_faces(_readings(spark, sf_dir, *_LICENCE, "categories", "category_entries"), "doc_id")
-
-
 def _licence_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.face_checks(_licence_pairs(spark, sf_dir), "dz-driving-licence", "doc_id")
+    return linkage.face_checks_of(_readings(spark, sf_dir, *_LICENCE, "categories", "category_entries"), "dz-driving-licence", "doc_id")
 
 
 _SIMILAR = "CASE WHEN a IS NULL OR b IS NULL THEN 'not_checked' WHEN a = b THEN 'passed' ELSE '{}' END"
@@ -117,8 +113,7 @@ def face_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def face_checks_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An identity card's faces: names count only where both faces hold them."""
-    pairs = linkage.pair_faces(_readings(spark, sf_dir, "nin", "date_of_birth", "sex", "surname_ar", "surname_latin"), "doc_id")
-    return linkage.face_checks(pairs, "dz-id", "doc_id")
+    return linkage.face_checks_of(_readings(spark, sf_dir, "nin", "date_of_birth", "sex", "surname_ar", "surname_latin"), "dz-id", "doc_id")
 
 
 _CHECK_ID = f"""
@@ -135,7 +130,7 @@ def person_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A card and a passport of one person: odd lines as the card, even ones as the passport."""
     r = _readings(spark, sf_dir, "nin", "date_of_birth", "sex", "surname_ar")
     named = F.when((F.col("side") == "back") & (F.col("field") == "nin"), "personal_number").otherwise(F.col("field"))
-    return linkage.face_checks(linkage.pair_faces(r.withColumn("field", named), "doc_id"), "id-passport", "doc_id")
+    return linkage.face_checks_of(r.withColumn("field", named), "id-passport", "doc_id")
 
 
 _PERSON = f"""
