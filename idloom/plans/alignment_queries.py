@@ -37,7 +37,7 @@ def template_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every photo against every template of its group: good matches, and for those that match the inliers of the map."""
     out = alignment.align_photos(*_scene(spark, sf_dir))
     matched = lambda c: F.when(F.col("matched"), F.col(c)).alias(c)
-    return out.select("photo_id", "template_id", "good", "matched", *[matched(c) for c in ("inliers", "inlier_ratio", "coverage", "plausible")])
+    return out.select("photo_id", "template_id", "good", "matched", *[matched(c) for c in ("inliers", "inlier_ratio", "coverage")])
 
 
 _SCENE = f"""
@@ -53,7 +53,7 @@ c AS (SELECT photo_id, template_id, count(feature) FILTER (good) AS good, count(
 m AS (SELECT *, good >= 18 AND inliers >= 4 AND inliers / good >= 0.42 AND box >= 0.08 AS matched FROM c)
 """
 _ALIGNMENT = _SCENE + """
-SELECT photo_id, template_id, good, matched, CASE WHEN matched THEN inliers END AS inliers, CASE WHEN matched THEN floor(inliers / good * 10000 + 0.5) / 10000 END AS inlier_ratio, CASE WHEN matched THEN floor(box * 10000 + 0.5) / 10000 END AS coverage, CASE WHEN matched THEN true END AS plausible FROM m
+SELECT photo_id, template_id, good, matched, CASE WHEN matched THEN inliers END AS inliers, CASE WHEN matched THEN floor(inliers / good * 10000 + 0.5) / 10000 END AS inlier_ratio, CASE WHEN matched THEN floor(box * 10000 + 0.5) / 10000 END AS coverage FROM m
 """
 
 
