@@ -38,14 +38,16 @@ class Sessions(StatefulProcessor):
         self.seen = StoredMarks(handle.getMapState("seen", "mark string", "end long"), handle, L.KEPT_MS)
 
     def _load(self) -> dict:
-        state = json.loads(self.own.get()[0]) if self.own.exists() else L.new_state()
+        known = self.own.exists()
+        state = json.loads(self.own.get()[0]) if known else L.new_state()
+        self.seen.begin(fresh=not known)
         state["seen"] = self.seen
         return state
 
     def _save(self, key: str, state: dict, now: int) -> Iterator[pd.DataFrame]:
         self.own.update((L.dump(state),))
+        self.seen.flush(self.timed)
         if self.timed:
-            self.seen.register()
             if state["status"] != "processing":
                 kept = self.kept if state["status"] in L.dims.FINAL else 0
                 due = now + L.IDLE_MS if state["status"] is None else state["expires"] + kept

@@ -35,34 +35,47 @@ def prepared(spark: SparkSession) -> SparkSession:
 
 
 class StoredMarks:
-    """``Marks`` in a map of the state store."""
+    """``Marks`` in a map of the state store. What is put is held until ``flush``, so a call looks each mark up at most once;
+    the marks of a key that is ``fresh`` aren't looked up at all."""
 
     def __init__(self, entries: Any, handle: StatefulProcessorHandle, step_ms: int):
         self.entries, self.handle, self.step = entries, handle, max(step_ms // STEPS, 1)
-        self.timers: set[int] = set()
+        self.begin()
+
+    def begin(self, fresh: bool = False) -> None:
+        self.fresh, self.held = fresh, {}
 
     def live(self, mark: str, now: int) -> bool:
-        return self.entries.containsKey((mark,)) and self.entries.getValue((mark,))[0] > now
+        if mark not in self.held:
+            if self.fresh or not self.entries.containsKey((mark,)):
+                return False
+            self.held[mark] = (self.entries.getValue((mark,))[0], False)
+        return self.held[mark][0] > now
 
     def put(self, mark: str, end: int) -> None:
-        self.entries.updateValue((mark,), (end,))
-        self.timers.add(-(-end // self.step) * self.step)
+        self.held[mark] = (end, True)
 
     def drop(self, mark: str) -> None:
-        self.entries.removeKey((mark,))
+        self.held.pop(mark, None)
+        if not self.fresh:
+            self.entries.removeKey((mark,))
 
     def purge(self, now: int) -> None:
-        ended = [k[0] for k, v in self.entries.iterator() if v[0] <= now]
+        ended = [k[0] for k, v in self.entries.iterator() if v[0] <= now and k[0] not in self.held]
         for mark in ended:
             self.entries.removeKey((mark,))
 
     def clear(self) -> None:
+        self.held = {}
         self.entries.clear()
 
-    def register(self) -> None:
-        for at in self.timers:
+    def flush(self, timers: bool = True) -> None:
+        put = {m: end for m, (end, new) in self.held.items() if new}
+        for mark, end in put.items():
+            self.entries.updateValue((mark,), (end,))
+        for at in {-(-end // self.step) * self.step for end in put.values()} if timers else ():
             self.handle.registerTimer(at)
-        self.timers.clear()
+        self.held = {}
 
 
 class Processor(StatefulProcessor):
@@ -77,6 +90,7 @@ class Processor(StatefulProcessor):
         self.marks = StoredMarks(handle.getMapState("marks", "mark string", "end long"), handle, self.machine.kept_ms)
 
     def _load(self) -> dict:
+        self.marks.begin()
         return json.loads(self.own.get()[0]) if self.own.exists() else {}
 
     def _save(self, before: str, state: dict) -> None:
@@ -89,7 +103,7 @@ class Processor(StatefulProcessor):
             due = self.machine.due(state)
             if due is not None:
                 self.handle.registerTimer(due)
-        self.marks.register()
+        self.marks.flush()
 
     def _rows(self, key: str, rows: list[dict]) -> Iterator[pd.DataFrame]:
         if rows:
