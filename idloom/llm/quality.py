@@ -1,8 +1,10 @@
 """Quality rules (operator 4): an isolation forest on rule statistics, its threshold calibrated from labelled rows.
 
-Every document gets rule statistics in one narrow pass. A forest of random split trees is grown on a bounded sample
-of rows labelled good; documents that random splits isolate early (short mean path) are anomalous. The threshold on
-the anomaly score comes from labelled rows that the trees haven't seen (a third of the sample, by the key's crc32).
+Every document gets rule statistics in one narrow pass. A forest of random split trees is grown on all rows labelled
+good: each row is dealt to one tree at least, and to more while a tree would have fewer than TREE_ROWS. Documents that
+random splits isolate early (short mean path) are anomalous. The threshold on the anomaly score comes from the labelled
+rows that the trees haven't seen (a third of all, by the key's crc32). Up to DRIVER_ROWS labelled rows are fitted in the
+driver; more of them are never collected: Spark deals them to the trees, and finds the threshold by running counts.
 
 Defined cases: a null or empty text, or one of white space only, has zero words and fails the base rule; ties and
 repeated rows are judged alike, each by its own text; texts of any length are measured whole; a null id is returned
@@ -17,14 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from idloom.llm.common import WordHashes, gram_hashes, keep_where, table, with_columns
+from idloom.llm.common import WordHashes, fold_of, gram_hashes, keep_where, materialize, table, with_columns
 
-#: Labelled rows that the forest and its threshold may see at most.
-SAMPLE_ROWS = 12_000
+#: Up to so many labelled rows are fitted in the driver; beyond, by Spark. All are used either way.
+DRIVER_ROWS = 12_000
 TREES, TREE_ROWS, DEPTH, SEED = 128, 256, 12, 11
 #: Share of labelled good rows that the calibrated threshold may reject at most.
 MAX_GOOD_LOSS = 0.004
@@ -104,31 +106,68 @@ def _mean_path(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
+def _tree(x: np.ndarray, margins: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, cut, depth) of one tree over all of ``x``."""
+    size = 2 ** (DEPTH + 1) - 1
+    feature, cut, depth = np.zeros(size, np.int16), np.zeros(size, np.float32), np.full(size, -1.0, np.float32)
+    todo = [(0, 0, x)]
+    while todo:
+        at, level, part = todo.pop()
+        low, high = part.min(0), part.max(0)
+        if level == DEPTH or len(part) < 2 or not (high > low).any():
+            depth[at] = level + _mean_path(len(part))
+            continue
+        # A split feature may be one that is constant here: a row beyond its value is then cut off at once.
+        f = int(rng.integers(x.shape[1]))
+        margin = max((high[f] - low[f]) * 0.5, margins[f])
+        c = np.float32(rng.uniform(low[f] - margin, high[f] + margin))
+        right = part[:, f] >= c
+        feature[at], cut[at] = f, c
+        for child, rest in ((2 * at + 1, part[~right]), (2 * at + 2, part[right])):
+            if len(rest):
+                todo.append((child, level + 1, rest))
+            else:  # an empty side: whatever falls there is isolated
+                depth[child] = level + 1
+    return feature, cut, depth
+
+
+def _margins(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How far beyond a node's values its cut may lie at least, from the least and greatest values of all rows."""
+    return np.maximum(0.02 * (high - low), 1e-3)
+
+
+def _forest(trees: list, rows: float) -> Forest:
+    return Forest(*(np.stack(part) for part in zip(*trees, strict=True)), _mean_path(round(rows)) or 1.0, 2.0)
+
+
 def grow(x: np.ndarray, seed: int = SEED) -> Forest:
-    rng, size = np.random.default_rng(seed), 2 ** (DEPTH + 1) - 1
-    feature, cut, depth = np.zeros((TREES, size), np.int16), np.zeros((TREES, size), np.float32), np.full((TREES, size), -1.0, np.float32)
-    rows = min(TREE_ROWS, len(x))
-    for t in range(TREES):
-        todo = [(0, 0, x[rng.choice(len(x), rows, replace=False)])]
-        while todo:
-            at, level, part = todo.pop()
-            low, high = part.min(0), part.max(0)
-            if level == DEPTH or len(part) < 2 or not (high > low).any():
-                depth[t, at] = level + _mean_path(len(part))
-                continue
-            # A split feature may be one that is constant here: a row beyond its value is then cut off at once.
-            f = int(rng.integers(x.shape[1]))
-            span = high[f] - low[f]
-            margin = max(span * 0.5, 0.02 * (x[:, f].max() - x[:, f].min()), 1e-3)
-            c = np.float32(rng.uniform(low[f] - margin, high[f] + margin))
-            right = part[:, f] >= c
-            feature[t, at], cut[t, at] = f, c
-            for child, rest in ((2 * at + 1, part[~right]), (2 * at + 2, part[right])):
-                if len(rest):
-                    todo.append((child, level + 1, rest))
-                else:  # an empty side: whatever falls there is isolated
-                    depth[t, child] = level + 1
-    return Forest(feature, cut, depth, _mean_path(rows) or 1.0, 2.0)
+    """A forest on all of ``x``: its rows, in random order and again from the start, are cut into the trees' rows."""
+    rng = np.random.default_rng(seed)
+    rows = max(min(TREE_ROWS, len(x)), -(-len(x) // TREES))
+    order = np.concatenate([rng.permutation(len(x)) for _ in range(-(-TREES * rows // len(x)))])
+    margins = _margins(x.min(0), x.max(0))
+    return _forest([_tree(x[order[t * rows : (t + 1) * rows]], margins, rng) for t in range(TREES)], rows)
+
+
+def grow_spread(rows: DataFrame, good: int, seed: int = SEED) -> Forest:
+    """:func:`grow` for ``good`` rows (_key, x) that stay in Spark: a tree is grown where its rows meet, a TREES-th of
+    all at a time (28 bytes a row)."""
+    copies = min(TREES, max(1, -(-TREES * TREE_ROWS // good)))
+    at = lambda f: F.array(*[f(F.col("x")[i]) for i in range(len(FEATURES))])
+    low, high = (np.array(v, np.float32) for v in rows.agg(at(F.min), at(F.max)).first())
+    margins = _margins(low, high)
+    first = F.pmod(F.xxhash64("_key"), F.lit(TREES))
+    dealt = rows.select("x", F.explode(F.transform(F.sequence(F.lit(0), F.lit(copies - 1)), lambda j: F.pmod(first + j * (TREES // copies), F.lit(TREES)).cast("int"))).alias("tree"))
+
+    def one(key: tuple, part: pa.Table) -> pa.Table:
+        t = key[0].as_py()
+        x = part["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
+        feature, cut, depth = _tree(x[np.lexsort(x.T)], margins, np.random.default_rng([seed, t]))
+        return pa.table({"tree": pa.array([t], pa.int32()), "feature": [feature.tobytes()], "cut": [cut.tobytes()], "depth": [depth.tobytes()]})
+
+    got = dealt.groupBy("tree").applyInArrow(one, "tree int, feature binary, cut binary, depth binary").collect()
+    trees = [tuple(np.frombuffer(r[c], k) for c, k in (("feature", np.int16), ("cut", np.float32), ("depth", np.float32))) for r in sorted(got, key=lambda r: r["tree"])]
+    return _forest(trees, good * copies / TREES)
 
 
 def calibrate(forest: Forest, x: np.ndarray, good: np.ndarray, max_good_loss: float = MAX_GOOD_LOSS) -> Forest:
@@ -148,23 +187,59 @@ def calibrate(forest: Forest, x: np.ndarray, good: np.ndarray, max_good_loss: fl
     return Forest(forest.feature, forest.cut, forest.depth, forest.scale, threshold)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Forest | None:
-    """A calibrated forest from at most ``sample_rows`` labelled rows (chosen by a hash of the key), or None without any.
+def calibrate_spread(forest: Forest, rows: DataFrame, max_good_loss: float = MAX_GOOD_LOSS) -> Forest:
+    """:func:`calibrate` for rows (x, _good) that stay in Spark: each part of the scores' order counts its own rows, and
+    only the parts' sums meet in the driver."""
+
+    def score(batches):
+        for b in batches:
+            x = b.column("x").flatten().to_numpy().reshape(-1, len(FEATURES)) if b.num_rows else np.empty((0, len(FEATURES)), np.float32)
+            good = b.column("_good").to_numpy() == 1
+            yield pa.RecordBatch.from_arrays([pa.array(forest.scores(x)), pa.array(good.astype(np.int64)), pa.array((~good).astype(np.int64))], names=["score", "good", "bad"])
+
+    counts = rows.select("x", "_good").mapInArrow(score, "score double, good long, bad long").groupBy("score").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    counts = materialize(counts.repartitionByRange("score").withColumn("part", F.spark_partition_id()), "scores")
+    parts = sorted(counts.groupBy("part").agg(F.min("score"), F.max("score"), F.sum("good"), F.sum("bad")).collect(), key=lambda r: r[1])
+    goods, bads = sum(r[3] for r in parts), sum(r[4] for r in parts)
+    if not goods or not bads:
+        return forest
+    before, good, bad, last = [], 0, 0, None
+    for r in parts:
+        before.append((r["part"], good, bad, last))
+        good, bad, last = good + r[3], bad + r[4], r[2]
+    before = counts.sparkSession.createDataFrame(before, "part int, good0 long, bad0 long, last double")
+    w = Window.partitionBy("part").orderBy("score")
+    under = lambda c: F.sum(c).over(w) - F.col(c)
+    runs = counts.select("part", "score", under("good").alias("g"), under("bad").alias("b"), F.lag("score").over(w).alias("below")).join(F.broadcast(before), "part")
+    lost, caught = 1 - (F.col("g") + F.col("good0")) / F.lit(goods), 1 - (F.col("b") + F.col("bad0")) / F.lit(bads)
+    gain = (caught - lost).alias("gain")
+    found = runs.where(lost <= max_good_loss).select(gain, "score", F.coalesce("below", "last", "score").alias("below"))
+    best = found.agg(F.max(F.struct("gain", -F.col("score"), "below"))).first()[0]
+    threshold = float(best["below"] - best[1]) / 2 if best is not None and best["gain"] > 0 else 2.0
+    return Forest(forest.feature, forest.cut, forest.depth, forest.scale, threshold)
+
+
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", key: str = "doc_id", driver_rows: int = DRIVER_ROWS) -> Forest | None:
+    """A calibrated forest from all labelled rows, or None without any.
 
     The trees grow on two thirds of the rows and the threshold is calibrated on the last third (on the same rows if one
-    part lacks good or bad ones). Of several rows with one key, that with the fewest words counts. The key set that is
-    broadcast, and what reaches the driver (7 numbers a row), are bounded by ``sample_rows``.
+    part lacks good or bad ones). Of several rows with one key, that with the fewest words counts. Documents are measured
+    where they lie; only their 8 numbers are shuffled to the labels.
     """
-    chosen = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max("quality").alias("_good")).orderBy(F.xxhash64("_key"), "_key").limit(sample_rows)
-    rows = docs.select(F.col(key).alias("_key"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_key")
+    marked = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max("quality").alias("_good"))
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text_col).alias("_text"))
 
     def measure(texts: list[bytes | None]) -> list:
         counts, features = statistics(texts, WordHashes())
         return [pa.array(counts[:, 0]), pa.array(list(features), pa.list_(pa.float32()))]
 
     new = [T.StructField("n", T.LongType()), T.StructField("x", T.ArrayType(T.FloatType()))]
-    got = with_columns(rows, "_text", new, measure).groupBy("_key", "_good").agg(F.min(F.struct("n", "x")).alias("_m")).select("_key", "_good", "_m.n", "_m.x").collect()
-    got = [r for r in sorted(got, key=lambda r: (r["_key"], r["n"])) if r["n"] >= 50]
+    measured = with_columns(rows, "_text", new, measure).groupBy("_key").agg(F.min(F.struct("n", "x")).alias("_m"))
+    got = materialize(measured.join(marked, "_key").select("_key", "_good", "_m.n", "_m.x").where("n >= 50"), "labelled")
+    total = got.count()
+    if total > driver_rows:
+        return _fit_spread(got.withColumn("_last", fold_of(F.col("_key"), 3) == 0))
+    got = sorted(got.collect(), key=lambda r: (r["_key"], r["n"]))
     x, good = np.array([r["x"] for r in got], np.float32).reshape(-1, len(FEATURES)), np.array([r["_good"] == 1 for r in got], bool)
     last = np.array([zlib.crc32(str(r["_key"]).encode()) % 3 == 0 for r in got], bool)
     apart = (good & ~last).any() and (good & last).any() and (~good & last).any()
@@ -172,6 +247,16 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", key: str = "
     return calibrate(grow(x[grown]), x[tested], good[tested]) if good.any() else None
 
 
+def _fit_spread(rows: DataFrame) -> Forest | None:
+    good, last = F.col("_good") == 1, F.col("_last")
+    n = rows.agg(F.count_if(good).alias("good"), F.count_if(good & ~last).alias("first"), F.count_if(good & last).alias("last"), F.count_if(~good & last).alias("bad")).first()
+    if not n["good"]:
+        return None
+    apart = n["first"] > 0 and n["last"] > 0 and n["bad"] > 0
+    forest = grow_spread(rows.where(good & ~last if apart else good), n["first"] if apart else n["good"])
+    return calibrate_spread(forest, rows.where(last) if apart else rows)
+
+
 def judge(docs: DataFrame, forest: Forest | None, text_col: str = "text") -> DataFrame:
     """``docs`` with the five counts, ``base_failed``, ``anomaly`` (null without a forest) and ``kept``."""
     fields = [T.StructField(c, T.LongType()) for c in STATS] + [T.StructField("base_failed", T.BooleanType()), T.StructField("anomaly", T.DoubleType()), T.StructField("kept", T.BooleanType())]
