@@ -231,12 +231,18 @@ def retry_targets(readings: DataFrame, held: DataFrame, sides: DataFrame, *keys:
     """Distinct (…keys, check_id, kind, side) that could be photographed again: the reading's own side, else the sides
     that hold the field, else all required sides. ``readings`` has (…keys, check_id, kind, side, field); ``held`` has
     (…keys, kind, side, field)."""
-    required = sides.select("kind", F.col("side").alias("req_side"))
-    holds = held.select(*keys, "kind", F.col("side").alias("req_side"), "field", F.lit(True).alias("holds")).distinct()
-    each = readings.join(required, "kind").join(holds, [*keys, "kind", "req_side", "field"], "left")
-    each = each.withColumn("any", F.max(F.coalesce("holds", F.lit(False))).over(Window.partitionBy(*keys, "check_id", "kind", "field")))
-    keep = F.when(F.col("side").isNotNull(), F.col("side") == F.col("req_side")).otherwise(~F.col("any") | F.coalesce("holds", F.lit(False)))
-    return each.where(keep).select(*keys, "check_id", "kind", F.col("req_side").alias("side")).distinct()
+    # A set of sides is one number, a bit for each by its place among the kind's, so that sets are united in place. The sides
+    # are a few rows: joined by anything but a broadcast, all readings of a kind would meet in one task.
+    need = F.broadcast(sides.groupBy("kind").agg(F.array_sort(F.collect_set("side")).alias("_need")))
+    bit = F.expr("shiftleft(1L, CAST(array_position(_need, side) AS INT) - 1)")
+    own = F.when(F.array_contains("_need", F.col("side")), bit)
+    all_ = F.expr("shiftleft(1L, size(_need)) - 1")
+    holds = held.join(need, "kind").groupBy(*keys, "kind", "field").agg(F.bit_or(own).alias("_held"))
+    each = readings.join(holds, [*keys, "kind", "field"], "left").join(need, "kind")
+    targets = F.when(F.col("side").isNotNull(), own).otherwise(F.coalesce("_held", all_))
+    found = each.select(*keys, "check_id", "kind", targets.alias("_t")).groupBy(*keys, "check_id", "kind").agg(F.bit_or("_t").alias("_t")).join(need, "kind")
+    chosen = F.filter("_need", lambda s, i: F.getbit("_t", i) == 1)
+    return found.select(*keys, "check_id", "kind", F.explode(chosen).alias("side"))
 
 
 def retryable(targets: DataFrame, attempts: DataFrame, *keys: str) -> DataFrame:

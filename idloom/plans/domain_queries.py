@@ -15,7 +15,7 @@ from idloom.plans.common import table
 def retry_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sides to photograph again for checks made from line items: by the reading's own side, else by who holds it."""
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag")
-    readings = li.select("l_orderkey", F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("check_id"), F.lit("dz-id").alias("kind"), F.when(F.col("l_returnflag") == "R", "back").alias("side"), F.when(F.col("l_linenumber") % 2 == 0, "nin").otherwise("sex").alias("field")).distinct()
+    readings = li.select("l_orderkey", F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("check_id"), F.lit("dz-id").alias("kind"), F.when(F.col("l_returnflag") == "R", "back").alias("side"), F.when(F.col("l_linenumber") % 2 == 0, "nin").otherwise("sex").alias("field"))
     held = li.where("l_linenumber = 1").select("l_orderkey", F.lit("dz-id").alias("kind"), F.lit("front").alias("side"), F.lit("nin").alias("field"))
     return linkage.retry_targets(readings, held, dims.sides(spark), "l_orderkey")
 
