@@ -9,7 +9,8 @@ from __future__ import annotations
 import unicodedata
 from functools import cache, reduce
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -74,9 +75,13 @@ PRINTED_TITLES = [
 
 @cache
 def _normaliser(form: str):
-    @F.pandas_udf(StringType())
-    def normal_form(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize(form, x))
+    @F.arrow_udf(StringType())
+    def normal_form(s: pa.Array) -> pa.Array:
+        if pc.all(pc.string_is_ascii(s)).as_py() is not False:
+            return s
+        coded = s.dictionary_encode()  # a text that a batch repeats is normalised once
+        forms = [unicodedata.normalize(form, x) for x in coded.dictionary.to_pylist()]
+        return pa.array(forms, s.type).take(coded.indices)
 
     return normal_form
 
@@ -86,6 +91,11 @@ def unicode_form(c: Column, form: str) -> Column:
     return _normaliser(form)(c)
 
 
+def _folded_nfkc(c: Column) -> Column:
+    """:func:`fold_digits` and then NFKC; ASCII texts, which neither changes, don't go to Python."""
+    return F.coalesce(unicode_form(F.when(F.octet_length(c) > F.char_length(c), fold_digits(c)), "NFKC"), c)
+
+
 def trim_unicode(c: Column) -> Column:
     return F.regexp_replace(c, rf"^[{WHITE}]+|[{WHITE}]+$", "")
 
@@ -145,13 +155,14 @@ def shared_value(c: Column, kind: str) -> Column:
 
     Kinds: identifier, date (delimited only), sex, latin, arabic.
     """
-    base = trim_unicode(unicode_form(fold_digits(c), "NFKC"))
+    base = trim_unicode(_folded_nfkc(c))
     if kind == "identifier":
         return F.nullif(F.upper(F.regexp_replace(base, rf"[{WHITE}-]", "")), F.lit(""))
     if kind == "date":
         # The two ways to write a date.
         ymd, dmy = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$"
-        of = lambda v, pattern, y, m, d: F.when(v.rlike(pattern), _iso_if_real(*(F.regexp_extract(v, pattern, i) for i in (y, m, d)), pad_year=False))
+        parts = lambda v, pattern, y, m, d: F.array(*[F.regexp_extract(v, pattern, i) for i in (y, m, d)])
+        of = lambda v, pattern, y, m, d: F.when(v.rlike(pattern), let(parts(v, pattern, y, m, d), lambda p: _iso_if_real(p[0], p[1], p[2], pad_year=False)))
         return let(base, lambda v: F.coalesce(of(v, ymd, 1, 2, 3), of(v, dmy, 3, 2, 1)))
     if kind == "sex":
         word = F.upper(base)

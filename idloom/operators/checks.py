@@ -20,6 +20,21 @@ def report(checks: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("status", status_of(F.col("failed"), F.col("warned")))
 
 
+def _having(outcome: str) -> Column:
+    return F.filter("checks", lambda c: c["outcome"] == outcome)
+
+
+def _number(outcome: str) -> Column:
+    return F.size(_having(outcome)).cast("long")
+
+
+def report_of_lists(lists: DataFrame, *keys: str) -> DataFrame:
+    """:func:`report` of rows (…keys, checks) that hold each key's check rows as one list."""
+    fields = lambda outcome: F.array_sort(F.array_distinct(F.transform(F.filter(_having(outcome), lambda c: c["field"].isNotNull()), lambda c: c["field"])))
+    out = lists.select(*keys, _number("passed").alias("passed"), _number("warning").alias("warned"), _number("failed").alias("failed"), _number("not_checked").alias("not_checked"), fields("failed").alias("failed_fields"), fields("warning").alias("warned_fields"))
+    return out.withColumn("status", status_of(F.col("failed"), F.col("warned")))
+
+
 def summary(checks: DataFrame, *keys: str) -> DataFrame:
     """Whether anything blocks, and how many warnings and unchecked comparisons there are."""
     return checks.groupBy(*keys).agg(F.coalesce(F.bool_or(F.col("outcome") == "failed"), F.lit(False)).alias("blocking"), F.count_if(F.col("outcome") == "warning").alias("warnings"), F.count_if(F.col("outcome") == "not_checked").alias("not_checked"))
@@ -32,6 +47,14 @@ def coverage(checks: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("complete", F.col("not_checked") == 0)
 
 
+def coverage_of_lists(lists: DataFrame, *keys: str) -> DataFrame:
+    """:func:`coverage` of rows (…keys, checks); a key without a check that counts gives no row."""
+    counted = F.filter("checks", lambda c: ~c["check_id"].startswith("cross.repair.") & ~c["check_id"].isin(NOT_COVERAGE))
+    out = lists.select(*keys, counted.alias("checks")).where(F.size("checks") > 0)
+    open_, total = _number("not_checked"), F.size("checks").cast("long")
+    return out.select(*keys, (total - open_).alias("checked"), total.alias("total"), open_.alias("not_checked"), (open_ == 0).alias("complete"))
+
+
 def coverage_warnings(checks: DataFrame, *keys: str) -> DataFrame:
     """A warning row for each key whose coverage is incomplete (outside onboarding)."""
     open_ = coverage(checks, *keys).where("not_checked > 0")
@@ -50,6 +73,13 @@ def summary_with_status(checks: DataFrame, *keys: str) -> DataFrame:
     return checks.groupBy(*keys).agg(F.coalesce(failed, F.lit(False)).alias("blocking"), n("warning").alias("warnings"), n("not_checked").alias("not_checked"), status.alias("identity_status"))
 
 
+def summary_with_status_of_lists(lists: DataFrame, *keys: str) -> DataFrame:
+    """:func:`summary_with_status` of rows (…keys, checks)."""
+    failed = _number("failed") > 0
+    status = F.when(failed, "mismatched").when((F.size("checks") > 0) & (_number("passed") == F.size("checks")), "matched").otherwise("unknown")
+    return lists.select(*keys, failed.alias("blocking"), _number("warning").alias("warnings"), _number("not_checked").alias("not_checked"), status.alias("identity_status"))
+
+
 def identity_status(checks: DataFrame, *keys: str) -> DataFrame:
     """mismatched if any check failed, matched if there are checks and all passed, else unknown."""
     failed, passed = F.bool_or(F.col("outcome") == "failed"), F.bool_and(F.col("outcome") == "passed")

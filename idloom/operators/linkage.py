@@ -94,27 +94,47 @@ def face_checks(pairs: DataFrame, document: str, *keys: str) -> DataFrame:
     not on both faces give no row on an ID card, except one ``not_checked`` row if none is; its document number is never
     comparable. A licence's category codes are compared as sets. A wrong name only warns here: the merge reports it as a
     conflict."""
-    return _face_checks(pairs, lambda f, side: F.min(F.when(F.col("field") == f, F.col(side))), document, *keys)
+    return _rows_of(_check_lists(pairs, lambda f, side: F.min(F.when(F.col("field") == f, F.col(side))), document, *keys), *keys)
 
 
 def face_checks_of(readings: DataFrame, document: str, *keys: str) -> DataFrame:
     """The same from the readings themselves (…keys, side, field, value), without pairing them first: one shuffle, of which
     each document's fields are one row."""
-    return _face_checks(readings, lambda f, side: F.min(F.when((F.col("side") == side) & (F.col("field") == f), F.col("value"))), document, *keys)
+    return _rows_of(_check_lists(readings, lambda f, side: F.min(F.when((F.col("side") == side) & (F.col("field") == f), F.col("value"))), document, *keys), *keys)
 
 
-def _face_checks(source: DataFrame, least: Callable[[str, str], Column], document: str, *keys: str) -> DataFrame:
+def face_checks_of_sheets(sheets: DataFrame, document: str, *keys: str) -> DataFrame:
+    """The same from sheets: rows (…keys, side, a column for each field that a side may show)."""
+    return _rows_of(face_check_lists(sheets, document, *keys), *keys)
+
+
+def face_check_lists(sheets: DataFrame, document: str, *keys: str) -> DataFrame:
+    """(…keys, checks) of sheets: all checks of a document as one list, for what is reported about each document. The rows
+    should be dealt by the keys already; then nothing is shuffled here."""
+    return _check_lists(sheets, lambda f, side: _on(sheets, f, side), document, *keys)
+
+
+def _on(sheets: DataFrame, field: str, side: str) -> Column:
+    return F.min(F.when(F.col("side") == side, F.col(field) if field in sheets.columns else F.lit(None).cast("string")))
+
+
+def _rows_of(lists: DataFrame, *keys: str) -> DataFrame:
+    # never empty; explode() would add a filter that evaluates every comparison again
+    return lists.select(*keys, F.explode_outer("checks").alias("_c")).select(*keys, "_c.*")
+
+
+def _check_lists(source: DataFrame, least: Callable[[str, str], Column], document: str, *keys: str, kept: dict[str, Column] | None = None) -> DataFrame:
     rules = dims.FACE_RULES[document]
     names = {f: dims.FACE_NAMES.get(document, {}).get(f, ([f], [f])) for _, f, _, _ in rules}
     sides = [("front", 0), ("back", 1)]
     extra = [("front", "categories"), ("back", "category_entries")] if document == "dz-driving-licence" else []
     wanted = dict.fromkeys([(side, n) for _, f, _, _ in rules for side, i in sides for n in names[f][i]] + extra)
     # blanks count as missing, but only once the least of repeated names is chosen
-    given = source.groupBy(*keys).agg(*[least(n, side).alias(f"_{side}|{n}") for side, n in wanted])
+    given = source.groupBy(*keys).agg(*[least(n, side).alias(f"_{side}|{n}") for side, n in wanted], *[c.alias(name) for name, c in (kept or {}).items()])
     there = lambda side, n: F.when(F.length(X.trim_unicode(F.col(f"`_{side}|{n}`"))) > 0, F.col(f"`_{side}|{n}`"))
     raw = [F.coalesce(*[there(side, n) for n in names[f][i]]).alias(f"{side}_{f}") for _, f, _, _ in rules for side, i in sides]
     lists = [there("front", "categories").alias("front_categories"), there("back", "category_entries").alias("back_categories")] if extra else []
-    rows = given.select(*keys, *raw, *lists)
+    rows = given.select(*keys, *raw, *lists, *(kept or {}))
     rows = rows.withColumns({f"_{side}_{f}": comparable_as(F.col(f"{side}_{f}"), kind) for _, f, kind, _ in rules for side, _ in sides})
     out, shared_names = [], []
     for check_id, f, _, fuzzy in rules:
@@ -132,8 +152,7 @@ def _face_checks(source: DataFrame, least: Callable[[str, str], Column], documen
     number = {"dz-id": "cross.id.document_number", "id-passport": "cross.person.document_numbers"}.get(document)
     if number:
         out.append(_check(number, "document_number", F.lit("not_checked")))
-    # never empty; explode() would add a filter that evaluates every comparison again
-    return rows.select(*keys, F.explode_outer(F.array_compact(F.array(*out))).alias("_c")).select(*keys, "_c.*")
+    return rows.select(*keys, *(kept or {}), F.array_compact(F.array(*out)).alias("checks"))
 
 
 def _texts(raw: Column, path: str | None = None) -> Column:
