@@ -176,6 +176,22 @@ def merge_conflict_checks(merged: DataFrame, checks: DataFrame, *keys: str) -> D
     return open_.select(*keys, F.concat(F.lit("cross.merge."), F.col("field")).alias("check_id"), "field", F.lit("failed").alias("outcome"))
 
 
+def open_conflicts(sheets: DataFrame, document: str, comparable: list[str], fields: list[str], only: list[str], *keys: str) -> DataFrame:
+    """:func:`merge_conflict_checks` of sheets (…keys, side, a column for each of ``fields``, which both sides name): a
+    document's merge and its checks (of the fields ``only``) are made from one row, so that nothing is paired or joined."""
+    each = _check_lists(sheets, lambda f, side: _on(sheets, f, side), document, *keys, kept={f"_m_{s}_{f}": _on(sheets, f, s) for f in fields for s in ("front", "back")})
+    told_of = lambda f: F.exists("checks", lambda c: (c["field"] == f) & (c["outcome"] == "failed"))
+    found = []
+    for f in fields:
+        if f in comparable:
+            a, b = F.col(f"_m_front_{f}"), F.col(f"_m_back_{f}")
+            clash = a.isNotNull() & b.isNotNull() & ~F.coalesce(same_reading(a, b, comparison_kind(F.lit(f))), F.lit(False))
+            told = told_of(f) if f in only else F.lit(False)
+            # a field that isn't comparable is split where both faces name it, so it can't conflict
+            found.append(F.when(clash & ~told, _check(f"cross.merge.{f}", f, F.lit("failed"))))
+    return each.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("_c")).select(*keys, "_c.*")
+
+
 def face_assembly(sides: DataFrame, required: DataFrame, *keys: str) -> DataFrame:
     """One row for each document whose required sides are all ready and belong to the current capture: (…keys, kind,
     capture_ids). ``sides`` has (…keys, kind, side, capture_id, current_capture_id, state)."""

@@ -1,6 +1,8 @@
 """How the linkage operators deal out their rows, and that sheets give what readings give."""
 
 import pytest
+from pyspark.sql import functions as F
+
 from idloom import dims
 from idloom.operators import checks, linkage
 from idloom.plans import linkage_queries as Q
@@ -24,7 +26,7 @@ def test_retry_targets_hold_no_window_and_meet_by_key(spark):
     assert "Window" not in plan(targets) and "SortMergeJoin [kind" not in plan(targets)
 
 
-@pytest.mark.parametrize("name", ["face_checks", "face_report", "coverage_report", "consistency_summary", "face_checks_id", "person_checks"])
+@pytest.mark.parametrize("name", ["face_checks", "face_report", "coverage_report", "consistency_summary", "face_checks_id", "person_checks", "merge_conflicts"])
 def test_documents_are_dealt_once_and_not_expanded_before(spark, name):
     found = plan(Q.QUERIES[name][0](spark, DATA))
     assert found.count("Exchange hashpartitioning") == 1
@@ -37,3 +39,14 @@ def test_lists_report_like_rows(spark):
     assert rows_of(linkage.face_checks_of_sheets(Q._licence_sheets(spark, DATA), "dz-driving-licence", "doc_id")) == rows_of(long)
     for a, b in ((checks.report_of_lists, checks.report), (checks.coverage_of_lists, checks.coverage), (checks.summary_with_status_of_lists, checks.summary_with_status)):
         assert rows_of(a(lists, "doc_id")) == rows_of(b(long, "doc_id"))
+
+
+def test_open_conflicts_are_those_of_merge_and_checks(spark):
+    names = ["nin", "license_number", "date_of_birth", "surname_latin", "sex"]
+    comparable = dims.COMPARABLE["dz-driving-licence"]
+    pairs = linkage.pair_faces(Q._readings(spark, DATA, *names), "doc_id")
+    found = linkage.face_checks(pairs, "dz-driving-licence", "doc_id")
+    for only in (dims.ONBOARDING, ["sex"]):
+        want = linkage.merge_conflict_checks(linkage.merge_pairs(pairs, comparable), found.where(F.col("field").isin(only)), "doc_id")
+        got = linkage.open_conflicts(Q._sheets(spark, DATA, *names), "dz-driving-licence", comparable, names, only, "doc_id")
+        assert want.count() > 0 and rows_of(got) == rows_of(want)
