@@ -218,9 +218,20 @@ def cross_document(readings: DataFrame, *keys: str, scope: str | None = None) ->
     The rows are dealt by the key once; each document becomes one row of facts and each key one row of documents (a
     session has three), within which the pairs are formed.
     """
+    least = lambda n: F.min(F.when((F.col("field") == n) & (F.length(X.trim_unicode(F.col("value"))) > 0), F.col("value")))
+    return _cross_document(readings.repartition(*keys), least, scope, *keys)
+
+
+def cross_document_of_sheets(sheets: DataFrame, *keys: str, scope: str | None = None) -> DataFrame:
+    """The same from sheets: rows (…keys, document, pos, a column for each field), which should be dealt by the keys."""
+    none = F.lit(None).cast("string")
+    least = lambda n: F.min(F.when(F.length(X.trim_unicode(F.col(n))) > 0, F.col(n))) if n in sheets.columns else none
+    return _cross_document(sheets, least, scope, *keys)
+
+
+def _cross_document(source: DataFrame, least: Callable[[str], Column], scope: str | None, *keys: str) -> DataFrame:
     facts = [(f, names, k) for f, names, k in dims.IDENTITY_FACTS if scope != "onboarding" or f in dims.ONBOARDING]
-    named = lambda n: F.min(F.when((F.col("field") == n) & (F.length(X.trim_unicode(F.col("value"))) > 0), F.col("value")))
-    each = readings.repartition(*keys).groupBy(*keys, "document", "pos").agg(*[F.coalesce(*map(named, names)).alias(f) for f, names, _ in facts])
+    each = source.groupBy(*keys, "document", "pos").agg(*[F.coalesce(*map(least, names)).alias(f) for f, names, _ in facts])
     each = each.select(*keys, F.struct("pos", "document", *[comparable_as(F.col(f), k).alias(f) for f, _, k in facts]).alias("_d"))
     rows = each.groupBy(*keys).agg(F.array_sort(F.collect_list("_d")).alias("_docs"))
     rows = rows.withColumns({f"_s_{f}": odd_one_out(F.col("_docs"), f) for f, _, _ in facts})
