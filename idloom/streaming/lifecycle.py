@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -44,7 +44,7 @@ class Sessions(StatefulProcessor):
         state["seen"] = self.seen
         return state
 
-    def _save(self, key: str, state: dict, now: int) -> Iterator[pd.DataFrame]:
+    def _save(self, key: str, state: dict, now: int) -> Iterator[Row]:
         self.own.update((L.dump(state),))
         self.seen.flush(self.timed)
         if self.timed:
@@ -52,16 +52,16 @@ class Sessions(StatefulProcessor):
                 kept = self.kept if state["status"] in L.dims.FINAL else 0
                 due = now + L.IDLE_MS if state["status"] is None else state["expires"] + kept
                 self.handle.registerTimer(max(due, now + 1))
-        yield pd.DataFrame({"result": [json.dumps(dict(zip(_NAMES, L.view(key, state), strict=True)))]})
+        yield Row(result=json.dumps(dict(zip(_NAMES, L.view(key, state), strict=True))))
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         state = self._load()
-        events = [json.loads(x) for f in rows for x in f["event"]]
+        events = [json.loads(r["event"]) for r in rows]
         for e in sorted(events, key=lambda r: (r["seq"], r["at_ms"], r["type"])):
             L.step(state, e)
         yield from self._save(key[0], state, max(timerValues.getCurrentWatermarkInMs(), 0) if self.timed else 0)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         at, state = expiredTimerInfo.getExpiryTimeInMs(), self._load()
         now = max(at, timerValues.getCurrentWatermarkInMs())
         if at % self.seen.step == 0:
@@ -84,10 +84,10 @@ def fold_stream(events: DataFrame, late: str = "10 minutes", timers: bool = True
     """Streaming counterpart of ``lifecycle.fold``: the state of each session after every batch that touches it (update
     mode), and after its timer."""
     prepared(events.sparkSession)
-    # an event and a result are one text each: pandas handles every group's columns one by one, and there are many groups
+    # an event and a result are one text each, and rows aren't made into frames: there are many groups of few events
     event = F.to_json(F.struct(*L.FIELDS), {"ignoreNullFields": "false"})
     timed = L.typed_events(events).select("session_id", event.alias("event"), F.timestamp_millis("at_ms").alias("at")).withWatermark("at", late)
-    out = timed.groupBy("session_id").transformWithStateInPandas(Sessions(timers), "result string", "update", "EventTime" if timers else "None")
+    out = timed.groupBy("session_id").transformWithState(Sessions(timers), "result string", "update", "EventTime" if timers else "None")
     return out.select(F.from_json("result", L.OUTPUT).alias("r")).select("r.*")
 
 

@@ -50,3 +50,22 @@ def test_open_conflicts_are_those_of_merge_and_checks(spark):
         want = linkage.merge_conflict_checks(linkage.merge_pairs(pairs, comparable), found.where(F.col("field").isin(only)), "doc_id")
         got = linkage.open_conflicts(Q._sheets(spark, DATA, *names), "dz-driving-licence", comparable, names, only, "doc_id")
         assert want.count() > 0 and rows_of(got) == rows_of(want)
+
+
+def test_a_streamed_session_takes_rows():
+    """Rows of a session aren't made into a frame: its events come and its result goes as rows."""
+    import json
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from idloom.streaming.lifecycle import L, Sessions
+
+    held = {}
+    value = SimpleNamespace(exists=lambda: bool(held), get=lambda: held["v"], update=lambda v: held.update(v=v), clear=held.clear)
+    marks = SimpleNamespace(containsKey=lambda k: False, updateValue=lambda k, v: None)
+    session = Sessions(timers=False)
+    session.init(SimpleNamespace(getValueState=lambda *a: value, getMapState=lambda *a: marks))
+    events = [dict.fromkeys(L.FIELDS) | {"seq": i, "type": t, "kind": "passport-only", "at_ms": i} for i, t in ((2, "tick"), (1, "create"))]
+    out = list(session.handleInputRows(("s",), iter([Row(event=json.dumps(e)) for e in events]), None))
+    assert [json.loads(r["result"])["status"] for r in out] == ["created"] and held
