@@ -11,7 +11,7 @@ from functools import cache, reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -91,18 +91,23 @@ def unicode_form(c: Column, form: str) -> Column:
     return _normaliser(form)(c)
 
 
-def _folded_nfkc(c: Column) -> Column:
-    """:func:`fold_digits` and then NFKC; ASCII texts, which neither changes, don't go to Python."""
-    return F.coalesce(unicode_form(F.when(F.octet_length(c) > F.char_length(c), fold_digits(c)), "NFKC"), c)
+def _beyond_ascii(c: Column, form: str) -> Column:
+    """:func:`fold_digits` and then a normal form; null for ASCII texts, which neither changes and which don't go to Python."""
+    return unicode_form(F.when(F.octet_length(c) > F.char_length(c), fold_digits(c)), form)
 
 
 def trim_unicode(c: Column) -> Column:
     return F.regexp_replace(c, rf"^[{WHITE}]+|[{WHITE}]+$", "")
 
 
+def trim_ascii(c: Column) -> Column:
+    """:func:`trim_unicode` of ASCII texts, without a regular expression."""
+    return F.trim(c, F.lit(" \t\n\x0b\f\r"))
+
+
 def blank_to_null(c: Column) -> Column:
     """Null for a text that is empty or white space only; else the text unchanged."""
-    return F.when(F.length(trim_unicode(c)) > 0, c)
+    return F.when(c.rlike(rf"[^{WHITE}]"), c)
 
 
 def fold_digits(c: Column) -> Column:
@@ -155,23 +160,81 @@ def shared_value(c: Column, kind: str) -> Column:
 
     Kinds: identifier, date (delimited only), sex, latin, arabic.
     """
-    base = trim_unicode(_folded_nfkc(c))
+    base = F.coalesce(trim_unicode(_beyond_ascii(c, "NFKC")), trim_ascii(c))
+    if kind == "date":
+        parts = lambda v: F.struct(*[c.alias(p) for p, c in _date_parts(v).items()])
+        return let(base, lambda v: let(parts(v), lambda p: _shared_date(p["year"], p["month"], p["day"])))
+    return _shared_name(base, F.coalesce(_beyond_ascii(c, "NFKD"), c), kind) if kind in _SCRIPTS else _shared_word(base, kind)
+
+
+# The scripts of names, and the parts of a date, which is written year first or day first.
+_SCRIPTS = {"arabic": "IsArabic", "latin": "IsLatin"}
+_DATE_PARTS = {
+    "year": r"^(?:(?=\d{4}[-/.]\d{1,2}[-/.]\d{1,2}$)|\d{1,2}[-/.]\d{1,2}[-/.](?=\d{4}$))(\d{4})",
+    "month": r"^(?:\d{4}[-/.](?=\d{1,2}[-/.]\d{1,2}$)|\d{1,2}[-/.](?=\d{1,2}[-/.]\d{4}$))(\d{1,2})",
+    "day": r"^(?:\d{4}[-/.]\d{1,2}[-/.](?=\d{1,2}$)|(?=\d{1,2}[-/.]\d{1,2}[-/.]\d{4}$))(\d{1,2})",
+}
+
+
+def _shared_word(base: Column, kind: str) -> Column:
     if kind == "identifier":
         return F.nullif(F.upper(F.regexp_replace(base, rf"[{WHITE}-]", "")), F.lit(""))
-    if kind == "date":
-        # The two ways to write a date.
-        ymd, dmy = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$"
-        parts = lambda v, pattern, y, m, d: F.array(*[F.regexp_extract(v, pattern, i) for i in (y, m, d)])
-        of = lambda v, pattern, y, m, d: F.when(v.rlike(pattern), let(parts(v, pattern, y, m, d), lambda p: _iso_if_real(p[0], p[1], p[2], pad_year=False)))
-        return let(base, lambda v: F.coalesce(of(v, ymd, 1, 2, 3), of(v, dmy, 3, 2, 1)))
-    if kind == "sex":
-        word = F.upper(base)
-        return F.when(word.isin(MALE), F.lit("M")).when(word.isin(FEMALE), F.lit("F"))
-    script = {"arabic": "IsArabic", "latin": "IsLatin"}[kind]
-    fits = base.rlike(r"\p{L}") & ~base.rlike(rf"[\p{{L}}&&[^\p{{{script}}}]]")
-    plain = F.upper(F.regexp_replace(unicode_form(base, "NFD"), r"\p{M}|ـ", ""))
-    words = trim_unicode(F.regexp_replace(F.regexp_replace(plain, rf"[^\p{{L}}{WHITE}]", " "), rf"[{WHITE}]+", " "))
-    return F.when(fits, F.nullif(words, F.lit("")))
+    word = F.upper(base)
+    return F.when(word.isin(MALE), F.lit("M")).when(word.isin(FEMALE), F.lit("F"))
+
+
+def _shared_name(base: Column, decomposed: Column, kind: str, known: Column | None = None) -> Column:
+    """The words of a name in ``kind``'s script; where ``known``, they are just ``base`` in upper case."""
+    script = _SCRIPTS[kind]
+    # a letter of the script and none of another
+    fits = base.rlike(rf"^\P{{L}}*+[\p{{L}}&&\p{{{script}}}][\P{{L}}\p{{{script}}}]*\z")
+    plain = F.upper(F.regexp_replace(decomposed, r"\p{M}|ـ", ""))
+    name = F.when(fits, F.nullif(F.trim(F.regexp_replace(plain, r"\P{L}+", " ")), F.lit("")))
+    return name if known is None else F.when(known, F.upper(base)).otherwise(name)
+
+
+def _date_parts(base: Column) -> dict[str, Column]:
+    """Year, month and day of a delimited date, which may be no day of the calendar; null for other texts."""
+    return {p: F.regexp_extract(base, pattern, 1).try_cast("int") for p, pattern in _DATE_PARTS.items()}
+
+
+def _shared_date(year: Column, month: Column, day: Column) -> Column:
+    """``Y-MM-DD`` if the calendar has that day, else null; year 0 counts. Days are counted, as a date that can't be parsed
+    costs an exception."""
+    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+    days = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    return F.when(month.between(1, 12) & (day >= 1) & (day <= days), F.concat_ws("-", year.cast("string"), two(month), two(day)))
+
+
+def with_shared_values(rows: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """``rows`` with the :func:`shared_value` of columns: ``wanted`` has the new column's name, the column and its kind.
+
+    Step by step, each a column of its own, so that Spark generates code for all of it (a :func:`let` runs interpreted)
+    and nothing is computed twice.
+    """
+    names = [n for n, (_, k) in wanted.items() if k in _SCRIPTS]
+    dates = [n for n, (_, k) in wanted.items() if k == "date"]
+    step = lambda n, name: F.col(f"`{n}|{name}`")
+    held = rows.columns
+    given = {n: F.col(f"`{c}`") for n, (c, _) in wanted.items()}
+    # both forms by one pass through Python
+    forms = {f"{n}|base": F.coalesce(trim_unicode(_beyond_ascii(c, "NFKC")), trim_ascii(c)) for n, c in given.items()}
+    rows = rows.withColumns(forms | {f"{n}|nfkd": F.coalesce(_beyond_ascii(given[n], "NFKD"), given[n]) for n in names})
+    if dates:
+        rows = rows.withColumns({f"{n}|{p}": c for n in dates for p, c in _date_parts(step(n, "base")).items()})
+
+    def form(n: str, kind: str) -> Column:
+        base = step(n, "base")
+        if kind == "date":
+            return _shared_date(step(n, "year"), step(n, "month"), step(n, "day"))
+        if kind not in _SCRIPTS:
+            return _shared_word(base, kind)
+        # letters A to Z with single spaces between
+        known = base.rlike(r"^[A-Za-z ]+\z") & ~F.contains(base, F.lit("  ")) if kind == "latin" else None
+        return _shared_name(base, step(n, "nfkd"), kind, known)
+
+    return rows.select(*[F.col(f"`{c}`") for c in held], *[form(n, k).alias(n) for n, (_, k) in wanted.items()])
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,18 +23,30 @@ def report(checks: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("status", status_of(F.col("failed"), F.col("warned")))
 
 
-def _having(outcome: str) -> Column:
-    return F.filter("checks", lambda c: c["outcome"] == outcome)
+def _outcomes(lists: DataFrame) -> dict[tuple[str, str], Column]:
+    """(check_id, field) of the columns ``check_id|field`` that hold outcomes."""
+    return {tuple(c.split("|")): F.col(f"`{c}`") for c in lists.columns if "|" in c}
+
+
+def _is(outcome: str) -> Callable[[Column], Column]:
+    return lambda o: F.coalesce(o == outcome, F.lit(False))
+
+
+def _number(outcomes: Iterable[Column], which: Callable[[Column], Column]) -> Column:
+    return reduce(lambda x, y: x + y, [which(o).cast("long") for o in outcomes], F.lit(0).cast("long"))
 
 
-def _number(outcome: str) -> Column:
-    return F.size(_having(outcome)).cast("long")
+def _any(outcomes: Iterable[Column], which: Callable[[Column], Column]) -> Column:
+    return reduce(lambda x, y: x | y, map(which, outcomes), F.lit(False))
 
 
 def report_of_lists(lists: DataFrame, *keys: str) -> DataFrame:
-    """:func:`report` of rows (…keys, checks) that hold each key's check rows as one list."""
-    fields = lambda outcome: F.array_sort(F.array_distinct(F.transform(F.filter(_having(outcome), lambda c: c["field"].isNotNull()), lambda c: c["field"])))
-    out = lists.select(*keys, _number("passed").alias("passed"), _number("warning").alias("warned"), _number("failed").alias("failed"), _number("not_checked").alias("not_checked"), fields("failed").alias("failed_fields"), fields("warning").alias("warned_fields"))
+    """:func:`report` of rows (…keys, columns ``check_id|field``) that hold the outcomes of each key's checks."""
+    found = _outcomes(lists)
+    n = lambda outcome: _number(found.values(), _is(outcome))
+    of = lambda field: [o for (_, f), o in found.items() if f == field]
+    fields = lambda outcome: F.array_compact(F.array(*[F.when(_any(of(f), _is(outcome)), F.lit(f)) for f in sorted({f for _, f in found})]))
+    out = lists.select(*keys, n("passed").alias("passed"), n("warning").alias("warned"), n("failed").alias("failed"), n("not_checked").alias("not_checked"), fields("failed").alias("failed_fields"), fields("warning").alias("warned_fields"))
     return out.withColumn("status", status_of(F.col("failed"), F.col("warned")))
 
 
@@ -48,11 +63,15 @@ def coverage(checks: DataFrame, *keys: str) -> DataFrame:
 
 
 def coverage_of_lists(lists: DataFrame, *keys: str) -> DataFrame:
-    """:func:`coverage` of rows (…keys, checks); a key without a check that counts gives no row."""
-    counted = F.filter("checks", lambda c: ~c["check_id"].startswith("cross.repair.") & ~c["check_id"].isin(NOT_COVERAGE))
-    out = lists.select(*keys, counted.alias("checks")).where(F.size("checks") > 0)
-    open_, total = _number("not_checked"), F.size("checks").cast("long")
-    return out.select(*keys, (total - open_).alias("checked"), total.alias("total"), open_.alias("not_checked"), (open_ == 0).alias("complete"))
+    """:func:`coverage` of rows (…keys, columns ``check_id|field``); a key without a check that counts gives no row."""
+    counted = {c: o for c, o in _outcomes(lists).items() if not c[0].startswith("cross.repair.") and c[0] not in NOT_COVERAGE}
+    there = lambda o: o.isNotNull()
+    # Spark evaluates a filter's comparisons apart, so there is none where one of the checks always gives a row
+    optional = all(lists.schema["|".join(c)].nullable for c in counted)
+    rows = lists.where(_any(counted.values(), there)) if optional else lists
+    out = rows.select(*keys, _number(counted.values(), _is("not_checked")).alias("not_checked"), _number(counted.values(), there).alias("total"))
+    open_, total = F.col("not_checked"), F.col("total")
+    return out.select(*keys, (total - open_).alias("checked"), "total", "not_checked", (open_ == 0).alias("complete"))
 
 
 def coverage_warnings(checks: DataFrame, *keys: str) -> DataFrame:
@@ -74,10 +93,13 @@ def summary_with_status(checks: DataFrame, *keys: str) -> DataFrame:
 
 
 def summary_with_status_of_lists(lists: DataFrame, *keys: str) -> DataFrame:
-    """:func:`summary_with_status` of rows (…keys, checks)."""
-    failed = _number("failed") > 0
-    status = F.when(failed, "mismatched").when((F.size("checks") > 0) & (_number("passed") == F.size("checks")), "matched").otherwise("unknown")
-    return lists.select(*keys, failed.alias("blocking"), _number("warning").alias("warnings"), _number("not_checked").alias("not_checked"), status.alias("identity_status"))
+    """:func:`summary_with_status` of rows (…keys, columns ``check_id|field``)."""
+    found = _outcomes(lists).values()
+    n = lambda outcome: _number(found, _is(outcome))
+    failed = _any(found, _is("failed"))
+    some, others = _any(found, lambda o: o.isNotNull()), _any(found, lambda o: F.coalesce(o != "passed", F.lit(False)))
+    status = F.when(failed, "mismatched").when(some & ~others, "matched").otherwise("unknown")
+    return lists.select(*keys, failed.alias("blocking"), n("warning").alias("warnings"), n("not_checked").alias("not_checked"), status.alias("identity_status"))
 
 
 def identity_status(checks: DataFrame, *keys: str) -> DataFrame:

@@ -81,8 +81,11 @@ def outcome_of(a: Column, b: Column, fuzzy: Column | bool, floor_outcome: str, b
     """passed for equal comparable values, not_checked if either is missing; other names give ``floor_outcome`` from the
     similarity floor on and ``below_outcome`` under it, other values fail."""
     fuzzy = F.lit(fuzzy) if isinstance(fuzzy, bool) else fuzzy
-    close = X.similarity(a, b) >= dims.NAME_FLOOR
-    return F.when(a.isNull() | b.isNull(), "not_checked").when(a == b, "passed").when(fuzzy & close, floor_outcome).when(fuzzy, below_outcome).otherwise("failed")
+    different = F.when(fuzzy, below_outcome).otherwise("failed")
+    if floor_outcome != below_outcome:
+        different = F.when(fuzzy & (X.similarity(a, b) >= dims.NAME_FLOOR), floor_outcome).otherwise(different)
+    # nested, so that Spark drops the comparison where it is only asked whether there is one
+    return F.when(a.isNull() | b.isNull(), "not_checked").otherwise(F.when(a == b, "passed").otherwise(different))
 
 
 def _check(check_id: str, field: str, outcome: Column) -> Column:
@@ -109,50 +112,68 @@ def face_checks_of_sheets(sheets: DataFrame, document: str, *keys: str) -> DataF
 
 
 def face_check_lists(sheets: DataFrame, document: str, *keys: str) -> DataFrame:
-    """(…keys, checks) of sheets: all checks of a document as one list, for what is reported about each document. The rows
-    should be dealt by the keys already; then nothing is shuffled here."""
+    """(…keys, a column ``check_id|field`` for each check of the document) of sheets: a check's outcome, null where it gives
+    no row; for what is reported about each document. The rows should be dealt by the keys already; then nothing is
+    shuffled here."""
     return _check_lists(sheets, lambda f, side: _on(sheets, f, side), document, *keys)
 
 
-def _on(sheets: DataFrame, field: str, side: str) -> Column:
-    return F.min(F.when(F.col("side") == side, F.col(field) if field in sheets.columns else F.lit(None).cast("string")))
+def _on(sheets: DataFrame, field: str, side: str) -> Column | None:
+    return F.min(F.when(F.col("side") == side, F.col(field))) if field in sheets.columns else None
 
 
 def _rows_of(lists: DataFrame, *keys: str) -> DataFrame:
+    each = [_check(*name.split("|"), F.col(f"`{name}`")) for name in lists.columns if name not in keys]
     # never empty; explode() would add a filter that evaluates every comparison again
-    return lists.select(*keys, F.explode_outer("checks").alias("_c")).select(*keys, "_c.*")
+    rows = lists.select(*keys, F.explode_outer(F.array(*each)).alias("_c")).select(*keys, "_c.*")
+    optional = any(f.nullable for f in lists.schema if f.name not in keys)
+    return rows.where(F.col("outcome").isNotNull()) if optional else rows
 
 
-def _check_lists(source: DataFrame, least: Callable[[str, str], Column], document: str, *keys: str, kept: dict[str, Column] | None = None) -> DataFrame:
+def _check_lists(source: DataFrame, least: Callable[[str, str], Column | None], document: str, *keys: str, kept: dict[str, Column] | None = None) -> DataFrame:
     rules = dims.FACE_RULES[document]
     names = {f: dims.FACE_NAMES.get(document, {}).get(f, ([f], [f])) for _, f, _, _ in rules}
     sides = [("front", 0), ("back", 1)]
     extra = [("front", "categories"), ("back", "category_entries")] if document == "dz-driving-licence" else []
     wanted = dict.fromkeys([(side, n) for _, f, _, _ in rules for side, i in sides for n in names[f][i]] + extra)
+    # what no row can hold isn't carried along, and what it is compared with isn't read
+    held = {(side, n): c for side, n in wanted if (c := least(n, side)) is not None}
+    given = source.groupBy(*keys).agg(*[c.alias(f"_{side}|{n}") for (side, n), c in held.items()], *[c.alias(name) for name, c in (kept or {}).items()])
     # blanks count as missing, but only once the least of repeated names is chosen
-    given = source.groupBy(*keys).agg(*[least(n, side).alias(f"_{side}|{n}") for side, n in wanted], *[c.alias(name) for name, c in (kept or {}).items()])
-    there = lambda side, n: F.when(F.length(X.trim_unicode(F.col(f"`_{side}|{n}`"))) > 0, F.col(f"`_{side}|{n}`"))
-    raw = [F.coalesce(*[there(side, n) for n in names[f][i]]).alias(f"{side}_{f}") for _, f, _, _ in rules for side, i in sides]
-    lists = [there("front", "categories").alias("front_categories"), there("back", "category_entries").alias("back_categories")] if extra else []
+    there = lambda side, n: X.blank_to_null(F.col(f"`_{side}|{n}`"))
+    shown = {(side, f): [n for n in names[f][i] if (side, n) in held] for _, f, _, _ in rules for side, i in sides}
+    both = [(check_id, f, kind, fuzzy) for check_id, f, kind, fuzzy in rules if shown["front", f] and shown["back", f]]
+    raw = [F.coalesce(*[there(side, n) for n in shown[side, f]]).alias(f"{side}_{f}") for _, f, _, _ in both for side, _ in sides]
+    lists = [there(side, n).alias(f"{side}_categories") if (side, n) in held else F.lit(None).cast("string").alias(f"{side}_categories") for side, n in extra]
     rows = given.select(*keys, *raw, *lists, *(kept or {}))
-    rows = rows.withColumns({f"_{side}_{f}": comparable_as(F.col(f"{side}_{f}"), kind) for _, f, kind, _ in rules for side, _ in sides})
-    out, shared_names = [], []
+    forms = {f"_{side}_{f}": (f"{side}_{f}", kind) for _, f, kind, _ in both for side, _ in sides}
+    rows = X.with_shared_values(rows, {n: v for n, v in forms.items() if v[1] != "text"})
+    texts = {n: comparable_as(F.col(c), kind) for n, (c, kind) in forms.items() if kind == "text"}
+    if lists:  # read only where both sides have one
+        front, back = F.col("front_categories"), F.col("back_categories")
+        texts |= {"_front_categories": F.when(back.isNotNull(), _texts(front)), "_back_categories": F.when(front.isNotNull(), _texts(back, "$.category"))}
+    rows = rows.withColumns(texts)
+    out, shared_names = {}, []
     for check_id, f, _, fuzzy in rules:
+        on_card = document == "dz-id" and fuzzy
+        if not (shown["front", f] and shown["back", f]):
+            if not on_card:
+                out[f"{check_id}|{f}"] = F.lit("not_checked")
+            continue
         outcome = outcome_of(F.col(f"_front_{f}"), F.col(f"_back_{f}"), fuzzy, "warning", "warning")
-        shared = F.col(f"front_{f}").isNotNull() & F.col(f"back_{f}").isNotNull()
-        if document == "dz-id" and fuzzy:
+        if on_card:
+            shared = F.col(f"front_{f}").isNotNull() & F.col(f"back_{f}").isNotNull()
             shared_names.append(shared)
-            out.append(F.when(shared, _check(check_id, f, outcome)))
-        else:
-            out.append(_check(check_id, f, outcome))
-    if shared_names:
-        out.append(F.when(~reduce(lambda x, y: x | y, shared_names), _check("cross.id.names", "surname_ar", F.lit("not_checked"))))
+            outcome = F.when(shared, outcome)
+        out[f"{check_id}|{f}"] = outcome
+    if document == "dz-id":
+        out["cross.id.names|surname_ar"] = F.when(~reduce(lambda x, y: x | y, shared_names, F.lit(False)), "not_checked")
     if lists:
-        out.append(_check("cross.driving_licence.categories", "categories", category_check(_texts(F.col("front_categories")), _texts(F.col("back_categories"), "$.category"))))
+        out["cross.driving_licence.categories|categories"] = category_check(F.col("_front_categories"), F.col("_back_categories"))
     number = {"dz-id": "cross.id.document_number", "id-passport": "cross.person.document_numbers"}.get(document)
     if number:
-        out.append(_check(number, "document_number", F.lit("not_checked")))
-    return rows.select(*keys, *(kept or {}), F.array_compact(F.array(*out)).alias("checks"))
+        out[f"{number}|document_number"] = F.lit("not_checked")
+    return rows.select(*keys, *(kept or {}), *[c.alias(name) for name, c in out.items()])
 
 
 def _texts(raw: Column, path: str | None = None) -> Column:
@@ -166,7 +187,7 @@ def _texts(raw: Column, path: str | None = None) -> Column:
 def category_check(front: Column, back: Column) -> Column:
     """Outcome of comparing two lists of licence categories as sets of upper-case codes."""
     codes = lambda c: F.array_sort(F.array_distinct(F.transform(F.filter(c, lambda v: v.isNotNull()), lambda v: F.upper(X.trim_unicode(v)))))
-    return F.when(front.isNull() | back.isNull(), "not_checked").when(codes(front) == codes(back), "passed").otherwise("failed")
+    return F.when(front.isNull() | back.isNull(), "not_checked").otherwise(F.when(codes(front) == codes(back), "passed").otherwise("failed"))
 
 
 def merge_conflict_checks(merged: DataFrame, checks: DataFrame, *keys: str) -> DataFrame:
@@ -179,8 +200,10 @@ def merge_conflict_checks(merged: DataFrame, checks: DataFrame, *keys: str) -> D
 def open_conflicts(sheets: DataFrame, document: str, comparable: list[str], fields: list[str], only: list[str], *keys: str) -> DataFrame:
     """:func:`merge_conflict_checks` of sheets (…keys, side, a column for each of ``fields``, which both sides name): a
     document's merge and its checks (of the fields ``only``) are made from one row, so that nothing is paired or joined."""
-    each = _check_lists(sheets, lambda f, side: _on(sheets, f, side), document, *keys, kept={f"_m_{s}_{f}": _on(sheets, f, s) for f in fields for s in ("front", "back")})
-    told_of = lambda f: F.exists("checks", lambda c: (c["field"] == f) & (c["outcome"] == "failed"))
+    value = lambda f, side: F.lit(None).cast("string") if (c := _on(sheets, f, side)) is None else c
+    each = _check_lists(sheets, lambda f, side: _on(sheets, f, side), document, *keys, kept={f"_m_{s}_{f}": value(f, s) for f in fields for s in ("front", "back")})
+    outcomes = lambda f: [F.col(f"`{c}`") for c in each.columns if c.endswith(f"|{f}")]
+    told_of = lambda f: reduce(lambda x, y: x | y, [F.coalesce(o == "failed", F.lit(False)) for o in outcomes(f)], F.lit(False))
     found = []
     for f in fields:
         if f in comparable:
